@@ -53,9 +53,8 @@ def fixed_decimals(value: Column, digits: int) -> Column:
     parts = [sign, floor_div(units, scale).cast("string")]
     if digits:
         parts += [F.lit("."), F.lpad(F.pmod(units, F.lit(scale)).cast("string"), digits, "0")]
-    return F.when(F.abs(wide) < F.lit(_EXACT_LIMIT), F.concat(*parts)).otherwise(
-        F.format_string(f"%.{digits}f", wide)
-    )
+    beyond = F.format_string(f"%.{digits}f", wide)
+    return F.when(F.abs(wide) < F.lit(_EXACT_LIMIT), F.concat(*parts)).when(wide.isNotNull(), beyond)
 
 
 def export_number(value: Column) -> Column:
