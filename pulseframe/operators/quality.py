@@ -66,7 +66,7 @@ def consistency_issues(
         .select(F.lit(NO_MANIFEST).alias("issue"), F.concat_ws("/", "directory", F.lit(MANIFEST_NAME)).alias("location"), none.alias("detail"))
         .unionByName(
             entries.where("bad_line").select(
-                F.lit(BAD_LINE).alias("issue"), F.col("manifest_path").alias("location"), F.col("value").alias("detail")
+                F.lit(BAD_LINE).alias("issue"), F.col("manifest_path").alias("location"), F.col("line").alias("detail")
             )
         )
         .unionByName(

@@ -24,7 +24,7 @@ def parse_manifest_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Segment manifest lines in ``value``; other columns are carried along.
 
     ``strict`` fails on a bad line.  Otherwise bad lines stay, flagged in
-    ``bad_line``.  Missing points become 0, a missing mode packet wide.
+    ``bad_line``; ``line`` is the text as read.  Missing points become 0, a missing mode packet wide.
     """
     carried = [c for c in lines.columns if c != "value"]
     parsed = lines.where(codes.trimmed(F.col("value")) != "").select(
@@ -55,6 +55,7 @@ def parse_manifest_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
         F.when(good, _canonical_mode(F.col("m.mode"))).alias("mode"),
         F.when(good, F.coalesce("m.param_ids", F.array().cast("array<string>"))).alias("param_ids"),
         (~good).alias("bad_line"),
+        F.col("value").alias("line"),
     )
 
 
