@@ -124,7 +124,7 @@ _both(
 )
 _same(
     "sql_15_functions",
-    """SELECT event_id, upper(substring(device_id, 1, 3)) AS prefix, length(param_id) AS width, replace(param_id, '0', '') AS short,
+    """SELECT event_id, upper(substring(device_id, 1, 3)) AS prefix, CAST(length(param_id) AS BIGINT) AS width, replace(param_id, '0', '') AS short,
               concat(device_id, '/', param_id) AS path, CAST(floor(value) AS BIGINT) AS whole, abs(value - 50) AS distance, sqrt(value) AS root,
               coalesce(nullif(param_id, 'A00001'), 'none') AS named, greatest(value, 10.0) AS at_least
        FROM pts""",

@@ -54,9 +54,14 @@ def ntz_millis(wall: Column) -> Column:
     return F.unix_date(wall.cast("date")).cast("bigint") * F.lit(DAY_MS) + seconds.cast("bigint") * F.lit(SECOND_MS) + millis
 
 
-def instant_millis(wall: Column, tz: str = "UTC") -> Column:
-    """Epoch milliseconds of a wall-clock time in a zone."""
-    return ntz_millis(wall if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), wall))
+def wall_millis(date: Column, hour: Column, tz: str = "UTC") -> Column:
+    """Epoch milliseconds of an hour on a date in a zone."""
+    as_utc = F.unix_date(date).cast("bigint") * F.lit(DAY_MS) + hour.cast("bigint") * F.lit(HOUR_MS)
+    if tz == "UTC":
+        return as_utc
+    shifted = F.convert_timezone(F.lit(tz), F.lit("UTC"), local_time(as_utc))
+    # Bound to a lambda variable, because ntz_millis mentions it four times.
+    return F.get(F.transform(F.array(shifted), ntz_millis), F.lit(0))
 
 
 def day_key(ts_ms: Column, tz: str = "UTC", compact: bool = False) -> Column:
@@ -97,21 +102,19 @@ def _parsed_day(key: Column) -> Column:
 
 def day_start_ms(key: Column, tz: str = "UTC") -> Column:
     """First millisecond of a day key; NULL for a bad key."""
-    return instant_millis(_parsed_day(key).cast("timestamp_ntz"), tz)
+    return wall_millis(_parsed_day(key), F.lit(0), tz)
 
 
 def day_end_ms(key: Column, tz: str = "UTC") -> Column:
     """Last millisecond of a day key: next midnight minus one."""
-    return instant_millis(F.date_add(_parsed_day(key), 1).cast("timestamp_ntz"), tz) - F.lit(1)
+    return wall_millis(F.date_add(_parsed_day(key), 1), F.lit(0), tz) - F.lit(1)
 
 
 def hour_start_from_text(text: Column, tz: str = "UTC") -> Column:
     """``YYYYMMDDHH`` in a zone to epoch milliseconds; NULL when malformed."""
     hour = F.substring(text, 9, 2).try_cast("int")
-    start = instant_millis(
-        F.timestamp_add("HOUR", hour.cast("bigint"), _parsed_day(F.substring(text, 1, 8)).cast("timestamp_ntz")), tz
-    )
-    return F.when(text.rlike(r"^[0-9]{10}\z") & (hour <= 23), start)
+    start = wall_millis(F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd"), hour, tz)
+    return F.when(text.rlike(r"^[0-9]{8}([01][0-9]|2[0-3])\z"), start)
 
 
 def duration_millis(text: Column) -> Column:

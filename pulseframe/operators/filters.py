@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import codes, topics
-from pulseframe.functions.timeparts import HOUR_MS, SECOND_MS, TimeRange, hour_start_from_text
+from pulseframe.functions.timeparts import SECOND_MS, TimeRange
 from pulseframe.sources.packets import is_finite, is_json_number  # noqa: F401  (part of this module's surface)
 
+# End of the year 9998, the last full year a day key can name in every zone.
+_LAST_SECOND = 253370764799
+
 # Longer parameter lists become a semi join instead of an IN list.
 MAX_IN_LIST = 500
 
@@ -72,29 +75,34 @@ def usable_segments(catalog: DataFrame) -> DataFrame:
     return kept.where("sealed") if "sealed" in catalog.columns else kept
 
 
-def hour_overlaps(day: Column, hour: Column, span: TimeRange, tz: str = "UTC") -> Column:
-    """True for a day/hour key that shares time with the range; bad keys are false."""
-    number = hour.try_cast("int")
-    text = F.concat(F.regexp_replace(day, "-", ""), F.lpad(number.cast("string"), 2, "0"))
-    start = F.when(day.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), hour_start_from_text(text, tz))
-    inside = number.between(0, 23) & (start >= 0) & (start + (HOUR_MS - 1) >= span.from_ms) & (start <= span.to_ms)
-    return F.coalesce(inside, F.lit(False))
-
-
 def _day_hour(ms: int, tz: str) -> tuple[str, str]:
-    # Year 9999 is the last a day key can name.
-    wall = datetime.fromtimestamp(min(ms // SECOND_MS, 253402300799 - 86400), timezone.utc).astimezone(ZoneInfo(tz))
+    """Day and hour keys of an instant; instants beyond year 9998 count as its end."""
+    wall = datetime.fromtimestamp(min(max(ms, 0) // SECOND_MS, _LAST_SECOND), timezone.utc).astimezone(ZoneInfo(tz))
     return wall.strftime("%Y-%m-%d"), wall.strftime("%H")
 
 
+def hour_overlaps(day: Column, hour: Column, span: TimeRange, tz: str = "UTC") -> Column:
+    """True for a day/hour key that shares time with the range; bad keys are false.
+
+    Keys sort like the hours they name, so this is a comparison of texts.
+    """
+    if span.empty or span.to_ms < 0:
+        return F.lit(False)
+    number = hour.try_cast("int")
+    key = F.concat_ws(" ", day, F.lpad(number.cast("string"), 2, "0"))
+    first, last = " ".join(_day_hour(span.from_ms, tz)), " ".join(_day_hour(span.to_ms, tz))
+    real = F.try_to_date(day, "yyyy-MM-dd").isNotNull() & (F.length(day) == 10) & number.between(0, 23)
+    return F.coalesce(key.between(first, last) & real, F.lit(False))
+
+
 def partition_predicate(span: TimeRange, tz: str = "UTC") -> Column:
     """The ``day``/``hour`` condition implied by a time range.
 
     Only plain comparisons on the partition columns, so whole directories are
     pruned before any file is opened.
     """
-    first_day, first_hour = _day_hour(max(span.from_ms, 0), tz)
-    last_day, last_hour = _day_hour(max(span.to_ms, 0), tz)
+    first_day, first_hour = _day_hour(span.from_ms, tz)
+    last_day, last_hour = _day_hour(span.to_ms, tz)
     day, hour = F.col("day"), F.col("hour")
     return (
         day.between(first_day, last_day)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe import schema
 from pulseframe.functions import naming
 from pulseframe.functions.timeparts import TimeRange
 from pulseframe.operators.filters import hour_overlaps
-from pulseframe.operators.joins import hours_without_manifest, missing_segments
 from pulseframe.sources.catalogs import parse_manifest_lines
 
 # Kinds of issues, and how many are shown by default.
@@ -22,26 +24,33 @@ SHOWN_ISSUES = 30
 MANIFEST_NAME = "manifest.jsonl"
 
 
-def _directory(path):
-    return F.regexp_replace(path, "/[^/]*$", "")
+def _in_span(directory: Column, span: TimeRange, tz: str) -> Column:
+    """True for a ``…/day/hour`` directory that shares time with the range."""
+    inside = F.concat(directory, F.lit("/-"))
+    return hour_overlaps(naming.path_day(inside), naming.path_hour(inside), span, tz)
 
 
 def _hours(inventory: DataFrame, span: TimeRange, tz: str) -> DataFrame:
-    """Hour directories in range, one row each."""
-    found = inventory.select("directory").distinct().withColumn("_inside", F.concat("directory", F.lit("/-")))
-    named = found.select(
-        "directory",
-        naming.path_device(F.col("_inside")).alias("device_id"),
-        naming.path_day(F.col("_inside")).alias("day"),
-        naming.path_hour(F.col("_inside")).alias("hour"),
+    """Hour directories in range and whether they hold a manifest."""
+    return (
+        inventory.where(_in_span(F.col("directory"), span, tz))
+        .groupBy("directory")
+        .agg(F.bool_or(F.col("file_name") == MANIFEST_NAME).alias("has_manifest"))
     )
-    return named.where(hour_overlaps(F.col("day"), F.col("hour"), span, tz))
 
 
-def _entries(lines: DataFrame, hours: DataFrame) -> DataFrame:
-    """Parsed manifest lines of those hours, bad lines flagged."""
-    placed = lines.withColumn("directory", _directory(F.col("manifest_path")))
-    return parse_manifest_lines(placed.join(hours.select("directory"), "directory", "left_semi"), strict=False)
+def _entries(inventory: DataFrame, lines: DataFrame, span: TimeRange, tz: str) -> DataFrame:
+    """Parsed manifest lines in range with the verdict on each, in one pass."""
+    placed = lines.withColumn("directory", F.regexp_replace("manifest_path", "/[^/]*$", ""))
+    parsed = parse_manifest_lines(placed.where(_in_span(F.col("directory"), span, tz)), strict=False)
+    named = parsed.withColumn("file_path", F.concat(F.col("directory"), F.lit("/"), F.col("segment_file")))
+    stored = inventory.select("file_path").distinct().withColumn("stored", F.lit(True))
+    return named.join(stored, "file_path", "left").withColumns(
+        {
+            "reversed": (~F.col("bad_line")) & (F.col("rows") > 0) & (F.col("min_ts") > F.col("max_ts")),
+            "missing": (~F.col("bad_line")) & F.col("stored").isNull(),
+        }
+    )
 
 
 def consistency_issues(
@@ -53,33 +62,26 @@ def consistency_issues(
     tree; ``lines``: ``value, manifest_path``.  An hour without a manifest is
     reported once and not looked at further.
     """
-    hours = _hours(inventory, span, tz)
-    manifests = inventory.where(F.col("file_name") == MANIFEST_NAME).select("directory")
-    entries = _entries(lines, hours)
-    good = entries.where(~F.col("bad_line")).withColumn(
-        "file_path", F.concat_ws("/", _directory(F.col("manifest_path")), F.col("segment_file"))
-    )
-    bounds = F.format_string("min_ts=%d max_ts=%d", F.col("min_ts"), F.col("max_ts"))
+
+    def issue(kind: str, location: Column, detail: Column) -> Column:
+        return F.struct(F.lit(kind).alias("issue"), location.alias("location"), detail.alias("detail"))
+
     none = F.lit(None).cast("string")
-    return (
-        hours_without_manifest(hours, manifests)
-        .select(F.lit(NO_MANIFEST).alias("issue"), F.concat_ws("/", "directory", F.lit(MANIFEST_NAME)).alias("location"), none.alias("detail"))
-        .unionByName(
-            entries.where("bad_line").select(
-                F.lit(BAD_LINE).alias("issue"), F.col("manifest_path").alias("location"), F.col("line").alias("detail")
-            )
-        )
-        .unionByName(
-            good.where((F.col("rows") > 0) & (F.col("min_ts") > F.col("max_ts"))).select(
-                F.lit(BAD_RANGE).alias("issue"), F.col("manifest_path").alias("location"), bounds.alias("detail")
-            )
-        )
-        .unionByName(
-            missing_segments(good, inventory).select(
-                F.lit(NO_SEGMENT).alias("issue"), F.col("file_path").alias("location"), none.alias("detail")
-            )
+    bounds = F.format_string("min_ts=%d max_ts=%d", F.col("min_ts"), F.col("max_ts"))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("bad_line"), issue(BAD_LINE, F.col("manifest_path"), F.col("line"))),
+            F.when(F.col("reversed"), issue(BAD_RANGE, F.col("manifest_path"), bounds)),
+            F.when(F.col("missing"), issue(NO_SEGMENT, F.col("file_path"), none)),
         )
     )
+    bare_hours = _hours(inventory, span, tz).where(~F.col("has_manifest"))
+    manifest = F.concat_ws("/", "directory", F.lit(MANIFEST_NAME))
+    return (
+        bare_hours.select(issue(NO_MANIFEST, manifest, none).alias("found"))
+        .unionByName(_entries(inventory, lines, span, tz).select(F.explode(found).alias("found")))
+        .select("found.*")
+    )
 
 
 def shown_issues(issues: DataFrame, n: int = SHOWN_ISSUES) -> DataFrame:
@@ -89,22 +91,20 @@ def shown_issues(issues: DataFrame, n: int = SHOWN_ISSUES) -> DataFrame:
 
 def consistency_report(inventory: DataFrame, lines: DataFrame, span: TimeRange, tz: str = "UTC") -> DataFrame:
     """One row of counts for the same checks."""
-    hours = _hours(inventory, span, tz)
-    manifests = inventory.where(F.col("file_name") == MANIFEST_NAME).select("directory").distinct()
-    hour_counts = hours.agg(F.count("*").alias("hour_dirs"))
-    manifest_counts = hours.join(manifests, "directory", "left_semi").agg(F.count("*").alias("manifest_files"))
-    entry_counts = _entries(lines, hours).agg(F.count_if(~F.col("bad_line")).alias("manifest_entries"))
-    kinds = consistency_issues(inventory, lines, span, tz).agg(
-        F.count_if(F.col("issue") == NO_MANIFEST).alias("missing_manifest"),
-        F.count_if(F.col("issue") == BAD_LINE).alias("bad_manifest_lines"),
-        F.count_if(F.col("issue") == BAD_RANGE).alias("invalid_entries"),
-        F.count_if(F.col("issue") == NO_SEGMENT).alias("missing_segment_files"),
-        F.count("*").alias("issues"),
+    hours = _hours(inventory, span, tz).agg(
+        F.count("*").alias("hour_dirs"),
+        F.count_if("has_manifest").alias("manifest_files"),
+        F.count_if(~F.col("has_manifest")).alias("missing_manifest"),
+    )
+    entries = _entries(inventory, lines, span, tz).agg(
+        F.count_if(~F.col("bad_line")).alias("manifest_entries"),
+        F.count_if("bad_line").alias("bad_manifest_lines"),
+        F.count_if("reversed").alias("invalid_entries"),
+        F.count_if("missing").alias("missing_segment_files"),
     )
-    report = hour_counts
-    for one_row in (manifest_counts, entry_counts, kinds):
-        report = report.join(F.broadcast(one_row), F.lit(True))  # both sides are one row
-    return report
+    counted = hours.join(F.broadcast(entries), F.lit(True))  # both sides are one row
+    kinds = ["missing_manifest", "bad_manifest_lines", "invalid_entries", "missing_segment_files"]
+    return counted.withColumn("issues", reduce(add, [F.col(k) for k in kinds]))
 
 
 def archive_check(raw: DataFrame, inventory: DataFrame) -> DataFrame:
