@@ -37,17 +37,29 @@ def point_stats(spark, sf_dir):
     return aggregates.point_stats(_stored(spark, sf_dir))
 
 
-# Hour 00 segments are empty, hour 01 segments have no recorded points, hour 02 segments are packet wide.
 @check(
     "agg_02_storage_stats",
     f"""WITH {CATALOG}
+    SELECT count(DISTINCT device_id) AS devices, count(*) AS manifests, count(*) AS segments, CAST(sum(rows) AS BIGINT) AS rows,
+           CAST(sum(points) AS BIGINT) AS points, min(min_ts) AS min_ts, max(max_ts) AS max_ts
+    FROM catalog""",
+)
+def storage_stats(spark, sf_dir):
+    known = catalog(spark, sf_dir).withColumn("manifest_path", F.concat_ws("/", "device_id", "day", "hour"))
+    return aggregates.storage_stats(known.withColumn("mode", F.lit("long_row")))
+
+
+# Hour 00 segments are empty, hour 01 segments have no recorded points, hour 02 segments are packet wide.
+@check(
+    "agg_02_storage_stats_recount",
+    f"""WITH {CATALOG}
     SELECT count(DISTINCT device_id) AS devices, count(DISTINCT device_id || day || hour) AS manifests, count(*) AS segments,
            CAST(sum(CASE WHEN hour = '00' THEN 0 ELSE rows END) AS BIGINT) AS rows,
            CAST(sum(CASE WHEN hour = '00' THEN 0 ELSE rows END) AS BIGINT) AS points,
            min(CASE WHEN hour <> '00' THEN min_ts END) AS min_ts, max(CASE WHEN hour <> '00' THEN max_ts END) AS max_ts
     FROM catalog""",
 )
-def storage_stats(spark, sf_dir):
+def storage_stats_recount(spark, sf_dir):
     hour = F.col("hour")
     known = catalog(spark, sf_dir).withColumn("manifest_path", F.concat_ws("/", "device_id", "day", "hour"))
     recounts = known.where(hour == "02").select("manifest_path", "segment_file", F.col("rows").alias("recount"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.adapter import BOUNDARY_MS, CATALOG, PTS, SUBSCRIPTIONS, catalog, points, subscriptions
 from checks.registry import check
 from pulseframe.operators import ordering
-from pulseframe.operators.sequence import OrderedRows
+from pulseframe.operators.sequence import numbered
 
 ORDER = ("ts_ms", "param_id", "event_id")
 COLUMNS = ["event_id", "ts_ms", "param_id", "value"]
@@ -53,7 +53,7 @@ def total(spark, sf_dir):
 @check("srt_04_positions", f"WITH {PTS} SELECT event_id, row_number() OVER (ORDER BY ts_ms, param_id, event_id) AS position FROM pts")
 def positions(spark, sf_dir):
     rows = points(spark, sf_dir).select(COLUMNS)
-    return OrderedRows.of(rows, [], list(ORDER)).numbered("position").result().select("event_id", "position")
+    return numbered(rows, [], list(ORDER), "position").select("event_id", "position")
 
 
 @check(

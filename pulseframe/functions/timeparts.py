@@ -27,7 +27,7 @@ DURATION_UNITS_MS = {"s": SECOND_MS, "m": MINUTE_MS, "h": HOUR_MS, "d": DAY_MS}
 
 def floor_div(value: Column, divisor: int) -> Column:
     """Integer quotient rounded down."""
-    return ((value - F.pmod(value, F.lit(divisor))) / F.lit(divisor)).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, F.lit(divisor)), F.lit(divisor))
 
 
 def floor_seconds(ts_ms: Column) -> Column:
@@ -64,14 +64,22 @@ def wall_millis(date: Column, hour: Column, tz: str = "UTC") -> Column:
     return F.get(F.transform(F.array(shifted), ntz_millis), F.lit(0))
 
 
+def _local_date(ts_ms: Column, tz: str) -> Column:
+    if tz == "UTC":
+        return F.date_from_unix_date(floor_div(ts_ms, DAY_MS).cast("int"))
+    return local_time(ts_ms, tz).cast("date")
+
+
 def day_key(ts_ms: Column, tz: str = "UTC", compact: bool = False) -> Column:
     """``YYYY-MM-DD`` (or ``YYYYMMDD``) of an instant."""
-    text = local_time(ts_ms, tz).cast("date").cast("string")
-    return F.regexp_replace(text, "-", "") if compact else text
+    text = _local_date(ts_ms, tz).cast("string")
+    return F.replace(text, F.lit("-"), F.lit("")) if compact else text
 
 
 def hour_of_day(ts_ms: Column, tz: str = "UTC") -> Column:
     """Hour 0–23 of an instant."""
+    if tz == "UTC":
+        return floor_div(F.pmod(ts_ms, F.lit(DAY_MS)), HOUR_MS).cast("int")
     return F.hour(local_time(ts_ms, tz))
 
 

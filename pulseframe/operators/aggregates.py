@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulseframe import schema
 from pulseframe.functions import codes, naming
 from pulseframe.functions.timeparts import HOUR_MS, floor_div
-from pulseframe.operators.sequence import OrderedRows
+from pulseframe.operators.sequence import running_sum
 
 _ZERO = 0
 
@@ -51,15 +51,22 @@ def storage_stats(catalog: DataFrame, recounts: DataFrame | None = None) -> Data
     else:
         known = catalog.join(recounts, ["manifest_path", "segment_file"], "left")
     filled = F.col("rows") > 0
-    return known.agg(
-        F.count_distinct("device_id").alias("devices"),
+    points = point_count(F.col("points"), F.col("rows"), F.col("mode"), F.col("recount"))
+    # A manifest belongs to one device, so counts of different ones add up over devices.
+    per_device = known.groupBy("device_id").agg(
         F.count_distinct("manifest_path").alias("manifests"),
         F.count("*").alias("segments"),
         F.sum("rows").alias("rows"),
-        F.sum(point_count(F.col("points"), F.col("rows"), F.col("mode"), F.col("recount"))).alias("points"),
+        F.sum(points).alias("points"),
         F.min(F.when(filled, F.col("min_ts"))).alias("min_ts"),
         F.max(F.when(filled, F.col("max_ts"))).alias("max_ts"),
     )
+    return per_device.agg(
+        F.count("device_id").alias("devices"),
+        *[F.sum(c).alias(c) for c in ("manifests", "segments", "rows", "points")],
+        F.min("min_ts").alias("min_ts"),
+        F.max("max_ts").alias("max_ts"),
+    )
 
 
 def source_stats(packets: DataFrame) -> DataFrame:
@@ -205,8 +212,7 @@ def value_summary(df: DataFrame, value: str, keys: Sequence[str] = (), quantile:
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ordered = OrderedRows.of(counts, keys, ["_v"]).running_sum(F.col("_n"), "_upto")
-    ranked = ordered.result()
+    ranked = running_sum(counts, keys, ["_v"], F.col("_n"), "_upto")
     totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"))
     rank = F.ceil(F.col("_total") * F.lit(float(quantile)))
     if keys:

@@ -14,11 +14,11 @@ from pulseframe.functions import codes
 from pulseframe.functions.timeparts import HOUR_MS, floor_div, intervals_overlap
 from pulseframe.functions.topics import MISSING_TEXT, pick_param_value, topic_device, topic_param
 
-# Hours are grouped in blocks of 1, 8, 64, … 8^8 = 2^24 hours; those reach to the
-# year 3883 and later times are clamped to the last hour.
-_RADIX = 8
-_LEVELS = 8
-_LAST_HOUR = _RADIX**_LEVELS - 1
+# Hours are grouped in aligned blocks of 8^level hours; level 8 spans 2^24 hours,
+# which reach to the year 3883.  Later times are clamped to the last hour.
+_BITS = 3
+_LEVELS = range(9)
+_LAST_HOUR = (1 << _BITS * _LEVELS[-1]) - 1
 
 
 def fan_out(packets: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -85,47 +85,40 @@ def _hour(ms: Column) -> Column:
     return F.least(F.greatest(floor_div(ms, HOUR_MS), F.lit(0)), F.lit(_LAST_HOUR)).cast("bigint")
 
 
-def _from_to(first: Column, last: Column) -> Column:
-    """Integers ``first…last``; empty when reversed."""
-    return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
-def _inside(first: Column, last: Column, level: Column) -> tuple[Column, Column]:
+def _inside(first: Column, last: Column, level: int) -> tuple[Column, Column]:
     """First and last aligned block of a level that lies fully inside the hours."""
-    size = F.pow(F.lit(_RADIX), level)
-    return F.ceil(first / size).cast("bigint"), (F.floor((last + 1) / size) - 1).cast("bigint")
+    shift = _BITS * level
+    return F.shiftright(first + F.lit((1 << shift) - 1), shift), F.shiftright(last + 1, shift) - 1
 
 
-def _covering_blocks(first: Column, last: Column) -> Column:
+def _block_ranges(first: Column, last: Column) -> Column:
     """Split hours ``first…last`` into few aligned blocks, largest where possible.
 
     A block is used on its own level unless its parent lies inside too, so each
     level adds fewer than two parents' worth of blocks, however long the interval.
+    Result: ranges ``(level, low, high)`` of blocks; a range with low > high, or
+    without a low end, is empty.
     """
-
-    def on_level(level: Column) -> Column:
+    ranges = []
+    for level in _LEVELS:
         lo, hi = _inside(first, last, level)
-        parent_lo, parent_hi = _inside(first, last, level + 1)
-        beside = F.concat(
-            _from_to(lo, parent_lo * _RADIX - 1),
-            _from_to((parent_hi + 1) * _RADIX, hi),
-        )
-        used = F.when((parent_lo <= parent_hi) & (level < _LEVELS), beside).otherwise(_from_to(lo, hi))
-        return F.transform(used, lambda b: F.struct(level.cast("int").alias("level"), b.alias("block")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), on_level))
+        if level == _LEVELS[-1]:
+            pieces = [(lo, hi)]
+        else:
+            parent_lo, parent_hi = _inside(first, last, level + 1)
+            covered = parent_lo <= parent_hi
+            pieces = [
+                (lo, F.when(covered, F.shiftleft(parent_lo, _BITS) - 1).otherwise(hi)),
+                (F.when(covered, F.shiftleft(parent_hi + 1, _BITS)), hi),
+            ]
+        ranges += [F.struct(F.lit(level).alias("_level"), a.alias("_low"), b.alias("_high")) for a, b in pieces]
+    return F.array(*ranges)
 
 
 def _enclosing_blocks(hour: Column) -> Column:
     """The block of each level an hour lies in."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(_LEVELS)),
-        lambda level: F.struct(
-            level.cast("int").alias("level"),
-            F.floor(hour / F.pow(F.lit(_RADIX), level)).cast("bigint").alias("block"),
-        ),
+    return F.array(
+        *[F.struct(F.lit(n).alias("_level"), F.shiftright(hour, _BITS * n).alias("_at")) for n in _LEVELS]
     )
 
 
@@ -142,16 +135,20 @@ def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None =
     contain (an empty set may contain anything).
     """
     first_hour, last_hour = _hour(F.col("from_ms")), _hour(F.col("to_ms"))
-    asked = intervals.where(F.col("from_ms") <= F.col("to_ms")).select(
-        "*", first_hour.alias("_first"), F.explode(_covering_blocks(first_hour, last_hour)).alias("_cover")
+    asked = (
+        intervals.where(F.col("from_ms") <= F.col("to_ms"))
+        .select("*", first_hour.alias("_first"), last_hour.alias("_last"))
+        .select("*", F.inline(_block_ranges(F.col("_first"), F.col("_last"))))
+        .where(F.col("_low") <= F.col("_high"))
+        .select("*", F.explode(F.sequence("_low", "_high")).alias("_at"))
+        .drop("_last", "_low", "_high")
     )
     start = _hour(F.col("min_ts"))
-    hours = segments.where(F.col("min_ts") <= F.col("max_ts")).select(
-        "*", start.alias("_start"), F.explode(F.sequence(start, _hour(F.col("max_ts")))).alias("_hour")
+    stored = (
+        segments.where(F.col("min_ts") <= F.col("max_ts"))
+        .select("*", start.alias("_start"), F.explode(F.sequence(start, _hour(F.col("max_ts")))).alias("_hour"))
+        .select("*", F.inline(_enclosing_blocks(F.col("_hour"))))
     )
-    stored = hours.select("*", F.explode(_enclosing_blocks(F.col("_hour"))).alias("_block"))
-    asked = asked.withColumn("_level", F.col("_cover.level")).withColumn("_at", F.col("_cover.block")).drop("_cover")
-    stored = stored.withColumn("_level", F.col("_block.level")).withColumn("_at", F.col("_block.block")).drop("_block")
     pairs = asked.join(stored, ["device_id", "_level", "_at"]).where(
         intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
         & (F.col("_hour") == F.greatest("_first", "_start"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
-from pulseframe.operators.sequence import OrderedRows
+from pulseframe.operators.sequence import islands, numbered
 from pulseframe.session import parallelism
 
 # Operations of a subscription change log.
@@ -116,9 +116,7 @@ def parameter_runs(rows: DataFrame, file_column: str = "file_path", row_column:
     Rows without a parameter are ignored but do not end a run.
     """
     named = rows.where(F.col("param_id").isNotNull()).select(file_column, row_column, "param_id", "ts_ms")
-    ordered = OrderedRows.of(named, [file_column], [row_column]).previous(F.col("param_id"), "_before")
-    starts = F.when(F.col("_before").eqNullSafe(F.col("param_id")), 0).otherwise(1).cast("bigint")
-    runs = ordered.running_sum(starts, "_run").result()
+    runs = islands(named, [file_column], [row_column], "param_id", lambda before, here: before == here, "_run")
     return (
         runs.groupBy(file_column, "_run", "param_id")
         .agg(
@@ -133,7 +131,7 @@ def parameter_runs(rows: DataFrame, file_column: str = "file_path", row_column:
 
 def numbered_packets(packets: DataFrame, order: Sequence[str] = ("ts_ms",)) -> DataFrame:
     """Running packet number per device, from 1, as ``s``."""
-    return OrderedRows.of(packets, ["device_id"], list(order)).numbered("s").result()
+    return numbered(packets, ["device_id"], list(order), "s")
 
 
 def unique_points(points: DataFrame) -> DataFrame:
@@ -175,9 +173,10 @@ def merged_rows(updates: DataFrame, gap_ms: int = MERGE_GAP_MS, tie: str = "para
     time as label and moves its own time forward; a later value of a parameter
     replaces an earlier one.  Result: one line per merged row and parameter.
     """
-    ordered = OrderedRows.of(updates, ["device_id"], ["ts_ms", tie]).previous(F.col("ts_ms"), "_before")
-    opens = F.when(F.col("ts_ms") - F.col("_before") <= gap_ms, 0).otherwise(1).cast("bigint")
-    rows = ordered.running_sum(opens, "row_number").result()
+    wanted = updates.select(*dict.fromkeys(["device_id", "ts_ms", "param_id", "value", tie]))
+    rows = islands(
+        wanted, ["device_id"], ["ts_ms", tie], "ts_ms", lambda before, here: here - before <= gap_ms, "row_number"
+    )
     last = F.max_by("value", F.struct("ts_ms", tie, "value"))
     cells = rows.groupBy("device_id", "row_number", "param_id").agg(
         last.alias("value"), F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last")

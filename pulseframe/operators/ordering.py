@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.operators.latest import top_per_key
-from pulseframe.operators.sequence import OrderedRows
+from pulseframe.operators.sequence import numbered
 
 # Default limits and page bounds.
 QUERY_LIMIT = 100
@@ -52,8 +52,8 @@ def page(
     size = min(max(PAGE_LIMIT if limit is None else limit, PAGE_MIN), PAGE_MAX)
     if offset <= SHALLOW_OFFSET:
         return df.orderBy(*order).offset(offset).limit(size)
-    numbered = OrderedRows.of(df, [], list(order)).numbered("_position").result()
-    return numbered.where(F.col("_position").between(offset + 1, offset + size)).drop("_position").orderBy(*order)
+    positions = numbered(df, [], list(order), "_position")
+    return positions.where(F.col("_position").between(offset + 1, offset + size)).drop("_position").orderBy(*order)
 
 
 def total_rows(df: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Order-dependent work on groups of any size.
 
 A window over ``partitionBy(key)`` sorts a whole key inside one task, which a hot
-key does not survive.  Here the rows are range-partitioned by ``keys + order``
-instead, so a hot key is spread over many equally sized chunks.  Windows then run
-per ``(key, chunk)``, and one small table carries what crosses a chunk border:
-in key order only the *first* key of a chunk can reach back into an earlier one,
-so that table has at most one row per chunk and can always be broadcast.
-
-Chunk numbers must not change between the two uses of the rows, therefore the
-chunked rows are checkpointed to the shared folder.  ``order`` should end in a
-tie-break: rows equal in ``keys + order`` share a chunk.
+key does not survive.  Here rows are range-partitioned by ``keys + order``, so a
+hot key is spread over many equally sized chunks.  Windows run per ``(key,
+chunk)``, and their results are checkpointed to the shared folder, because chunk
+numbers must not change between the two uses that follow: a summary of what
+happens at chunk borders, and the rows themselves.
+
+In key order only the *first* key of a chunk can reach back into an earlier one,
+and only its *last* key into a later one.  What has to be carried over is hence at
+most one row per chunk, whatever the data, and is broadcast.
+
+``order`` should end in a tie-break: rows equal in ``keys + order`` share a chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,92 +24,112 @@ from pyspark.sql import functions as F
 
 from pulseframe.session import checkpointed, parallelism
 
-CHUNK = "_chunk"
-
-
-class OrderedRows:
-    """Rows of a DataFrame in the order of ``keys + order``, cut into chunks."""
-
-    def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str]):
-        self.rows = rows
-        self.keys = list(keys)
-        self.order = list(order)
-
-    @classmethod
-    def of(
-        cls, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None
-    ) -> OrderedRows:
-        count = chunks or parallelism(df.sparkSession)
-        placed = df.repartitionByRange(count, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
-        return cls(checkpointed(placed), keys, order)
-
-    def result(self) -> DataFrame:
-        return self.rows.drop(CHUNK)
+_CHUNK = "_chunk"
 
-    def where(self, condition: Column) -> OrderedRows:
-        return OrderedRows(self.rows.where(condition), self.keys, self.order)
 
-    def with_column(self, name: str, value: Column) -> OrderedRows:
-        return OrderedRows(self.rows.withColumn(name, value), self.keys, self.order)
+class _Chunks:
+    """Rows with window results per chunk, and the joins across chunk borders."""
 
-    def _in_chunk(self, descending: bool = False):
-        order = [F.col(c).desc() if descending else F.col(c).asc() for c in self.order]
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(*order)
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
+        self.keys, self.order = list(keys), list(order)
+        self.columns = df.columns
+        self.rows = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order).withColumn(
+            _CHUNK, F.spark_partition_id()
+        )
+        self.window = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
+
+    def compute(self, **results: Column) -> None:
+        """Evaluate window results, mark both ends of each (key, chunk), keep them on disk."""
+        ends = {
+            "_starts": F.row_number().over(self.window) == 1,
+            "_ends": F.lead(F.lit(True)).over(self.window).isNull(),
+        }
+        self.rows = checkpointed(self.rows.withColumns({**results, **ends}))
+
+    def borders(self, **values: Column) -> DataFrame:
+        """One row per (key, chunk) from its first and last row."""
+        return (
+            self.rows.where(F.col("_starts") | F.col("_ends"))
+            .groupBy(*self.keys, _CHUNK)
+            .agg(*[F.max(value).alias(name) for name, value in values.items()])
+        )
 
-    def _across(self, descending: bool = False):
-        order = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
-        # Without keys there is one row per chunk, never one per input row.
-        return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(order)
+    def across(self):
+        """Window over the chunks of a key; without keys there is one row per chunk."""
+        return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(_CHUNK)
 
-    def _attach(self, carried: DataFrame) -> DataFrame:
-        """Join the border table (at most one row per chunk) to the rows."""
-        renamed = carried.select(
-            *[F.col(k).alias(f"_{k}_carried") for k in self.keys],
-            F.col(CHUNK).alias("_chunk_carried"),
-            "_carried",
+    def attach(self, carried: DataFrame, column: str) -> DataFrame:
+        """Join what is carried into a chunk (at most one row each) to the rows."""
+        renamed = carried.where(F.col(column).isNotNull()).select(
+            *[F.col(k).alias(f"_{k}_key") for k in self.keys], F.col(_CHUNK).alias("_chunk_key"), column
         )
         same = reduce(
             lambda a, b: a & b,
-            [F.col(k).eqNullSafe(F.col(f"_{k}_carried")) for k in self.keys],
-            F.col(CHUNK) == F.col("_chunk_carried"),
+            [F.col(k).eqNullSafe(F.col(f"_{k}_key")) for k in self.keys],
+            F.col(_CHUNK) == F.col("_chunk_key"),
         )
-        return self.rows.join(F.broadcast(renamed), same, "left").drop(
-            *[f"_{k}_carried" for k in self.keys], "_chunk_carried"
-        )
-
-    def _neighbour(self, value: Column, name: str, following: bool) -> OrderedRows:
-        boxed = F.struct(value.alias("v"))
-        position = F.struct(*self.order)
-        edge = F.min_by(boxed, position) if following else F.max_by(boxed, position)
-        edges = self.rows.groupBy(*self.keys, CHUNK).agg(edge.alias("_edge"))
-        carried = edges.withColumn("_carried", F.lag("_edge").over(self._across(descending=following))).where(
-            F.col("_carried").isNotNull()
-        )
-        local = F.lag(boxed).over(self._in_chunk(descending=following))
-        joined = self._attach(carried).withColumn("_local", local)
-        near = F.coalesce("_local", "_carried")
-        return OrderedRows(
-            joined.withColumn(name, near["v"]).drop("_local", "_carried"), self.keys, self.order
-        )
-
-    def previous(self, value: Column, name: str) -> OrderedRows:
-        """``value`` of the row before, within the key (NULL on the first)."""
-        return self._neighbour(value, name, following=False)
-
-    def following(self, value: Column, name: str) -> OrderedRows:
-        """``value`` of the row after, within the key (NULL on the last)."""
-        return self._neighbour(value, name, following=True)
-
-    def running_sum(self, value: Column, name: str) -> OrderedRows:
-        """Sum of ``value`` from the first row of the key up to this one."""
-        totals = self.rows.groupBy(*self.keys, CHUNK).agg(F.sum(value).alias("_total"))
-        earlier = self._across().rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.withColumn("_carried", F.sum("_total").over(earlier)).where(F.col("_carried").isNotNull())
-        local = F.sum(value).over(self._in_chunk().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        joined = self._attach(carried).withColumn("_local", local)
-        total = F.col("_local") + F.coalesce("_carried", F.lit(0))
-        return OrderedRows(joined.withColumn(name, total).drop("_local", "_carried"), self.keys, self.order)
-
-    def numbered(self, name: str) -> OrderedRows:
-        """Row number from 1 within the key."""
-        return self.running_sum(F.lit(1).cast("bigint"), name)
+        return self.rows.join(F.broadcast(renamed), same, "left")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` from the first row of the key up to each row."""
+    chunks = _Chunks(df, keys, order)
+    so_far = chunks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunks.compute(_local=F.sum(value).over(so_far))
+    totals = chunks.borders(_total=F.when(F.col("_ends"), F.col("_local")))
+    earlier = chunks.across().rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("_carried", F.sum("_total").over(earlier))
+    rows = chunks.attach(carried, "_carried")
+    return rows.select(*chunks.columns, (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(name))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Row number from 1 within the key."""
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name)
+
+
+def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``value`` of the next row within the key, NULL on the last."""
+    chunks = _Chunks(df, keys, order)
+    boxed = F.struct(F.col(value).alias("v"))
+    chunks.compute(_local=F.lead(boxed).over(chunks.window))
+    firsts = chunks.borders(_first=F.when(F.col("_starts"), boxed))
+    carried = firsts.withColumn("_carried", F.lead("_first").over(chunks.across()))
+    rows = chunks.attach(carried, "_carried")
+    return rows.select(*chunks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
+
+
+def islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    continues: Callable[[Column, Column], Column],
+    name: str,
+) -> DataFrame:
+    """Number the stretches of neighbouring rows, from 1 within the key.
+
+    ``continues(before, value)`` tells whether a row belongs to the stretch of the
+    row before.  Per chunk the first row opens a stretch; where it continues one
+    of the chunk before, the numbers from there on are one too high.
+    """
+    chunks = _Chunks(df, keys, order)
+    here = F.col(value)
+    joined = F.coalesce(continues(F.lag(here).over(chunks.window), here), F.lit(False))
+    chunks.rows = chunks.rows.withColumn("_opens", F.when(joined, 0).otherwise(1).cast("bigint"))
+    so_far = chunks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunks.compute(_local=F.sum("_opens").over(so_far))
+
+    ends = chunks.borders(
+        _first=F.when(F.col("_starts"), F.struct(here.alias("v"))),
+        _last=F.when(F.col("_ends"), F.struct(here.alias("v"))),
+        _total=F.when(F.col("_ends"), F.col("_local")),
+    )
+    over = chunks.across()
+    before = F.lag("_last").over(over)
+    merged = F.coalesce(continues(before["v"], F.col("_first")["v"]), F.lit(False)).cast("bigint")
+    earlier = F.sum("_total").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    until_here = F.sum("_merged").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carried = ends.withColumn("_merged", merged).withColumn("_carried", earlier - until_here)
+    rows = chunks.attach(carried, "_carried")
+    return rows.select(*chunks.columns, (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(name))

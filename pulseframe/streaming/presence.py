@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulseframe.functions.timeparts import event_time
-from pulseframe.operators.sequence import OrderedRows
+from pulseframe.operators.sequence import following
 
 # Fixed value: grace period.
 GRACE_MS = 30_000
@@ -53,12 +53,11 @@ def expired_clients(events: DataFrame, until_ms: int, grace_ms: int = GRACE_MS)
     cannot be read are not events: leave them out.
     """
     buckets = activity(events.withColumn("event_time", event_time(F.col("ts_ms"))), grace_ms).drop("window")
-    ordered = OrderedRows.of(buckets, ["client_id"], ["first_ts"]).following(F.col("first_ts"), "_next")
+    ordered = following(buckets, ["client_id"], ["first_ts"], "first_ts", "_next")
     quiet_until = F.coalesce("_next", F.lit(until_ms))
     expiry = F.col("last_ts") + F.lit(grace_ms)
     return (
-        ordered.result()
-        .where(F.col("offline") & (quiet_until > expiry))
+        ordered.where(F.col("offline") & (quiet_until > expiry))
         .select("client_id", F.col("last_ts").alias("offline_ts"), expiry.alias("expired_ts"))
     )
 
