@@ -48,6 +48,8 @@ def _wide(points: DataFrame, params: Sequence[str], keys: Sequence[str]) -> Data
     shuffle.  Many columns: ``pivot``, which costs a second shuffle but no longer
     tests every row against every column.
     """
+    if not params:
+        return points.select(*keys).distinct()
     if len(params) > MAX_CONDITIONAL_COLUMNS:
         return points.groupBy(*keys).pivot("param_id", list(params)).agg(F.max("value"))
     cells = [F.max(F.when(F.col("param_id") == p, F.col("value"))).alias(p) for p in params]

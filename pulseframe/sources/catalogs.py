@@ -93,9 +93,10 @@ def file_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
         .option("pathGlobFilter", glob)
         .load(root)
         .select(
-            F.col("path").alias("file_path"),
-            F.substring_index("path", "/", -1).alias("file_name"),
-            F.regexp_replace("path", "/[^/]*$", "").alias("directory"),
+            # Spelled as in the scans this is joined with; ``path`` has another URI form.
+            F.col("_metadata.file_path").alias("file_path"),
+            F.substring_index("_metadata.file_path", "/", -1).alias("file_name"),
+            F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("directory"),
             F.col("length").alias("bytes"),
         )
     )
