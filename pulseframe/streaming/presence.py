@@ -91,7 +91,10 @@ class _Presence(StatefulProcessor):
             self.pending.clear()
         else:
             self.pending.update((int(left_open),))
-            self.handle.registerTimer(int(left_open) + self.grace_ms)
+            # An answer may sit in the bucket that holds the expiry, and that bucket
+            # arrives when it ends: only then is the silence certain.
+            expiry = int(left_open) + self.grace_ms
+            self.handle.registerTimer(expiry - expiry % self.grace_ms + self.grace_ms)
         if len(silent):
             yield self._expired(key, silent.astype("int64").tolist())
 
@@ -109,7 +112,8 @@ def expired_client_stream(events: DataFrame, grace_ms: int = GRACE_MS, lateness:
     """Streaming form: one output row per expired client session.
 
     State is one time per client that is offline.  Events later than
-    ``lateness`` are not seen.
+    ``lateness`` are not seen.  An expiry is reported when the watermark passes
+    the end of the bucket it falls into, at most one grace period after it.
     """
     events.sparkSession.conf.set(STATE_STORE_CONF, ROCKSDB)
     timed = events.withColumn("event_time", event_time(F.col("ts_ms"))).withWatermark("event_time", lateness)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.operators import latest
@@ -80,16 +82,18 @@ def test_presence_across_batches(spark, tmp_path, rows):
         return spark.createDataFrame([(c, T0 + t, o) for c, t, o in events], schema)
 
     frames = [
-        frame(("back", 0, False), ("gone", 0, False), ("command", 0, False), ("again", 0, False), ("same", 5, False)),
-        frame(("back", 30000, True), ("command", 29999, None), ("again", 20000, False), ("tick", 31000, True)),
+        frame(("back", 0, False), ("gone", 0, False), ("command", 0, False), ("again", 0, False), ("same", 5, False), ("edge", 29000, False)),
+        frame(("edge", 58999, True), ("back", 30000, True), ("command", 29999, None), ("again", 20000, False), ("tick", 31000, True)),
         frame(("tick", 45000, True), ("again", 49000, True)),
+        frame(("tick", 60500, True)),
+        frame(("tick", 62000, True)),
         frame(("tick", 10_000_000, True)),
         frame(("tick", 20_000_000, True)),
     ]
     got = drain(spark, frames, lambda s: presence.expired_client_stream(s, 30000, "1 second"), tmp_path)
     found = [(c, a - T0, b - T0) for c, a, b in rows(got)]
     assert found == [("gone", 0, 30000), ("same", 5, 30005)]
-    batch = presence.expired_clients(frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]).unionByName(frames[4]), T0 + 20_000_000)
+    batch = presence.expired_clients(reduce(DataFrame.unionByName, frames), T0 + 20_000_000)
     assert [(c, a - T0, b - T0) for c, a, b in rows(batch)] == found
 
 
