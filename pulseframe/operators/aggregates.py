@@ -214,16 +214,17 @@ def value_summary(df: DataFrame, value: str, keys: Sequence[str] = (), quantile:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     ranked = running_sum(counts, keys, ["_v"], F.col("_n"), "_upto")
     totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"))
-    rank = F.ceil(F.col("_total") * F.lit(float(quantile)))
     if keys:
         joined = ranked.join(totals, keys)
+        total, weighted = F.col("_total"), F.first("_sum")
     else:
-        # One row of totals.
-        joined = ranked.join(F.broadcast(totals), F.lit(True))
+        joined = ranked
+        total, weighted = totals.select("_total").scalar(), totals.select("_sum").scalar()
+    reached = F.col("_upto") >= F.ceil(total * F.lit(float(quantile)))
     return joined.groupBy(*keys).agg(
         F.min("_v").alias("min_value"),
-        (F.first("_sum") / F.first("_total")).alias("avg_value"),
-        F.min(F.when(F.col("_upto") >= rank, F.col("_v"))).alias("quantile_value"),
+        (weighted / (F.first("_total") if keys else total)).alias("avg_value"),
+        F.min(F.when(reached, F.col("_v"))).alias("quantile_value"),
         F.max("_v").alias("max_value"),
     )
 

@@ -115,11 +115,32 @@ def _block_ranges(first: Column, last: Column) -> Column:
     return F.array(*ranges)
 
 
-def _enclosing_blocks(hour: Column) -> Column:
-    """The block of each level an hour lies in."""
-    return F.array(
-        *[F.struct(F.lit(n).alias("_level"), F.shiftright(hour, _BITS * n).alias("_at")) for n in _LEVELS]
+def _covered(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """One row per block ``_level, _at`` that covers the hours ``_first…``."""
+    return (
+        df.select("*", first.alias("_first"), last.alias("_last"))
+        .select("*", F.inline(_block_ranges(F.col("_first"), F.col("_last"))))
+        .where(F.col("_low") <= F.col("_high"))
+        .select("*", F.explode(F.sequence("_low", "_high")).alias("_at"))
+        .drop("_last", "_low", "_high")
+    )
+
+
+def _enclosed(blocks: DataFrame, itself: bool) -> DataFrame:
+    """Each block with the blocks around it (``_node_level, _node_at``)."""
+    shift = [(F.lit(n) - F.col("_level")) * _BITS for n in _LEVELS]
+    nodes = F.array(
+        *[
+            F.struct(F.lit(n).alias("_node_level"), F.call_function("shiftright", F.col("_at"), by).alias("_node_at"))
+            for n, by in zip(_LEVELS, shift)
+        ]
     )
+    around = blocks.select("*", F.inline(nodes))
+    return around.where(F.col("_node_level") >= F.col("_level") if itself else F.col("_node_level") > F.col("_level"))
+
+
+def _as_nodes(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumnsRenamed({"_level": "_node_level", "_at": "_node_at"})
 
 
 def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None = None) -> DataFrame:
@@ -127,35 +148,32 @@ def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None =
 
     ``intervals``: ``device_id, from_ms, to_ms, …``; ``segments``: ``device_id,
     min_ts, max_ts, …``.  A theta join would compare every interval of a device
-    with every segment.  Instead an interval becomes a few aligned blocks of
-    hours (however long it is) and a segment hour its enclosing block on each
-    level; those match on equality.  A pair that meets in several hours is kept
-    only in the later of the two first hours, so no duplicate removal is needed.
-    ``param`` names an interval column that the segment's parameter set must
-    contain (an empty set may contain anything).
+    with every segment.  Instead both become a few aligned blocks of hours,
+    however long they are, and two blocks share time only if one lies in the
+    other.  That is an equality between a block and the blocks around another one,
+    once in each direction.  A pair may meet in several blocks; it is kept only in
+    the one that holds the later of the two first hours, so no duplicate removal
+    is needed.  ``param`` names an interval column that the segment's parameter
+    set must contain (an empty set may contain anything).
     """
-    first_hour, last_hour = _hour(F.col("from_ms")), _hour(F.col("to_ms"))
-    asked = (
-        intervals.where(F.col("from_ms") <= F.col("to_ms"))
-        .select("*", first_hour.alias("_first"), last_hour.alias("_last"))
-        .select("*", F.inline(_block_ranges(F.col("_first"), F.col("_last"))))
-        .where(F.col("_low") <= F.col("_high"))
-        .select("*", F.explode(F.sequence("_low", "_high")).alias("_at"))
-        .drop("_last", "_low", "_high")
-    )
-    start = _hour(F.col("min_ts"))
-    stored = (
-        segments.where(F.col("min_ts") <= F.col("max_ts"))
-        .select("*", start.alias("_start"), F.explode(F.sequence(start, _hour(F.col("max_ts")))).alias("_hour"))
-        .select("*", F.inline(_enclosing_blocks(F.col("_hour"))))
-    )
-    pairs = asked.join(stored, ["device_id", "_level", "_at"]).where(
-        intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
-        & (F.col("_hour") == F.greatest("_first", "_start"))
+    asked = _covered(intervals.where(F.col("from_ms") <= F.col("to_ms")), _hour(F.col("from_ms")), _hour(F.col("to_ms")))
+    stored = _covered(segments.where(F.col("min_ts") <= F.col("max_ts")), _hour(F.col("min_ts")), _hour(F.col("max_ts")))
+    stored = stored.withColumnRenamed("_first", "_start")
+    met_in = F.greatest("_first", "_start")
+    # The inner block keeps its own level and position.
+    meets = F.call_function("shiftright", met_in, F.col("_level") * _BITS) == F.col("_at")
+    overlap = intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
+    on = ["device_id", "_node_level", "_node_at"]
+    # Blocks of more than an hour are the only ones that can hold an interval's block inside.
+    wide = stored.where(F.col("_level") > 0)
+    pairs = (
+        _as_nodes(asked).join(_enclosed(stored, itself=True), on)
+        .unionByName(_enclosed(asked, itself=False).join(_as_nodes(wide), on))
+        .where(overlap & meets)
     )
     if param is not None:
         pairs = pairs.where((F.size("param_ids") == 0) | F.array_contains("param_ids", F.col(param)))
-    return pairs.drop("_level", "_at", "_first", "_start", "_hour")
+    return pairs.drop("_node_level", "_node_at", "_level", "_at", "_first", "_start")
 
 
 def device_status(devices: DataFrame, points: DataFrame) -> DataFrame:

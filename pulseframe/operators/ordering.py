@@ -17,7 +17,7 @@ RAW_LIMIT = 200
 PAGE_LIMIT, PAGE_MIN, PAGE_MAX = 200, 1, 5_000
 
 # Offsets up to here are read with a top-k; deeper pages count rows per chunk.
-SHALLOW_OFFSET = 100_000
+SHALLOW_OFFSET = PAGE_MAX
 
 
 def by_time(points: DataFrame) -> DataFrame:

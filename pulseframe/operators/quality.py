@@ -89,6 +89,12 @@ def shown_issues(issues: DataFrame, n: int = SHOWN_ISSUES) -> DataFrame:
     return issues.orderBy("issue", "location", "detail").limit(n)
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Several one-row results side by side, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def consistency_report(inventory: DataFrame, lines: DataFrame, span: TimeRange, tz: str = "UTC") -> DataFrame:
     """One row of counts for the same checks."""
     hours = _hours(inventory, span, tz).agg(
@@ -102,7 +108,7 @@ def consistency_report(inventory: DataFrame, lines: DataFrame, span: TimeRange,
         F.count_if("reversed").alias("invalid_entries"),
         F.count_if("missing").alias("missing_segment_files"),
     )
-    counted = hours.join(F.broadcast(entries), F.lit(True))  # both sides are one row
+    counted = _one_row(hours, entries)
     kinds = ["missing_manifest", "bad_manifest_lines", "invalid_entries", "missing_segment_files"]
     return counted.withColumn("issues", reduce(add, [F.col(k) for k in kinds]))
 
@@ -151,7 +157,7 @@ def import_check(source: DataFrame, stored: DataFrame, mode: str = schema.MODE_L
     a = source.select(F.col("packets").alias("source_packets"), F.col("points").alias("source_points"))
     b = stored.select(F.col("rows").alias("stored_rows"), F.col("points").alias("stored_points"))
     expected = F.col("source_points") if long_rows else F.col("source_packets")
-    return a.join(F.broadcast(b), F.lit(True)).withColumns(  # both sides are one row
+    return _one_row(a, b).withColumns(
         {
             "rows_match": F.col("stored_rows") == expected,
             "points_match": F.col("stored_points") == F.col("source_points"),

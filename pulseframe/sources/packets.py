@@ -176,7 +176,7 @@ def parse_published(messages: DataFrame, column: str = "value") -> DataFrame:
 
 def parse_flat_payload(payload: Column, strict_case: bool = False) -> Column:
     """Flat ``{"P00001": 1.5, …}`` payload to an array of points (empty when unusable)."""
-    members = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    members = F.from_json(payload, "map<string,variant>")
     none = F.array().cast(schema.POINTS)
     return F.coalesce(object_points(members, strict_case), none)
 

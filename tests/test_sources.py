@@ -202,3 +202,9 @@ def test_partition_keys_stay_text(spark, tmp_path):
     kept = segments.read_table(spark, str(tmp_path / "t")).first()
     assert (inferred["day"], inferred["hour"]) == (kept["day"], kept["hour"]) == ("2024-01-01", "05")
     assert kept["device_id"] == "007"
+
+
+def test_repeated_keys_of_a_flat_payload(spark):
+    rows = [("d", 1, '{"P00001":1,"P00001":2,"p00001":3}'), ("d", 2, "1"), ("d", 3, '"x"'), ("d", 4, "null"), ("d", 5, '{"P00001":1'), ("d", 6, None)]
+    messages = spark.createDataFrame(rows, "device_id string, ts_ms bigint, payload string")
+    assert points_of(packets.flat_packets(messages)) == [[("P00001", 2.0)]]
