@@ -164,11 +164,13 @@ def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None =
     meets = F.call_function("shiftright", met_in, F.col("_level") * _BITS) == F.col("_at")
     overlap = intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
     on = ["device_id", "_node_level", "_node_at"]
-    # Blocks of more than an hour are the only ones that can hold an interval's block inside.
+    # Only blocks of more than an hour can hold an interval's block inside.  Segments
+    # rarely span hours, so intervals of other devices are left out before they multiply.
     wide = stored.where(F.col("_level") > 0)
+    beside_wide = asked.join(wide.select("device_id").distinct(), "device_id", "left_semi")
     pairs = (
         _as_nodes(asked).join(_enclosed(stored, itself=True), on)
-        .unionByName(_enclosed(asked, itself=False).join(_as_nodes(wide), on))
+        .unionByName(_enclosed(beside_wide, itself=False).join(_as_nodes(wide), on))
         .where(overlap & meets)
     )
     if param is not None:

@@ -44,15 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of its own; on a cluster a
     machine-local folder would lose data with its executor, so that is an error.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
     context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if named:
+        return named
     if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="pulseframe-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="pulseframe-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import DataFrame
@@ -110,6 +111,27 @@ def test_merged_rows_on_a_stream(spark, tmp_path, rows):
 
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == (configured or shared_dir(spark))
+    assert shared_dir(spark) == (configured or spark.sparkContext.getCheckpointDir())
     assert scratch_path(spark, "a").startswith(shared_dir(spark).rstrip("/"))
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+class Context:
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+@pytest.mark.parametrize("master", ["local[2]", "yarn"])
+def test_only_a_local_master_may_use_its_own_folder(master):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=Context(master))
+    if master == "yarn":
+        with pytest.raises(ValueError):
+            shared_dir(session)
+    else:
+        assert shared_dir(session) == shared_dir(session) == session.sparkContext.folder
