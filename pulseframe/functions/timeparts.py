@@ -16,6 +16,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulseframe.functions.columns import evaluated_once
+
 SECOND_MS = 1_000
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
@@ -60,8 +62,7 @@ def wall_millis(date: Column, hour: Column, tz: str = "UTC") -> Column:
     if tz == "UTC":
         return as_utc
     shifted = F.convert_timezone(F.lit(tz), F.lit("UTC"), local_time(as_utc))
-    # Bound to a lambda variable, because ntz_millis mentions it four times.
-    return F.get(F.transform(F.array(shifted), ntz_millis), F.lit(0))
+    return evaluated_once(shifted, ntz_millis)
 
 
 def _local_date(ts_ms: Column, tz: str) -> Column:

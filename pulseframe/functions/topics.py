@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulseframe.functions.codes import normalise_param
+from pulseframe.functions.columns import evaluated_once
 
 # Parts of topic names and message kinds.
 TOPIC_PREFIX = "gw"
@@ -84,43 +85,54 @@ def _variant_text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", value.cast("string")).otherwise(F.to_json(value))
 
 
-def _first_present(value: Column, fields: list[str]) -> Column:
-    """First field that is present and not a JSON null."""
-    members = [F.try_variant_get(value, f"$['{field}']", "variant") for field in fields]
-    return F.coalesce(*[F.when(F.schema_of_variant(m) != "VOID", m) for m in members])
+def _member(members: Column, name: str | Column) -> Column:
+    """A member that is present and not a JSON null."""
+    found = F.element_at(members, name)
+    return F.when(F.schema_of_variant(found) != "VOID", found)
 
 
-def pick_param_value(payload: Column, param_id: Column) -> Column:
-    """Text of one parameter in a message of any of the known shapes.
+def _point_fields(point: Column) -> Column:
+    """Normalised name and value text of a point in any of its spellings."""
+
+    def read(members: Column) -> Column:
+        name = F.coalesce(*[_member(members, field) for field in POINT_NAME_FIELDS])
+        value = F.coalesce(*[_member(members, field) for field in POINT_VALUE_FIELDS])
+        name_text = F.when(F.schema_of_variant(name) == "STRING", normalise_param(name.cast("string")))
+        return F.struct(name_text.alias("name"), _variant_text(value).alias("text"))
+
+    return evaluated_once(F.try_variant_get(point, "$", "map<string,variant>"), read)
+
 
-    Looks at the top level, then inside ``data``, then through ``points``.
+def message_fields(payload: Column) -> Column:
+    """A message taken apart once: top-level members, ``data`` members, points.
+
+    ``usable`` is false for text that is not JSON and for a JSON null.  Keep the result in a column of its own when several parameters are picked.
     """
-    value = F.try_parse_json(payload)
-    wanted = normalise_param(param_id)
 
-    def member(holder: Column, name: Column) -> Column:
-        found = F.element_at(holder, name)
-        return F.when(F.schema_of_variant(found) != "VOID", found)
-
-    top = F.try_variant_get(value, "$", "map<string,variant>")
-    data = F.try_variant_get(value, "$.data", "map<string,variant>")
-    direct = F.coalesce(member(top, wanted), member(top, param_id), member(data, wanted))
-
-    points = F.try_variant_get(value, "$.points", "array<variant>")
-    match = F.get(
-        F.filter(
-            points,
-            lambda p: F.coalesce(
-                normalise_param(
-                    F.when(
-                        F.schema_of_variant(_first_present(p, POINT_NAME_FIELDS)) == "STRING",
-                        _first_present(p, POINT_NAME_FIELDS).cast("string"),
-                    )
-                )
-                == wanted,
-                F.lit(False),
-            ),
-        ),
-        F.lit(0),
+    def take(value: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False)).alias("usable"),
+            F.try_variant_get(value, "$", "map<string,variant>").alias("top"),
+            F.try_variant_get(value, "$.data", "map<string,variant>").alias("data"),
+            F.transform(F.try_variant_get(value, "$.points", "array<variant>"), _point_fields).alias("points"),
+        )
+
+    return evaluated_once(F.try_parse_json(payload), take)
+
+
+def pick_from(fields: Column, param_id: Column) -> Column:
+    """Text of one parameter in a message taken apart by :func:`message_fields`.
+
+    Looks at the top level, then inside ``data``, then through the points.
+    """
+    wanted = normalise_param(param_id)
+    direct = F.coalesce(
+        _member(fields["top"], wanted), _member(fields["top"], param_id), _member(fields["data"], wanted)
     )
-    return F.coalesce(_variant_text(direct), _variant_text(_first_present(match, POINT_VALUE_FIELDS)), F.lit(MISSING_TEXT))
+    named = F.filter(fields["points"], lambda p: p["name"] == wanted)
+    return F.coalesce(_variant_text(direct), F.get(named, F.lit(0))["text"], F.lit(MISSING_TEXT))
+
+
+def pick_param_value(payload: Column, param_id: Column) -> Column:
+    """Text of one parameter in a message of any of the known shapes."""
+    return evaluated_once(message_fields(payload), lambda fields: pick_from(fields, param_id))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
 from pulseframe.functions.timeparts import HOUR_MS, floor_div, intervals_overlap
-from pulseframe.functions.topics import MISSING_TEXT, pick_param_value, topic_device, topic_param
+from pulseframe.functions.topics import MISSING_TEXT, message_fields, pick_from, topic_device, topic_param
 
 # Hours are grouped in aligned blocks of 8^level hours; level 8 spans 2^24 hours,
 # which reach to the year 3883.  Later times are clamped to the last hour.
@@ -200,26 +200,23 @@ def select_live(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     a dash where the message does not carry it.  ``values`` is a map from
     parameter to text.
     """
-    value = F.try_parse_json("payload")
-    device_in_payload = F.when(
-        F.schema_of_variant(F.try_variant_get(value, "$.device_id", "variant")) == "STRING",
-        F.try_variant_get(value, "$.device_id", "string"),
-    )
-    own = F.try_variant_get(value, "$.value", "variant")
-    heard = messages.where(value.isNotNull()).select(
-        "topic",
+    # Taken apart once per message, before the join multiplies it.
+    parsed = messages.select("topic", "ts_ms", message_fields(F.col("payload")).alias("_fields"))
+    member = lambda name: F.element_at("_fields.top", name)
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    heard = parsed.where("_fields.usable").select(
         "ts_ms",
-        "payload",
-        F.coalesce(F.nullif(topic_device(F.col("topic")), F.lit("")), device_in_payload).alias("device_id"),
+        "_fields",
+        F.coalesce(F.nullif(topic_device(F.col("topic")), F.lit("")), text(member("device_id"))).alias("device_id"),
         topic_param(F.col("topic")).alias("topic_param"),
-        F.when(F.schema_of_variant(own) == "STRING", own.cast("string")).otherwise(F.to_json(own)).alias("_own"),
     )
     wanted = subscriptions.select("device_id", F.col("param_ids").alias("_wanted"))
     joined = heard.join(wanted, "device_id").where(
         (F.col("topic_param") == "") | F.array_contains("_wanted", F.col("topic_param"))
     )
-    single = F.create_map(F.col("topic_param"), F.coalesce("_own", F.lit(MISSING_TEXT)))
-    every = F.map_from_arrays("_wanted", F.transform("_wanted", lambda p: pick_param_value(F.col("payload"), p)))
+    own = F.coalesce(text(member("value")), F.to_json(member("value")), F.lit(MISSING_TEXT))
+    single = F.create_map(F.col("topic_param"), own)
+    every = F.map_from_arrays("_wanted", F.transform("_wanted", lambda p: pick_from(F.col("_fields"), p)))
     return joined.select(
         "device_id", "ts_ms", "topic_param", F.when(F.col("topic_param") != "", single).otherwise(every).alias("values")
     )

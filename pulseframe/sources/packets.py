@@ -7,22 +7,16 @@ apart from strings and booleans *before* any cast.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe import schema
 from pulseframe.functions import codes
+from pulseframe.functions.columns import evaluated_once
 
 _BAD = "_bad_record"
 
 
-def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` to a lambda variable so that ``use`` may mention it repeatedly."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def is_json_number(value: Column) -> Column:
     """True for a VARIANT that holds a JSON number."""
     return F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")

@@ -120,11 +120,13 @@ def test_live_selection(spark, rows):
             ("any", '{"device_id":"d1","P00001":1}', 5),
             ("gw/d2/P00001", '{"value":1}', 6),
             ("gw/d1/P00001", "broken", 7),
+            ("gw/d1/P00001", "null", 8),
+            ("gw/d1/P00001", "5", 9),
         ],
         "topic string, payload string, ts_ms bigint",
     )
     got = joins.select_live(messages, subs).select("ts_ms", F.explode("values"))
-    assert rows(got) == [(1, "P00001", "on"), (2, "P00001", "-"), (4, "P00001", "-"), (4, "Z00001", "2"), (5, "P00001", "1"), (5, "Z00001", "-")]
+    assert rows(got) == [(1, "P00001", "on"), (2, "P00001", "-"), (4, "P00001", "-"), (4, "Z00001", "2"), (5, "P00001", "1"), (5, "Z00001", "-"), (9, "P00001", "-")]
 
 
 def test_totals(spark):
