@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
+from pulseframe.functions.columns import has_items, rows_where
 from pulseframe.functions.timeparts import HOUR_MS, floor_div, intervals_overlap
 from pulseframe.functions.topics import MISSING_TEXT, message_fields, pick_from, topic_device, topic_param
 
@@ -32,10 +33,8 @@ def fan_out(packets: DataFrame, subscriptions: DataFrame) -> DataFrame:
         "client_id", "device_id", codes.subscription_params(F.col("param_ids")).alias("_wanted")
     )
     selected = F.array_sort(F.filter("points", lambda p: F.array_contains("_wanted", p["param_id"])))
-    return (
-        packets.join(wanted, "device_id")
-        .select("client_id", "device_id", "ts_ms", selected.alias("points"))
-        .where(F.size("points") > 0)
+    return packets.join(wanted, "device_id").select(
+        "client_id", "device_id", "ts_ms", rows_where(selected, has_items).alias("points")
     )
 
 
@@ -201,10 +200,11 @@ def select_live(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     parameter to text.
     """
     # Taken apart once per message, before the join multiplies it.
-    parsed = messages.select("topic", "ts_ms", message_fields(F.col("payload")).alias("_fields"))
+    usable = rows_where(message_fields(F.col("payload")), lambda fields: fields["usable"])
+    parsed = messages.select("topic", "ts_ms", usable.alias("_fields"))
     member = lambda name: F.element_at("_fields.top", name)
     text = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
-    heard = parsed.where("_fields.usable").select(
+    heard = parsed.select(
         "ts_ms",
         "_fields",
         F.coalesce(F.nullif(topic_device(F.col("topic")), F.lit("")), text(member("device_id"))).alias("device_id"),

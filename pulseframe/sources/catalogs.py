@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe import schema
 from pulseframe.functions import codes
+from pulseframe.functions.columns import rows_where
 
 _BAD = "_bad_record"
 
@@ -27,24 +30,26 @@ def parse_manifest_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     ``bad_line``; ``line`` is the text as read.  Missing points become 0, a missing mode packet wide.
     """
     carried = [c for c in lines.columns if c != "value"]
-    parsed = lines.where(codes.trimmed(F.col("value")) != "").select(
-        *carried,
+    entry = F.from_json(
         "value",
-        F.from_json(
-            "value",
-            f"{schema.SEGMENT_MANIFEST}, {_BAD} string",
-            {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"},
-        ).alias("m"),
+        f"{schema.SEGMENT_MANIFEST}, {_BAD} string",
+        {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"},
+    )
+
+    def is_good(m: Column) -> Column:
+        present = [m[c].isNotNull() for c in ("segment_file", "min_ts", "max_ts", "rows")]
+        return F.coalesce(reduce(and_, present, m[_BAD].isNull()), F.lit(False))
+
+    def keep(m: Column) -> Column:
+        failed = F.raise_error(F.concat(F.lit("bad manifest line: "), m["line"])).cast("boolean")
+        return F.when(is_good(m), F.lit(True)).otherwise(failed if strict else F.lit(True))
+
+    parsed = lines.where(codes.trimmed(F.col("value")) != "").select(
+        *carried, rows_where(entry.withField("line", F.col("value")), keep).alias("m")
     )
-    required = [F.col(f"m.{c}").isNotNull() for c in ("segment_file", "min_ts", "max_ts", "rows")]
-    good = F.col(f"m.{_BAD}").isNull()
-    for test in required:
-        good = good & test
-    good = F.coalesce(good, F.lit(False))
-    if strict:
-        failed = F.raise_error(F.concat(F.lit("bad manifest line: "), F.col("value"))).cast("boolean")
-        parsed = parsed.where(F.when(good, F.lit(True)).otherwise(failed))
-    return parsed.select(
+    judged = parsed.select(*carried, "m", is_good(F.col("m")).alias("_good"))
+    good = F.col("_good")
+    return judged.select(
         *carried,
         F.when(good, F.col("m.segment_file")).alias("segment_file"),
         F.when(good, F.col("m.min_ts")).alias("min_ts"),
@@ -55,7 +60,7 @@ def parse_manifest_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
         F.when(good, _canonical_mode(F.col("m.mode"))).alias("mode"),
         F.when(good, F.coalesce("m.param_ids", F.array().cast("array<string>"))).alias("param_ids"),
         (~good).alias("bad_line"),
-        F.col("value").alias("line"),
+        F.col("m.line").alias("line"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseframe import schema
 from pulseframe.functions import codes
-from pulseframe.functions.columns import evaluated_once
+from pulseframe.functions.columns import evaluated_once, has_items, rows_where
 
 _BAD = "_bad_record"
 
@@ -88,30 +88,31 @@ def parse_packet_lines(lines: DataFrame, mode: str = "strict", ts_unit: str = "m
     if mode not in ("strict", "skip", "lenient"):
         raise ValueError(f"unknown mode: {mode!r}")
     scale = {"ms": 1, "s": 1_000}[ts_unit]
-    # A struct field read twice as text tells a missing value from a wrong type.
+
+    def keep(r: Column) -> Column:
+        whole = r[_BAD].isNull() & r["p"].isNotNull()
+        complete = whole & r["t"].isNotNull() & r["id"].isNotNull() & (r["t"] >= 0)
+        if mode == "lenient":
+            return whole
+        if mode == "skip":
+            return F.coalesce(complete, F.lit(False))
+        failed = F.raise_error(F.concat(F.lit("bad packet line: "), r["line"])).cast("boolean")
+        return F.when(complete, F.lit(True)).otherwise(failed)
+
+    def record(line: Column) -> Column:
+        parsed = F.from_json(
+            line, f"{schema.PACKET_LINE}, {_BAD} string", {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"}
+        )
+        return parsed.withField("line", line) if mode == "strict" else parsed
+
     parsed = lines.where(codes.trimmed(F.col("value")) != "").select(
-        "value",
-        F.from_json(
-            "value",
-            f"{schema.PACKET_LINE}, {_BAD} string",
-            {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"},
-        ).alias("r"),
+        rows_where(record(F.col("value")), keep).alias("r")
     )
-    complete = F.col("r.t").isNotNull() & F.col("r.id").isNotNull() & (F.col("r.t") >= 0)
-    good = F.col(f"r.{_BAD}").isNull() & F.col("r.p").isNotNull()
-    if mode == "strict":
-        failed = F.raise_error(F.concat(F.lit("bad packet line: "), F.col("value"))).cast("boolean")
-        parsed = parsed.where(F.when(good & complete, F.lit(True)).otherwise(failed))
-    elif mode == "skip":
-        parsed = parsed.where(good & complete)
-    else:
-        parsed = parsed.where(good)
-    points = object_points(F.col("r.p"))
     return parsed.select(
         F.coalesce(F.col("r.id"), F.lit("unknown")).alias("device_id"),
         (F.coalesce(F.col("r.t"), F.lit(0)) * F.lit(scale)).cast("bigint").alias("ts_ms"),
         F.col("r.s").alias("seq"),
-        points.alias("points"),
+        object_points(F.col("r.p")).alias("points"),
     ).withColumn("skipped", F.size("points") == 0)
 
 
@@ -130,13 +131,12 @@ def parse_ingest_batches(lines: DataFrame) -> DataFrame:
 
     Unreadable lines are skipped, so a log cut off in its last line is fine.
     """
-    parsed = lines.select(
-        F.from_json(
-            "value",
-            f"{schema.INGEST_BATCH}, {_BAD} string",
-            {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"},
-        ).alias("r")
-    ).where(F.col(f"r.{_BAD}").isNull() & F.col("r.device_id").isNotNull())
+    batch = F.from_json(
+        "value",
+        f"{schema.INGEST_BATCH}, {_BAD} string",
+        {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"},
+    )
+    parsed = lines.select(rows_where(batch, lambda r: r[_BAD].isNull() & r["device_id"].isNotNull()).alias("r"))
     return parsed.select(
         F.col("r.device_id").alias("device_id"),
         F.col("r.recv_ts").alias("recv_ts"),
@@ -155,8 +155,9 @@ def parse_published(messages: DataFrame, column: str = "value") -> DataFrame:
     Non-finite values and packets left empty are dropped; the receive time is
     the packet time.
     """
-    parsed = messages.select(F.from_json(F.col(column), schema.PUBLISHED_PACKET).alias("r")).where(
-        F.col("r.device_id").isNotNull() & F.col("r.ts_ms").isNotNull()
+    packet = F.from_json(F.col(column), schema.PUBLISHED_PACKET)
+    parsed = messages.select(
+        rows_where(packet, lambda r: r["device_id"].isNotNull() & r["ts_ms"].isNotNull()).alias("r")
     )
     kept = F.filter("r.points", lambda p: p["id"].isNotNull() & is_finite(p["value"]))
     named = F.transform(kept, lambda p: F.struct(p["id"].alias("param_id"), p["value"].alias("value")))
@@ -164,8 +165,8 @@ def parse_published(messages: DataFrame, column: str = "value") -> DataFrame:
         F.col("r.device_id").alias("device_id"),
         F.col("r.ts_ms").alias("ts_ms"),
         F.col("r.ts_ms").alias("recv_ts"),
-        named.alias("points"),
-    ).where(F.size("points") > 0)
+        rows_where(named, has_items).alias("points"),
+    )
 
 
 def parse_flat_payload(payload: Column, strict_case: bool = False) -> Column:
@@ -177,6 +178,5 @@ def parse_flat_payload(payload: Column, strict_case: bool = False) -> Column:
 
 def flat_packets(messages: DataFrame, strict_case: bool = False) -> DataFrame:
     """``device_id, ts_ms, payload`` messages to packets that have a point."""
-    return messages.select(
-        "device_id", "ts_ms", parse_flat_payload(F.col("payload").cast("string"), strict_case).alias("points")
-    ).where(F.size("points") > 0)
+    points = parse_flat_payload(F.col("payload").cast("string"), strict_case)
+    return messages.select("device_id", "ts_ms", rows_where(points, has_items).alias("points"))
