@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import cache, reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,9 @@ BOUNDARY_MS = 1704672000000
 NOW_MS = 1706659200000
 
 
+@cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, opened once per session: the footer need not be read again for its schema."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,15 +76,16 @@ def points(
     scan can use them.
     """
     events = table(spark, sf_dir, "events")
+    conditions = []
     if device is not None:
-        events = events.where(F.col("user_id") == device)
+        conditions.append(F.col("user_id") == device)
     if params:
-        events = events.where(F.col("event_type").isin([EVENT_OF_PARAM[p] for p in params]))
+        conditions.append(F.col("event_type").isin([EVENT_OF_PARAM[p] for p in params]))
     if from_ms is not None:
-        events = events.where(F.col("ts") >= _ntz(from_ms))
+        conditions.append(F.col("ts") >= _ntz(from_ms))
     if to_ms is not None:
-        events = events.where(F.col("ts") < _ntz(to_ms + 1))
-    return as_points(events)
+        conditions.append(F.col("ts") < _ntz(to_ms + 1))
+    return as_points(events.where(reduce(and_, conditions)) if conditions else events)
 
 
 def _ntz(ms: int) -> Column:

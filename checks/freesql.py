@@ -115,9 +115,8 @@ _same(
 _same("sql_13_top_k", "SELECT event_id, value FROM pts ORDER BY value DESC, event_id LIMIT 50 OFFSET 10")
 _both(
     "sql_14_time_buckets",
-    """SELECT date_format(date_trunc('DAY', timestamp_millis(ts_ms)), 'yyyy-MM-dd') AS day, hour(timestamp_millis(ts_ms)) AS hour,
-              dayofweek(timestamp_millis(ts_ms)) AS weekday, count(*) AS n
-       FROM pts GROUP BY 1, 2, 3""",
+    """SELECT CAST(CAST(at AS DATE) AS STRING) AS day, hour(at) AS hour, dayofweek(at) AS weekday, count(*) AS n
+       FROM (SELECT timestampadd(MILLISECOND, ts_ms, timestamp_ntz'1970-01-01 00:00:00') AS at FROM pts) GROUP BY 1, 2, 3""",
     """SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, CAST(extract(hour FROM make_timestamp(ts_ms * 1000)) AS INTEGER) AS hour,
               CAST(dayofweek(make_timestamp(ts_ms * 1000)) + 1 AS INTEGER) AS weekday, count(*) AS n
        FROM pts GROUP BY 1, 2, 3""",

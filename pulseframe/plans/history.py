@@ -22,10 +22,10 @@ from pulseframe.operators.aggregates import source_counts
 
 
 def _scan(points: DataFrame, device_id: str, span: TimeRange, params: Sequence[str] | None) -> DataFrame:
-    rows = filters.of_device(points, device_id)
-    partitioned = {"day", "hour"} <= set(points.columns)
-    rows = filters.partitioned_range(rows, span) if partitioned else filters.in_range(rows, span)
-    return filters.of_params(rows, params)
+    wanted = (F.col("device_id") == device_id) & span.contains(F.col("ts_ms"))
+    if {"day", "hour"} <= set(points.columns):
+        wanted = filters.partition_predicate(span) & wanted
+    return filters.of_params(points.where(wanted), params)
 
 
 def point_history(points: DataFrame, device_id: str, param: str, span: TimeRange) -> DataFrame:
