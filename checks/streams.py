@@ -24,7 +24,8 @@ from checks.adapter import (
     table,
 )
 from checks.joins import LIVE_SUBSCRIPTIONS, SHOWN_VALUE, _live_subscriptions
-from checks.latest import _merge_sql
+from checks.latest import CHANGES, _changes, _merge_sql
+from checks.packing import _client_sql
 from checks.registry import check
 from pulseframe.functions import topics
 from pulseframe.functions.timeparts import DAY_MS
@@ -272,3 +273,123 @@ def published(spark, sf_dir):
     source = scratch_path(spark, "published-lines")
     packing.device_messages(point_packets(spark, sf_dir)).select(F.col("payload").alias("value")).write.text(source)
     return drained(spark, packets.packet_points(ingest.published_stream(spark, source)), "published-points")
+
+
+@check(
+    "src_03_ingest_batches_stream",
+    f"WITH {PACKETS} SELECT device_id, ts_ms AS recv_ts, ts_ms, param_id, value FROM cells",
+)
+def ingest_batches(spark, sf_dir):
+    point = F.transform(
+        "points",
+        lambda p: F.struct(F.col("ts_ms").alias("ts"), p["param_id"].alias("param_id"), p["value"].alias("value")),
+    )
+    whole = F.to_json(F.struct("device_id", F.col("ts_ms").alias("recv_ts"), point.alias("points")))
+    source = scratch_path(spark, "batches")
+    lines = point_packets(spark, sf_dir).select(F.explode(F.array(whole, F.substring(whole, 1, 30))).alias("value"))
+    lines.write.text(source)
+    return drained(spark, packets.parse_ingest_batches(spark.readStream.text(source)), "batch-points")
+
+
+@check(
+    "snk_02_packet_wide_stream",
+    f"""WITH {PACKETS}
+    SELECT device_id, ts_ms, array_to_string(param_ids, ',') AS params, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day,
+           list_min(list_transform(vals, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE))) AS lowest
+    FROM packets""",
+)
+def packet_wide(spark, sf_dir):
+    path, checkpoint = scratch_path(spark, "wide"), scratch_path(spark, "wide-state")
+    stream = written_stream(spark, point_packets(spark, sf_dir), "wide-in")
+    ingest.ingest_packet_wide(stream, path, checkpoint, None, partition_by=("day",)).awaitTermination()
+    return segments.read_table(spark, path).select(
+        "device_id", "ts_ms", joined(F.col("param_ids")).alias("params"), "day", F.array_min("values").cast("double").alias("lowest")
+    )
+
+
+@check(
+    "agg_03_source_stats_stream",
+    f"""WITH {PACKETS}, loud AS (SELECT len(list_filter(vals, lambda v: v > 50)) AS n FROM packets)
+    SELECT count(*) AS input_lines, count(*) FILTER (WHERE n > 0) AS accepted_packets,
+           CAST(sum(n) AS BIGINT) AS accepted_points, count(*) FILTER (WHERE n = 0) AS skipped_packets
+    FROM loud""",
+)
+def source_stats(spark, sf_dir):
+    loud = point_packets(spark, sf_dir).withColumn("points", F.filter("points", lambda p: p["value"] > 50))
+    return view_of(spark, aggregates.source_stats(written_stream(spark, loud, "loud")), [], "source-stats")
+
+
+@check(
+    "agg_10_window_stats_stream",
+    f"""WITH {PTS} SELECT CASE WHEN ts_ms < {BOUNDARY_MS} THEN 'cold' ELSE 'hot' END AS source, count(*) AS points,
+           true AS hours_close, true AS devices_close
+    FROM pts GROUP BY 1""",
+)
+def window_stats(spark, sf_dir):
+    def tagged(df):
+        return df.withColumn("source", F.when(F.col("ts_ms") < BOUNDARY_MS, "cold").otherwise("hot"))
+
+    view = aggregates.window_stats(tagged(point_stream(spark, sf_dir)), approximate=True)
+    streamed = view_of(spark, view, ["source"], "window-stats")
+    exact = aggregates.window_stats(tagged(points(spark, sf_dir))).select(
+        "source", F.col("hours").alias("exact_hours"), F.col("devices").alias("exact_devices")
+    )
+    # The sketch has a relative error of 5 % (one standard deviation).
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.2 * F.col(b)
+    return streamed.join(exact, "source").select(
+        "source",
+        "points",
+        close("hours", "exact_hours").alias("hours_close"),
+        close("devices", "exact_devices").alias("devices_close"),
+    )
+
+
+@check(
+    "win_05_subscriptions_stream",
+    f"WITH {CHANGES} SELECT client_id, device_id, array_to_string(param_ids, ',') AS params FROM state",
+)
+def subscriptions_view(spark, sf_dir):
+    # Old changes first, then the rest: a later delete must reach the view.
+    changes = _changes(spark, sf_dir)
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("changes", "subscriptions", "subscriptions-state"))
+    middle = changes.agg(F.max("seq")).first()[0] // 2
+    for half in (changes.where(F.col("seq") <= middle), changes.where(F.col("seq") > middle)):
+        half.write.mode("append").parquet(source)
+        states = latest.subscription_states(spark.readStream.schema(changes.schema).parquet(source))
+        live.upsert_view(states, path, checkpoint, None).awaitTermination()
+    state = latest.live_subscriptions(live.latest_version(spark.read.parquet(path), ["client_id", "device_id"]))
+    return state.select("client_id", "device_id", F.array_join("param_ids", ",").alias("params"))
+
+
+@check("pck_02_client_messages_stream", _client_sql(125))
+def client_messages(spark, sf_dir):
+    stream = written_stream(spark, point_packets(spark, sf_dir), "client-packets")
+    selected = joins.fan_out(stream, subscriptions(spark, sf_dir))
+    return drained(spark, packing.client_messages(selected, 125), "client-messages")
+
+
+@check(
+    "pck_03_param_messages_stream",
+    f"""WITH {PTS}
+    SELECT device_id, ts_ms, param_id, '{{"device_id":"' || device_id || '","ts_ms":' || ts_ms || ',"param_id":"' || param_id
+           || '","value":' || CAST(value AS VARCHAR) || '}}' AS payload
+    FROM pts""",
+)
+def param_messages(spark, sf_dir):
+    return drained(spark, packing.param_messages(point_stream(spark, sf_dir)), "param-messages")
+
+
+@check(
+    "src_09_raw_archive_stream",
+    f"WITH {PTS} SELECT device_id, ts_ms AS timestamp_ms, strlen(props) AS payload_len FROM pts",
+)
+def raw_archive_scan(spark, sf_dir):
+    from pulseframe import schema
+    from pulseframe.sinks.segments import write_raw_archive
+    from checks.adapter import raw_events
+
+    source = scratch_path(spark, "archived")
+    write_raw_archive(raw_events(spark, sf_dir), source, partition_by=("day",))
+    stream = spark.readStream.schema(schema.RAW_ARCHIVE).option("recursiveFileLookup", "true").parquet(source)
+    lengths = stream.select("device_id", "timestamp_ms", F.octet_length("payload").cast("bigint").alias("payload_len"))
+    return drained(spark, lengths, "archive-lengths")

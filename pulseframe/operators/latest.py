@@ -69,10 +69,12 @@ def session_view(commands: DataFrame) -> DataFrame:
     )
 
 
-def current_subscriptions(changes: DataFrame) -> DataFrame:
-    """Change log ``client_id, device_id, op, param_ids, seq`` to current state.
+def subscription_states(changes: DataFrame) -> DataFrame:
+    """Change log ``client_id, device_id, op, param_ids, seq`` to the last state per key.
 
-    A set replaces the whole parameter set; setting an empty one is an error.
+    Deleted keys stay, with ``op`` = delete and no parameters, so that a stream can
+    tell a reader about them.  A set replaces the whole parameter set; setting an
+    empty one is an error.
     """
     wanted = codes.subscription_params(F.col("param_ids"))
     empty = F.raise_error(F.concat(F.lit("empty subscription of "), F.col("client_id"))).cast("array<string>")
@@ -89,11 +91,20 @@ def current_subscriptions(changes: DataFrame) -> DataFrame:
     return (
         state.groupBy("client_id", "device_id")
         .agg(F.max_by(F.struct("op", "param_ids"), "seq").alias("last"))
-        .where(F.col("last.op") == SET)
-        .select("client_id", "device_id", "last.param_ids")
+        .select("client_id", "device_id", "last.op", "last.param_ids")
     )
 
 
+def live_subscriptions(states: DataFrame) -> DataFrame:
+    """States without the deleted keys."""
+    return states.where(F.col("op") == SET).drop("op")
+
+
+def current_subscriptions(changes: DataFrame) -> DataFrame:
+    """Change log to the subscriptions that are in force."""
+    return live_subscriptions(subscription_states(changes))
+
+
 def without_clients(subscriptions: DataFrame, removed: DataFrame) -> DataFrame:
     """Subscriptions left after some clients are removed."""
     return subscriptions.join(removed.select("client_id").distinct(), "client_id", "left_anti").select(

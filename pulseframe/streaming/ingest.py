@@ -75,6 +75,28 @@ def ingest_packets(packets: DataFrame, path: str, checkpoint: str, **options) ->
     return ingest_points(packet_points(packets), path, checkpoint, **options)
 
 
+def ingest_packet_wide(
+    packets: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = SERVICE_INTERVAL,
+    tz: str = "UTC",
+    partition_by: Sequence[str] = DEVICE_HOUR,
+) -> StreamingQuery:
+    """Append parsed packets as one row each, with parallel lists."""
+    rows = packets.where(F.size("points") > 0).select(
+        "device_id",
+        "ts_ms",
+        F.col("points.param_id").alias("param_ids"),
+        F.col("points.value").cast("array<float>").alias("values"),
+    )
+    placed = with_day_hour(rows, tz=tz).repartition(
+        *[F.col(c) for c in partition_by], F.pmod(F.col("ts_ms"), F.lit(_WRITERS_PER_HOUR))
+    )
+    writer = placed.writeStream.format("parquet").partitionBy(*partition_by).option("compression", COMPRESSION)
+    return _start(writer, path, checkpoint, interval)
+
+
 def archive_events(
     events: DataFrame,
     path: str,

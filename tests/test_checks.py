@@ -37,6 +37,8 @@ def test_query_equals_sql(spark, db, name):
     result = db.execute(ORACLE[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert canonical(df.columns, map(tuple, df.collect())) == canonical(names, result.fetchall())
 
 
