@@ -155,21 +155,32 @@ def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None =
     is needed.  ``param`` names an interval column that the segment's parameter
     set must contain (an empty set may contain anything).
     """
-    asked = _covered(intervals.where(F.col("from_ms") <= F.col("to_ms")), _hour(F.col("from_ms")), _hour(F.col("to_ms")))
-    stored = _covered(segments.where(F.col("min_ts") <= F.col("max_ts")), _hour(F.col("min_ts")), _hour(F.col("max_ts")))
-    stored = stored.withColumnRenamed("_first", "_start")
-    met_in = F.greatest("_first", "_start")
-    # The inner block keeps its own level and position.
-    meets = F.call_function("shiftright", met_in, F.col("_level") * _BITS) == F.col("_at")
+    wanted = intervals.where(F.col("from_ms") <= F.col("to_ms"))
+    usable = segments.where(F.col("min_ts") <= F.col("max_ts"))
+
+    def asked_blocks(df: DataFrame) -> DataFrame:
+        return _covered(df, _hour(F.col("from_ms")), _hour(F.col("to_ms")))
+
+    def stored_blocks(df: DataFrame) -> DataFrame:
+        return _covered(df, _hour(F.col("min_ts")), _hour(F.col("max_ts"))).withColumnRenamed("_first", "_start")
+
+    # The inner one of two blocks keeps its level and position; the pair is theirs
+    # if it meets first inside that block.
+    meets = F.call_function("shiftright", F.greatest("_first", "_start"), F.col("_level") * _BITS) == F.col("_at")
     overlap = intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
     on = ["device_id", "_node_level", "_node_at"]
-    # Only blocks of more than an hour can hold an interval's block inside.  Segments
-    # rarely span hours, so intervals of other devices are left out before they multiply.
-    wide = stored.where(F.col("_level") > 0)
-    beside_wide = asked.join(wide.select("device_id").distinct(), "device_id", "left_semi")
+    # Only a segment of many hours has a block that can hold an interval's block inside.
+    # Such segments are rare: intervals of other devices are left out before they multiply.
+    wide = usable.where(_hour(F.col("max_ts")) - _hour(F.col("min_ts")) >= (1 << _BITS) - 1)
+    beside_wide = wanted.join(wide.select("device_id").distinct(), "device_id", "left_semi")
     pairs = (
-        _as_nodes(asked).join(_enclosed(stored, itself=True), on)
-        .unionByName(_enclosed(beside_wide, itself=False).join(_as_nodes(wide), on))
+        _as_nodes(asked_blocks(wanted))
+        .join(_enclosed(stored_blocks(usable), itself=True), on)
+        .unionByName(
+            _enclosed(asked_blocks(beside_wide), itself=False).join(
+                _as_nodes(stored_blocks(wide).where(F.col("_level") > 0)), on
+            )
+        )
         .where(overlap & meets)
     )
     if param is not None:
