@@ -18,8 +18,8 @@ from pulseframe.functions.topics import MISSING_TEXT, message_fields, pick_from,
 # Hours are grouped in aligned blocks of 8^level hours; level 8 spans 2^24 hours,
 # which reach to the year 3883.  Later times are clamped to the last hour.
 _BITS = 3
-_LEVELS = range(9)
-_LAST_HOUR = (1 << _BITS * _LEVELS[-1]) - 1
+_TOP_LEVEL = 8
+_LAST_HOUR = (1 << _BITS * _TOP_LEVEL) - 1
 
 
 def fan_out(packets: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -84,58 +84,50 @@ def _hour(ms: Column) -> Column:
     return F.least(F.greatest(floor_div(ms, HOUR_MS), F.lit(0)), F.lit(_LAST_HOUR)).cast("bigint")
 
 
-def _inside(first: Column, last: Column, level: int) -> tuple[Column, Column]:
-    """First and last aligned block of a level that lies fully inside the hours."""
-    shift = _BITS * level
-    return F.shiftright(first + F.lit((1 << shift) - 1), shift), F.shiftright(last + 1, shift) - 1
+def _up(value: Column, levels: Column) -> Column:
+    """Position of the block ``levels`` levels above that holds a position."""
+    return F.call_function("shiftright", value, levels * _BITS)
 
 
-def _block_ranges(first: Column, last: Column) -> Column:
-    """Split hours ``first…last`` into few aligned blocks, largest where possible.
-
-    A block is used on its own level unless its parent lies inside too, so each
-    level adds fewer than two parents' worth of blocks, however long the interval.
-    Result: ranges ``(level, low, high)`` of blocks; a range with low > high, or
-    without a low end, is empty.
-    """
-    ranges = []
-    for level in _LEVELS:
-        lo, hi = _inside(first, last, level)
-        if level == _LEVELS[-1]:
-            pieces = [(lo, hi)]
-        else:
-            parent_lo, parent_hi = _inside(first, last, level + 1)
-            covered = parent_lo <= parent_hi
-            pieces = [
-                (lo, F.when(covered, F.shiftleft(parent_lo, _BITS) - 1).otherwise(hi)),
-                (F.when(covered, F.shiftleft(parent_hi + 1, _BITS)), hi),
-            ]
-        ranges += [F.struct(F.lit(level).alias("_level"), a.alias("_low"), b.alias("_high")) for a, b in pieces]
-    return F.array(*ranges)
+def _inside(level: Column) -> tuple[Column, Column]:
+    """First and last aligned block of a level that lies fully inside ``_first…_last``."""
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * _BITS)
+    return _up(F.col("_first") + size - 1, level), _up(F.col("_last") + 1, level) - 1
 
 
 def _covered(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """One row per block ``_level, _at`` that covers the hours ``_first…``."""
+    """One row per block ``_level, _at`` that covers the hours ``first…last``.
+
+    The blocks are as large as possible: a block is used on its own level unless
+    its parent lies inside too.  Each level adds fewer than two parents' worth of
+    blocks, however long the interval.  The first hour stays in ``_first``.
+    """
+    level = F.col("_level")
+    lo, hi = _inside(level)
+    parent_lo, parent_hi = _inside(level + 1)
+    levels = df.select("*", first.alias("_first"), last.alias("_last")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(_TOP_LEVEL))).alias("_level")
+    )
+    ends = levels.select("*", lo.alias("_lo"), hi.alias("_hi"), parent_lo.alias("_plo"), parent_hi.alias("_phi"))
+    has_parent = (F.col("_plo") <= F.col("_phi")) & (level < _TOP_LEVEL)
+    pieces = F.array(
+        F.struct(F.col("_lo").alias("a"), F.when(has_parent, F.shiftleft("_plo", _BITS) - 1).otherwise(F.col("_hi")).alias("b")),
+        F.struct(F.when(has_parent, F.shiftleft(F.col("_phi") + 1, _BITS)).alias("a"), F.col("_hi").alias("b")),
+    )
     return (
-        df.select("*", first.alias("_first"), last.alias("_last"))
-        .select("*", F.inline(_block_ranges(F.col("_first"), F.col("_last"))))
-        .where(F.col("_low") <= F.col("_high"))
-        .select("*", F.explode(F.sequence("_low", "_high")).alias("_at"))
-        .drop("_last", "_low", "_high")
+        ends.select(*df.columns, "_first", "_level", F.inline(pieces).alias("_a", "_b"))
+        .where(F.col("_a") <= F.col("_b"))
+        .select(*df.columns, "_first", "_level", F.explode(F.sequence("_a", "_b")).alias("_at"))
     )
 
 
 def _enclosed(blocks: DataFrame, itself: bool) -> DataFrame:
     """Each block with the blocks around it (``_node_level, _node_at``)."""
-    shift = [(F.lit(n) - F.col("_level")) * _BITS for n in _LEVELS]
-    nodes = F.array(
-        *[
-            F.struct(F.lit(n).alias("_node_level"), F.call_function("shiftright", F.col("_at"), by).alias("_node_at"))
-            for n, by in zip(_LEVELS, shift)
-        ]
-    )
-    around = blocks.select("*", F.inline(nodes))
-    return around.where(F.col("_node_level") >= F.col("_level") if itself else F.col("_node_level") > F.col("_level"))
+    lowest = F.col("_level") if itself else F.col("_level") + 1
+    below_top = blocks if itself else blocks.where(F.col("_level") < _TOP_LEVEL)
+    return below_top.select(
+        "*", F.explode(F.sequence(lowest, F.lit(_TOP_LEVEL))).alias("_node_level")
+    ).withColumn("_node_at", _up(F.col("_at"), F.col("_node_level") - F.col("_level")))
 
 
 def _as_nodes(blocks: DataFrame) -> DataFrame:
@@ -166,7 +158,7 @@ def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None =
 
     # The inner one of two blocks keeps its level and position; the pair is theirs
     # if it meets first inside that block.
-    meets = F.call_function("shiftright", F.greatest("_first", "_start"), F.col("_level") * _BITS) == F.col("_at")
+    meets = _up(F.greatest("_first", "_start"), F.col("_level")) == F.col("_at")
     overlap = intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
     on = ["device_id", "_node_level", "_node_at"]
     # Only a segment of many hours has a block that can hold an interval's block inside.
