@@ -7,13 +7,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import checks
 
 duckdb = pytest.importorskip("duckdb")
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {name: check.run for name, check in checks.load().items()}
+ORACLE = {name: check.sql for name, check in checks.load().items() if check.sql is not None}
 # Streams are slow to start; tools/verify.py runs all of them.
 FAST = [n for n in QUERIES if not n.endswith("_stream") and not n.startswith("str_")]
 
@@ -52,3 +54,7 @@ def test_every_query_has_a_twin():
 
 def test_names():
     assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
+
+
+def test_entry_lists_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
