@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulseframe.llm.fingerprints import op4_paragraph_sketch
 from pulseframe.llm.licenses import op6_license_scan
+from pulseframe.llm.mil import op10_mil_quality
 from pulseframe.llm.packing import op1_length_buckets
 from pulseframe.llm.quality_rules import op8_quality_rules
 from pulseframe.llm.secrets import OP9_SQL, op9_secret_scan
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_length_buckets,
         op2_warc_revisit,
         op3_simhash,
+        op4_paragraph_sketch,
         op6_license_scan,
         op8_quality_rules,
         op9_secret_scan,
+        op10_mil_quality,
     )
 }
 
