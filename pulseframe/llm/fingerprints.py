@@ -43,7 +43,7 @@ def _let(value: Column, body) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Lines and their longer sentences, without empty ones."""
-    return F.filter(F.split(text, r"\n|(?<=[^.!?]{49}[.!?]) "), lambda p: p != "")
+    return F.filter(F.split(text, r"\n| (?<=[.!?] )(?<=[^.!?]{49}[.!?] )"), lambda p: p != "")
 
 
 def digests(text: Column) -> Column:
