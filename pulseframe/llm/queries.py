@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulseframe.llm.bpe import op5_bpe
 from pulseframe.llm.fingerprints import op4_paragraph_sketch
 from pulseframe.llm.licenses import op6_license_scan
 from pulseframe.llm.mil import op10_mil_quality
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_warc_revisit,
         op3_simhash,
         op4_paragraph_sketch,
+        op5_bpe,
         op6_license_scan,
         op8_quality_rules,
         op9_secret_scan,
