@@ -215,19 +215,29 @@ def fingerprint(cells: Column) -> Column:
     )
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` as ``key, hash, text``; the key is text and never null, so plain equality joins it.
+
+    Whoever reads all three columns shares one shuffle by key and hash.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return docs.select(key.alias("key"), F.xxhash64("text").alias("hash"), "text")
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """For every distinct key and text hash the ones that follow, by falling key; the last's is the first.
 
     Only keys and hashes are ordered: they are dealt into ranges, written, and every range
     gets the first of the next one for its last row.
     """
-    spark = docs.sparkSession
-    keys = docs.select("doc_id", F.xxhash64("text").alias("hash")).distinct()
+    keys = keyed(docs.select("doc_id", "text")).select("key", "hash").distinct()
+    own_key = F.expr("substring(key, 2)").cast(docs.schema["doc_id"].dataType)
+    keys = keys.withColumn("doc_id", F.when(F.col("key") != "", own_key))
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
-    dealt = keys.repartitionByRange(parallelism(spark), *order).withColumn("range", F.spark_partition_id())
+    dealt = keys.repartitionByRange(parallelism(docs.sparkSession), *order).withColumn("range", F.spark_partition_id())
     dealt = written(dealt, "order")
     own = Window.partitionBy("range").orderBy(*order)
-    here = F.struct("doc_id", "hash")
+    here = F.struct("key", "hash")
     followed = dealt.withColumn("following", F.lead(here).over(own))
     # One row per range, so no more than there are partitions.
     heads = dealt.withColumn("number", F.row_number().over(own)).where("number = 1").select("range", here.alias("head"))
@@ -237,26 +247,29 @@ def successors(docs: DataFrame) -> DataFrame:
         F.col("range").alias("r"), F.coalesce(F.lead("head").over(ranges), F.first("head").over(everything)).alias("head")
     )
     joined = followed.join(after, F.col("range") == F.col("r"))
-    return joined.select("doc_id", "hash", F.coalesce("following", "head").alias("next")).select(
-        F.col("doc_id").alias("from_id"),
+    return joined.select("key", "hash", F.coalesce("following", "head").alias("next")).select(
+        F.col("key").alias("from_key"),
         F.col("hash").alias("from_hash"),
-        F.col("next.doc_id").alias("next_id"),
+        F.col("next.key").alias("next_key"),
         F.col("next.hash").alias("next_hash"),
     )
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text``: each document beside the next one's text."""
-    keyed = docs.withColumn("hash", F.xxhash64("text"))
+    """``doc_id, text, next_text``: each document beside the next one's text.
+
+    Texts are shuffled twice: by their own key, for both joins, and by the key of the
+    document before.
+    """
     pairs = written(successors(docs), "pairs")
-    following = keyed.groupBy("doc_id", "hash").agg(F.first("text").alias("next_text"))
-    following = following.withColumnsRenamed({"doc_id": "n_id", "hash": "n_hash"})
-    found = pairs.join(
-        following, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_hash") == F.col("n_hash"))
-    ).select("from_id", "from_hash", "next_text")
-    return keyed.join(
-        found, F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("hash") == F.col("from_hash"))
-    ).select("doc_id", "text", "next_text")
+    following = pairs.join(keyed(docs), (F.col("next_key") == F.col("key")) & (F.col("next_hash") == F.col("hash")))
+    # Rows that repeat a key and its text are one successor.
+    following = following.groupBy("from_key", "from_hash").agg(F.first("text").alias("next_text"))
+    joined = keyed(docs).join(
+        following, (F.col("key") == F.col("from_key")) & (F.col("hash") == F.col("from_hash"))
+    )
+    own_key = F.expr("substring(key, 2)").cast(docs.schema["doc_id"].dataType)
+    return joined.select(F.when(F.col("key") != "", own_key).alias("doc_id"), "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
