@@ -38,23 +38,24 @@ from pulseframe.llm.common import id_type, mapped_batches, table, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words kept by a worker, texts (in characters) and words of one round of work.
-KEEP_WORDS = 200_000
-ROUND_CHARS = 2_000_000
-ROUND_WORDS = 30_000
+KEEP_WORDS = 500_000
+ROUND_CHARS = 4_000_000
+ROUND_WORDS = 80_000
 #: Parts with more bytes than this contract many places at once.
 LONG_PART = 64
-MEMORY = "200MB"
+MEMORY = "350MB"
 
+# The smallest rank and then the leftmost place, in one number: rank << 20 | place.
 ONE_BY_ONE = """
 WITH RECURSIVE state(w, ids) USING KEY (w) AS (
   SELECT w, list(id ORDER BY p) FROM bytes_in GROUP BY w
   UNION
-  SELECT w, list_concat(list_append(ids[:place - 1], made), ids[place + 2:])
-  FROM (
-    SELECT w, any_value(ids) AS ids, arg_min(p, m.made * 1048576::BIGINT + p) AS place, min(m.made) AS made
-    FROM (SELECT w, ids, unnest(range(1, len(ids))) AS p FROM state) t
-    JOIN merges m ON m.first = t.ids[p] AND m.second = t.ids[p + 1]
-    GROUP BY w)
+  SELECT s.w, list_concat(list_append(ids[:(best & 1048575) - 1], best >> 20), ids[(best & 1048575) + 2:])
+  FROM state s JOIN (
+    SELECT w, min((m.made << 20) + p) AS best
+    FROM (SELECT w, unnest(list_zip(ids, ids[2:])) AS z, unnest(range(1, len(ids) + 1)) AS p FROM state)
+    JOIN merges m ON m.pair = z[1]::BIGINT * 4294967296 + z[2]
+    GROUP BY w) b ON b.w = s.w
 )
 SELECT w, ids, false AS again FROM state
 """
@@ -68,7 +69,7 @@ WITH RECURSIVE state(w, ids, last, again) USING KEY (w) AS (
   ), pairs AS (
     SELECT *, lead(id) OVER (PARTITION BY w ORDER BY p) AS following FROM tokens
   ), least AS (
-    SELECT w, p, m.made FROM pairs JOIN merges m ON m.first = id AND m.second = following
+    SELECT w, p, m.made FROM pairs JOIN merges m ON m.pair = id::BIGINT * 4294967296 + following
     QUALIFY m.made = min(m.made) OVER (PARTITION BY w)
   ), opened AS (
     SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY w ORDER BY p) <= 2 THEN NULL ELSE p END AS opens FROM least
@@ -87,10 +88,16 @@ WITH RECURSIVE state(w, ids, last, again) USING KEY (w) AS (
 SELECT w, ids, again FROM state
 """
 
+# Parts of a word follow each other in the order of their numbers.  The engine has one
+# thread, so the aggregates take the rows as they were sorted.
 DECODE = """
-SELECT w, array_to_string(any_value(ids), ' '), string_agg(v.digits, '' ORDER BY p)
-FROM (SELECT w, ids, unnest(ids) AS id, unnest(range(len(ids))) AS p FROM encoded) JOIN vocabulary v USING (id)
-GROUP BY w
+SELECT word, string_agg(id, ' '), string_agg(digits, '')
+FROM (
+  SELECT word, id, digits
+  FROM (SELECT w, unnest(ids) AS id, unnest(range(len(ids))) AS p FROM found)
+  JOIN owner USING (w) JOIN vocabulary USING (id)
+  ORDER BY word, w, p)
+GROUP BY word
 """
 
 
@@ -104,16 +111,15 @@ class Coder:
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.beside = np.zeros((256, 256), bool)
-        merges: list[tuple[int, int, int]] = []
+        merges: list[tuple[int, int]] = []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 self.beside[token[k - 1], token[k]] = True
                 first, second = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if first is not None and second is not None:
-                    merges.append((first, second, rank))
+                    merges.append((first << 32 | second, rank))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        names = ("first", "second", "made")
-        self._load("merges", {n: pa.array(c, pa.int32()) for n, c in zip(names, zip(*merges))})
+        self._load("merges", {n: pa.array(c, pa.int64()) for n, c in zip(("pair", "made"), zip(*merges))})
         self._load("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "digits": [t.hex() for t in self.ranks]})
         self.known: dict[str, tuple[str, bytes]] = {}
 
@@ -124,6 +130,10 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words and decode their ids, and keep both."""
+        raw = [w.encode() for w in words]
+        # A word that is a token as a whole is that token.
+        self.known.update((w, (str(self.ranks[r]), r)) for w, r in zip(words, raw) if r in self.ranks)
+        words = [w for w, r in zip(words, raw) if r not in self.ranks]
         for at in range(0, len(words), ROUND_WORDS):
             self._learn(words[at : at + ROUND_WORDS])
 
@@ -134,43 +144,26 @@ class Coder:
         of_word = np.repeat(np.arange(len(raw)), sizes)
         cut = np.ones(len(data), bool)
         cut[1:] = (of_word[1:] != of_word[:-1]) | ~self.beside[data[:-1], data[1:]]
-        # A word that is a token as a whole is that token.
-        whole = np.fromiter((w in self.ranks for w in raw), bool, len(raw))
         starts = np.flatnonzero(cut)
         lengths = np.diff(np.append(starts, len(data)))
         part = np.cumsum(cut) - 1
         place = np.arange(len(data)) - starts[part]
-        ids: dict[int, list[int]] = {}
-        open_bytes = ~whole[of_word]
         is_long = lengths[part] > LONG_PART
-        for query, chosen in ((ONE_BY_ONE, open_bytes & ~is_long), (MANY, open_bytes & is_long)):
-            again = self._contract(query, part, place, data, chosen, ids)
-            if again:
-                self._contract(ONE_BY_ONE, part, place, data, np.isin(part, again), ids)
-        first_part = part[np.cumsum(sizes) - sizes]
-        last_part = np.append(first_part[1:], len(starts))
-        rows = []
-        for k, word in enumerate(raw):
-            if whole[k]:
-                rows.append([self.ranks[word]])
-            else:
-                rows.append([i for p in range(first_part[k], last_part[k]) for i in ids[p]])
-        self._load("encoded", {"w": pa.array(range(len(rows)), pa.int32()), "ids": pa.array(rows, pa.list_(pa.int32()))})
+        self._load("owner", {"w": np.arange(len(starts)), "word": of_word[starts]})
+        self.db.execute("CREATE OR REPLACE TABLE found (w BIGINT, ids INTEGER[], again BOOLEAN)")
+        self._contract(ONE_BY_ONE, part, place, data, ~is_long)
+        self._contract(MANY, part, place, data, is_long)
+        again = [w for (w,) in self.db.execute("DELETE FROM found WHERE again RETURNING w").fetchall()]
+        self._contract(ONE_BY_ONE, part, place, data, np.isin(part, again))
         for k, text, digits in self.db.execute(DECODE).fetchall():
             self.known[words[k]] = (text, bytes.fromhex(digits))
 
-    def _contract(self, query, part, place, data, chosen, ids) -> list[int]:
-        """Run one of the recursions on the chosen bytes; returns the parts to do again."""
-        if not chosen.any():
-            return []
-        columns = {"w": part[chosen], "p": place[chosen], "id": self.of_byte[data[chosen]]}
-        self._load("bytes_in", {n: pa.array(c, pa.int32()) for n, c in columns.items()})
-        again = []
-        for w, own, redo in self.db.execute(query).fetchall():
-            ids[w] = own
-            if redo:
-                again.append(w)
-        return again
+    def _contract(self, query, part, place, data, chosen) -> None:
+        """Run one of the recursions on the chosen bytes and add what it finds."""
+        if chosen.any():
+            columns = {"w": part[chosen], "p": place[chosen], "id": self.of_byte[data[chosen]]}
+            self._load("bytes_in", {n: pa.array(c, pa.int32()) for n, c in columns.items()})
+            self.db.execute(f"INSERT INTO found {query}")
 
     def documents(self, batch: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids as text, joined by a space, and decoded bytes of each text."""
