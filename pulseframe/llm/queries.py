@@ -14,6 +14,7 @@ from pulseframe.llm.packing import op1_length_buckets
 from pulseframe.llm.quality_rules import op8_quality_rules
 from pulseframe.llm.secrets import OP9_SQL, op9_secret_scan
 from pulseframe.llm.simhash import op3_simhash
+from pulseframe.llm.substrings import OP7_SQL, op7_substring_dedup
 from pulseframe.llm.warc import OP2_SQL, op2_warc_revisit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_paragraph_sketch,
         op5_bpe,
         op6_license_scan,
+        op7_substring_dedup,
         op8_quality_rules,
         op9_secret_scan,
         op10_mil_quality,
@@ -33,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_revisit": OP2_SQL,
+    "op7_substring_dedup": OP7_SQL,
     "op9_secret_scan": OP9_SQL,
 }
