@@ -146,7 +146,10 @@ def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The same rows and columns with every span replaced; texts without one stay as they are."""
+    """The same rows and columns with every span replaced; texts without one stay as they are.
+
+    ``n_chars``, if there, follows the text.
+    """
     own = docs.columns
     inner = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     scanned = secret_spans(inner, rules)
@@ -164,8 +167,13 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
         step,
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))),
     )
-    text = F.when(F.size("_spans") > 0, whole).otherwise(F.col(f"_row.{text_col}"))
-    return scanned.select(*[text.alias(c) if c == text_col else F.col(f"_row.{c}") for c in own])
+    found = F.size("_spans") > 0
+    new = scanned.withColumn("_new", F.when(found, whole).otherwise(F.col("_row")[text_col]))
+    changed = {text_col: F.col("_new")}
+    if "n_chars" in own:
+        size = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(found, size).otherwise(F.col("_row")["n_chars"])
+    return new.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in own])
 
 
 def secret_scan(

@@ -235,15 +235,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document its fingerprint (16 lower-case hex digits) and its component.
 
     ``component_id`` is the smallest key reachable by links of at most three bits,
-    the document itself included.
+    the document itself included; ``text_hash`` tells rows apart that repeat a key.
     """
-    picked = texts(docs, id_col, text_col)
+    picked = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     prints = written(
         mapped(
             picked,
-            f"doc_id {id_type(picked)}, fp long",
+            f"doc_id {id_type(picked)}, text_hash long, fp long",
             lambda b: {
                 "doc_id": b["doc_id"],
+                "text_hash": b["text_hash"],
                 "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64),
             },
         ),
@@ -265,9 +266,33 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "doc_id",
             F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
             F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "text_hash",
         )
     )
 
 
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns: of each component the document with the smallest key.
+
+    Of rows that repeat this key, the one with the smallest text hash stays.  Where all keys
+    of a fingerprint are null, one row of that fingerprint stays.
+    """
+    groups = simhash_groups(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    first = first.groupBy("component_id", alone.alias("alone")).agg(F.min("text_hash").alias("h"))
+    first = written(first.select(_text_key(F.col("component_id")).alias("__keep_id"), F.col("h").alias("__keep_hash")), "kept")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"__group_id": _text_key(F.col("doc_id")), "__group_hash": F.xxhash64(text)})
+    both = (F.col("__group_id") == F.col("__keep_id")) & (F.col("__group_hash") == F.col("__keep_hash"))
+    kept = keyed.join(first, both, "left_semi")
+    return kept.dropDuplicates(["__group_id", "__group_hash"]).select(*docs.columns)
+
+
+def _text_key(key: Column) -> Column:
+    """A key as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -268,10 +268,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = docs.columns
     keyed = _keyed(texts(docs.select("doc_id", "text")))
-    spans = written(repeated_spans(keyed, window), "spans").toDF("_of", "_and", "_spans")
+    spans = written(repeated_spans(keyed, window), "spans").toDF("__dedup_of", "__dedup_and", "__dedup_spans")
     text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumns({"_did": _key(docs), "_hash": F.xxhash64(text)}).join(
-        spans, (F.col("_did") == F.col("_of")) & (F.col("_hash") == F.col("_and")), "left"
+    joined = docs.withColumns({"__dedup_did": _key(docs), "__dedup_hash": F.xxhash64(text)}).join(
+        spans, (F.col("__dedup_did") == F.col("__dedup_of")) & (F.col("__dedup_hash") == F.col("__dedup_and")), "left"
     )
     schema = docs.schema
 
@@ -279,7 +279,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             data = [batch.column(n) for n in own]
             new = []
-            for old, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for old, spans in zip(batch.column("text").to_pylist(), batch.column("__dedup_spans").to_pylist()):
                 if spans:
                     pieces = _PIECE.findall(old.encode())
                     gone = _covered(len(pieces), spans).tolist()
@@ -288,11 +288,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             data[own.index("text")] = pa.array(new, pa.string())
             if "n_chars" in own:
                 sizes = batch.column("n_chars").to_pylist()
-                changed = [len(n) if s else z for n, s, z in zip(new, batch.column("_spans").to_pylist(), sizes)]
+                changed = [len(n) if s else z for n, s, z in zip(new, batch.column("__dedup_spans").to_pylist(), sizes)]
                 data[own.index("n_chars")] = pa.array(changed, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(data, names=own)
 
-    return joined.select(*own, "_spans").mapInArrow(cut, schema)
+    return joined.select(*own, "__dedup_spans").mapInArrow(cut, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
