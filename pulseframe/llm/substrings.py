@@ -45,7 +45,7 @@ ANCHOR = 8
 #: Words in the segments of a shard, about.
 SHARD_WORDS = 1_000_000
 #: Anchors with more segments than this are routed window by window.
-HOT_RUNS = 20_000
+HOT_RUNS = 3_000
 #: Segments that a task remembers as already written.
 REMEMBERED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
