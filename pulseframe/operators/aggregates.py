@@ -63,7 +63,7 @@ def storage_stats(catalog: DataFrame, recounts: DataFrame | None = None) -> Data
     )
     return per_device.agg(
         F.count("device_id").alias("devices"),
-        *[F.sum(c).alias(c) for c in ("manifests", "segments", "rows", "points")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("manifests", "segments", "rows", "points")],
         F.min("min_ts").alias("min_ts"),
         F.max("max_ts").alias("max_ts"),
     )
@@ -75,7 +75,7 @@ def source_stats(packets: DataFrame) -> DataFrame:
     return packets.agg(
         F.count("*").alias("input_lines"),
         F.count_if(accepted).alias("accepted_packets"),
-        F.sum(F.size("points").cast("bigint")).alias("accepted_points"),
+        F.coalesce(F.sum(F.size("points").cast("bigint")), F.lit(0)).alias("accepted_points"),
         F.count_if(~accepted).alias("skipped_packets"),
     )
 

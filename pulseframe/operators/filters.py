@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from pulseframe.sources.packets import is_finite, is_json_number  # noqa: F401
 
 # End of the year 9998, the last full year a day key can name in every zone.
 _LAST_SECOND = 253370764799
+_FIRST_SECOND = -62104060800
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 # Longer parameter lists become a semi join instead of an IN list.
 MAX_IN_LIST = 500
@@ -76,9 +78,10 @@ def usable_segments(catalog: DataFrame) -> DataFrame:
 
 
 def _day_hour(ms: int, tz: str) -> tuple[str, str]:
-    """Day and hour keys of an instant; instants beyond year 9998 count as its end."""
-    wall = datetime.fromtimestamp(min(max(ms, 0) // SECOND_MS, _LAST_SECOND), timezone.utc).astimezone(ZoneInfo(tz))
-    return wall.strftime("%Y-%m-%d"), wall.strftime("%H")
+    """Day and hour keys of an instant; those outside the years 2 to 9998 count as their ends."""
+    seconds = min(max(ms // SECOND_MS, _FIRST_SECOND), _LAST_SECOND)
+    wall = (_EPOCH + timedelta(seconds=seconds)).astimezone(ZoneInfo(tz))
+    return wall.date().isoformat(), wall.strftime("%H")
 
 
 def hour_overlaps(day: Column, hour: Column, span: TimeRange, tz: str = "UTC") -> Column:
@@ -95,14 +98,17 @@ def hour_overlaps(day: Column, hour: Column, span: TimeRange, tz: str = "UTC") -
     return F.coalesce(key.between(first, last) & real, F.lit(False))
 
 
-def partition_predicate(span: TimeRange, tz: str = "UTC") -> Column:
+def partition_predicate(span: TimeRange, tz: str = "UTC", compact: bool = False) -> Column:
     """The ``day``/``hour`` condition implied by a time range.
 
-    Only plain comparisons on the partition columns, so whole directories are
+    ``tz`` is the zone the table was keyed in; ``compact`` says that its days are
+    ``YYYYMMDD``, as in raw archives.  Only plain comparisons on the partition columns, so whole directories are
     pruned before any file is opened.
     """
     first_day, first_hour = _day_hour(span.from_ms, tz)
     last_day, last_hour = _day_hour(span.to_ms, tz)
+    if compact:
+        first_day, last_day = first_day.replace("-", ""), last_day.replace("-", "")
     day, hour = F.col("day"), F.col("hour")
     return (
         day.between(first_day, last_day)

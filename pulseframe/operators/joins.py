@@ -213,7 +213,7 @@ def select_live(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(topic_device(F.col("topic")), F.lit("")), text(member("device_id"))).alias("device_id"),
         topic_param(F.col("topic")).alias("topic_param"),
     )
-    wanted = subscriptions.select("device_id", F.col("param_ids").alias("_wanted"))
+    wanted = subscriptions.select("device_id", F.array_distinct("param_ids").alias("_wanted"))
     joined = heard.join(wanted, "device_id").where(
         (F.col("topic_param") == "") | F.array_contains("_wanted", F.col("topic_param"))
     )

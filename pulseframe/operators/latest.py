@@ -165,15 +165,21 @@ def unique_segments(catalog: DataFrame) -> DataFrame:
 
 
 def upsert_segments(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Entries after an upsert: the newest one per segment name."""
+    """Entries after an upsert: the newest one per segment name.
+
+    An incoming entry replaces one of the same time; a missing time is the oldest.
+    """
     keys = ["device_id", "day", "hour", "segment_file"]
-    both = existing.unionByName(incoming)
-    others = [c for c in both.columns if c not in keys]
+    sides = [df.withColumn("_side", F.lit(side)) for side, df in enumerate((existing, incoming))]
+    both = sides[0].unionByName(sides[1])
+    others = [c for c in existing.columns if c not in keys]
+    # A struct is never NULL and NULL sorts first in it.
+    age = F.struct("created_at_ms", "_side")
     return (
         both.groupBy(*keys)
-        .agg(F.max_by(F.struct(*others), "created_at_ms").alias("entry"))
+        .agg(F.max_by(F.struct(*others), age).alias("entry"))
         .select(*keys, "entry.*")
-        .select(both.columns)
+        .select(existing.columns)
     )
 
 

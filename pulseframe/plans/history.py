@@ -21,23 +21,30 @@ from pulseframe.operators import filters, ordering, reshape, unions
 from pulseframe.operators.aggregates import source_counts
 
 
-def _scan(points: DataFrame, device_id: str, span: TimeRange, params: Sequence[str] | None) -> DataFrame:
+def _scan(
+    points: DataFrame, device_id: str, span: TimeRange, params: Sequence[str] | None, tz: str = "UTC"
+) -> DataFrame:
+    """``tz`` is the zone in which the table's day and hour were keyed."""
     wanted = (F.col("device_id") == device_id) & span.contains(F.col("ts_ms"))
     if {"day", "hour"} <= set(points.columns):
-        wanted = filters.partition_predicate(span) & wanted
+        wanted = filters.partition_predicate(span, tz) & wanted
     return filters.of_params(points.where(wanted), params)
 
 
-def point_history(points: DataFrame, device_id: str, param: str, span: TimeRange) -> DataFrame:
+def point_history(points: DataFrame, device_id: str, param: str, span: TimeRange, tz: str = "UTC") -> DataFrame:
     """One parameter of one device over time."""
-    return ordering.by_time(filters.points_only(_scan(points, device_id, span, [param])))
+    return ordering.by_time(filters.points_only(_scan(points, device_id, span, [param], tz)))
 
 
 def params_history(
-    points: DataFrame, device_id: str, span: TimeRange, params: Sequence[str] | None = None
+    points: DataFrame,
+    device_id: str,
+    span: TimeRange,
+    params: Sequence[str] | None = None,
+    tz: str = "UTC",
 ) -> DataFrame:
     """Several (or all) parameters of one device over time."""
-    return ordering.by_time(filters.points_only(_scan(points, device_id, span, params)))
+    return ordering.by_time(filters.points_only(_scan(points, device_id, span, params, tz)))
 
 
 def cold_history(
@@ -46,9 +53,10 @@ def cold_history(
     span: TimeRange,
     params: Sequence[str] | None = None,
     limit: int = ordering.QUERY_LIMIT,
+    tz: str = "UTC",
 ) -> DataFrame:
     """First rows of the stored history."""
-    return ordering.first_rows(filters.points_only(_scan(points, device_id, span, params)), limit)
+    return ordering.first_rows(filters.points_only(_scan(points, device_id, span, params, tz)), limit)
 
 
 @dataclass(frozen=True)

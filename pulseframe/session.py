@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pulseframe-"))
     return context.getCheckpointDir()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import timeparts
 from pulseframe.operators.reshape import points_to_packets, sparse_wide
+from pulseframe.sources.segments import read_table
 
 # Default codec and rows per file.
 COMPRESSION = "zstd"
@@ -140,5 +141,5 @@ def compact_long_rows(
     rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
     """Rewrite a table of many small files as sorted, larger ones in a new place."""
-    df = spark.read.parquet(source)
+    df = read_table(spark, source)
     _write(df, target, partition_by, ["device_id", "param_id", "ts_ms"], compression, rows_per_file, "errorifexists")

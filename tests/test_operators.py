@@ -301,3 +301,46 @@ def test_unreadable_archive_files(spark, tmp_path):
         assert tuple(quality.archive_summary(checked).first()) == (1, 2, 2)
     finally:
         spark.conf.set("spark.sql.files.ignoreCorruptFiles", "false")
+
+
+def test_upsert_keeps_entries_without_time(spark):
+    from pulseframe.operators.latest import upsert_segments
+
+    names = "device_id string, day string, hour string, segment_file string, rows long, created_at_ms long"
+    old = spark.createDataFrame([("d", "1", "0", "a", 1, None), ("d", "1", "0", "b", 1, 5), ("d", "1", "0", "c", 1, 9)], names)
+    new = spark.createDataFrame([("d", "1", "0", "b", 2, 5), ("d", "1", "0", "c", 2, None)], names)
+    got = {(r["segment_file"], r["rows"]) for r in upsert_segments(old, new).collect()}
+    assert got == {("a", 1), ("b", 2), ("c", 1)}
+
+
+def test_totals_of_nothing_are_zero(spark):
+    from pulseframe.operators.aggregates import storage_stats
+
+    catalog = spark.createDataFrame(
+        [],
+        "device_id string, manifest_path string, segment_file string, rows long, points long, mode string, "
+        "min_ts long, max_ts long",
+    )
+    row = storage_stats(catalog).first()
+    assert (row["devices"], row["manifests"], row["segments"], row["rows"], row["points"]) == (0, 0, 0, 0, 0)
+
+
+def test_range_in_the_zone_of_the_table_and_before_the_epoch(spark, tmp_path):
+    from pulseframe.functions.timeparts import TimeRange
+    from pulseframe.operators.filters import partition_predicate
+    from pulseframe.plans.history import params_history
+    from pulseframe.sinks.segments import compact_long_rows, write_long_rows, write_raw_archive
+    from pulseframe.sources.segments import read_table
+
+    times = [-5_000, 5_000, 3_600_000 * 20, 3_600_000 * 30]
+    points = spark.createDataFrame([("d", t, "P00001", 1.0) for t in times], "device_id string, ts_ms long, param_id string, value double")
+    span = TimeRange(-10_000, 3_600_000 * 40)
+    for zone in ("UTC", "Asia/Shanghai"):
+        path = str(tmp_path / zone.replace("/", "-"))
+        write_long_rows(points, path, tz=zone)
+        compact_long_rows(spark, path, path + "-compact")
+        for table in (path, path + "-compact"):
+            assert params_history(read_table(spark, table), "d", span, tz=zone).count() == len(times)
+    raw = points.select("device_id", points["ts_ms"].alias("timestamp_ms"), points["param_id"].cast("binary").alias("payload"))
+    write_raw_archive(raw, str(tmp_path / "raw"))
+    assert read_table(spark, str(tmp_path / "raw")).where(partition_predicate(span, compact=True)).count() == len(times)
