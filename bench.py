@@ -37,6 +37,8 @@ HEADLINE = [
     "win_02_recent_packets",
     "win_07_parameter_runs_one_file",
     "win_12_merged_rows",
+    "qry_01_stored_point",
+    "qry_02_stored_zone",
 ]
 
 

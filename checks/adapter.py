@@ -5,10 +5,7 @@ Every Spark function here has a CTE of the same content next to it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import datetime, timedelta
-from functools import cache, reduce
-from operator import and_
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +13,9 @@ from pyspark.sql import functions as F
 from pulseframe.functions.timeparts import DAY_MS, HOUR_MS, ntz_millis
 from pulseframe.operators.aggregates import segment_catalog
 from pulseframe.operators.reshape import points_to_packets
-from pulseframe.sinks.segments import with_day_hour
+from pulseframe.session import scratch_path
+from pulseframe.sinks.segments import with_day_hour, write_long_rows, write_raw_archive, write_sparse
+from pulseframe.sources.segments import read_table
 
 # Event types as parameter codes.
 PARAM_OF_EVENT = {
@@ -27,7 +26,6 @@ PARAM_OF_EVENT = {
     "view": "Z00001",
 }
 PARAMS = sorted(PARAM_OF_EVENT.values())
-EVENT_OF_PARAM = {param: event for event, param in PARAM_OF_EVENT.items()}
 
 # 2024-01-08T00:00Z: between stored and recent rows.
 BOUNDARY_MS = 1704672000000
@@ -41,6 +39,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def stored_points(spark: SparkSession, sf_dir: str, tz: str = "UTC") -> DataFrame:
+    """The points as a table of long rows by day and hour, written once per session."""
+    path = scratch_path(spark, "stored")
+    write_long_rows(points(spark, sf_dir), path, tz=tz, partition_by=("day", "hour"))
+    return read_table(spark, path)
+
+
+@cache
+def stored_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events as an archive by day and hour."""
+    path = scratch_path(spark, "stored-raw")
+    write_raw_archive(raw_events(spark, sf_dir), path, partition_by=("day", "hour"))
+    return read_table(spark, path)
+
+
+@cache
+def stored_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as a sparse table by date."""
+    path = scratch_path(spark, "stored-sparse")
+    write_sparse(points(spark, sf_dir), path, [1, 2, 3], partition_by=("year", "month", "day"))
+    return read_table(spark, path)
+
+
 def device_name(number: Column) -> Column:
     return F.concat(F.lit("dev"), F.lpad(number.cast("string"), 6, "0"))
 
@@ -61,35 +83,9 @@ def as_points(events: DataFrame) -> DataFrame:
     )
 
 
-def points(
-    spark: SparkSession,
-    sf_dir: str,
-    device: int | None = None,
-    params: Sequence[str] | None = None,
-    from_ms: int | None = None,
-    to_ms: int | None = None,
-) -> DataFrame:
-    """Events as points.
-
-    The events table stores other columns than a segment does, so conditions on
-    device, parameter and time are also given on the stored columns, where the
-    scan can use them.
-    """
-    events = table(spark, sf_dir, "events")
-    conditions = []
-    if device is not None:
-        conditions.append(F.col("user_id") == device)
-    if params:
-        conditions.append(F.col("event_type").isin([EVENT_OF_PARAM[p] for p in params]))
-    if from_ms is not None:
-        conditions.append(F.col("ts") >= _ntz(from_ms))
-    if to_ms is not None:
-        conditions.append(F.col("ts") < _ntz(to_ms + 1))
-    return as_points(events.where(reduce(and_, conditions)) if conditions else events)
-
-
-def _ntz(ms: int) -> Column:
-    return F.lit(str(datetime(1970, 1, 1) + timedelta(milliseconds=ms))).cast("timestamp_ntz")
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as points; whatever a query leaves out, its operator must leave out."""
+    return as_points(table(spark, sf_dir, "events"))
 
 
 PTS = """
@@ -170,8 +166,7 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     codes = F.array(*[F.lit(p) for p in SUBSCRIBED])
     region = F.col("n_regionkey")
-    # The nation side has 25 rows by definition of the table.
-    return users.join(F.broadcast(nations), F.pmod("user_id", F.lit(25)) == F.col("n_nationkey")).select(
+    return users.join(nations, F.pmod("user_id", F.lit(25)) == F.col("n_nationkey")).select(
         F.concat(F.lit("cli-"), F.col("n_nationkey").cast("string")).alias("client_id"),
         device_name(F.col("user_id")).alias("device_id"),
         F.array(F.get(codes, region), F.get(codes, F.pmod(region + 1, F.lit(5)))).alias("param_ids"),

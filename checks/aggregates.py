@@ -21,7 +21,9 @@ from checks.adapter import (
 from checks.registry import check
 from pulseframe.functions import naming, topics
 from pulseframe.operators import aggregates
-from pulseframe.sinks.segments import with_day_hour
+from pulseframe.session import scratch_path
+from pulseframe.sinks.segments import with_day_hour, write_long_rows
+from pulseframe.sources import catalogs
 
 
 def _stored(spark, sf_dir):
@@ -112,22 +114,45 @@ def packet_catalog(spark, sf_dir):
     "agg_05_archive_catalog",
     f"""WITH {PTS},
     files AS (
-      SELECT strftime(make_timestamp(ts_ms * 1000), '%H') AS hh, min(ts_ms) AS min_ts_ms, max(ts_ms) AS max_ts_ms,
+      SELECT device_id, strftime(make_timestamp(ts_ms * 1000), '%Y%m%d') AS day_key,
+             strftime(make_timestamp(ts_ms * 1000), '%H') AS hh, min(ts_ms) AS min_ts_ms, max(ts_ms) AS max_ts_ms,
              count(*) AS rows, CAST(sum(octet_length(encode(props))) AS BIGINT) AS payload_bytes
       FROM pts GROUP BY ALL
     )
-    SELECT 'h' || hh || '_p001.parquet' AS file_name, CAST(hh AS INTEGER) AS hour, 1 AS part, min_ts_ms, max_ts_ms, rows,
-           payload_bytes, CAST(100 AS BIGINT) AS file_size_bytes, true AS sealed
+    SELECT CAST(1 AS SMALLINT) AS schema_version, device_id, 'h' || hh || '_p001.parquet' AS file_name, day_key,
+           CAST(hh AS INTEGER) AS hour, 1 AS part, min_ts_ms, max_ts_ms, rows,
+           payload_bytes, CAST(100 AS BIGINT) AS file_size_bytes, true AS sealed, CAST(7 AS BIGINT) AS created_at_ms
     FROM files""",
 )
 def archive_catalog(spark, sf_dir):
-    hourly = with_day_hour(raw_events(spark, sf_dir), "timestamp_ms").withColumn(
-        "file_path", F.concat(F.lit("/a/d/"), naming.archive_name(F.col("hour").cast("int"), F.lit(1)))
+    name = naming.archive_name(F.col("hour").cast("int"), F.lit(1))
+    hourly = with_day_hour(raw_events(spark, sf_dir), "timestamp_ms", compact_day=True).withColumn(
+        "file_path", F.concat_ws("/", F.lit("root"), "device_id", "day", name)
     )
     names = hourly.select("file_path").distinct()
     other = names.select(F.regexp_replace("file_path", "h([0-9]*)_p", "x$1_p").alias("file_path"))
     inventory = names.unionByName(other).withColumn("bytes", F.lit(100).cast("bigint"))
-    return aggregates.archive_catalog(hourly, inventory)
+    rebuilt = aggregates.archive_catalog(hourly, inventory, created_at_ms=7)
+    path = scratch_path(spark, "manifests")
+    catalogs.write_archive_manifests(rebuilt, path, partition_by=("day",))
+    return catalogs.read_archive_manifests(spark, path, glob="*.json")
+
+
+@check(
+    "agg_04_segment_sizes",
+    f"WITH {PTS} SELECT strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS rows, true AS sized FROM pts GROUP BY 1",
+)
+def segment_sizes(spark, sf_dir):
+    path = scratch_path(spark, "sized")
+    write_long_rows(points(spark, sf_dir), path, partition_by=("day",))
+    rows = spark.read.parquet(path).withColumns(
+        {"file_path": F.col("_metadata.file_path"), "size_on_disk": F.col("_metadata.file_size")}
+    )
+    inventory = catalogs.file_inventory(spark, path, "*.parquet")
+    sized = aggregates.with_file_sizes(aggregates.segment_catalog(rows, ["file_path", "size_on_disk"]), inventory)
+    return sized.groupBy(naming.path_day_of_device(F.col("file_path")).alias("day")).agg(
+        F.sum("rows").alias("rows"), F.bool_and(F.col("size") == F.col("size_on_disk")).alias("sized")
+    )
 
 
 @check(

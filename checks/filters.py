@@ -21,13 +21,12 @@ WEEK = TimeRange(1704499200000, BOUNDARY_MS)
 
 @check("flt_01_device", f"WITH {PTS} SELECT {POINT} FROM pts WHERE device_id = 'dev000007'")
 def device(spark, sf_dir):
-    return filters.of_device(points(spark, sf_dir, device=7), "dev000007").select(COLUMNS)
+    return filters.of_device(points(spark, sf_dir), "dev000007").select(COLUMNS)
 
 
 @check("flt_02_closed_interval", f"WITH {PTS} SELECT {POINT} FROM pts WHERE ts_ms BETWEEN {WEEK.from_ms} AND {WEEK.to_ms}")
 def closed_interval(spark, sf_dir):
-    rows = points(spark, sf_dir, from_ms=WEEK.from_ms, to_ms=WEEK.to_ms)
-    return filters.in_range(rows, WEEK).select(COLUMNS)
+    return filters.in_range(points(spark, sf_dir), WEEK).select(COLUMNS)
 
 
 @check(
@@ -60,8 +59,7 @@ def range_modes(spark, sf_dir):
 
 @check("flt_04_param_list", f"WITH {PTS} SELECT {POINT} FROM pts WHERE param_id IN ('P00001', 'Z00001')")
 def param_list(spark, sf_dir):
-    rows = points(spark, sf_dir, params=["P00001", "Z00001"])
-    return filters.of_params(rows, ["p00001", " Z00001 "]).select(COLUMNS)
+    return filters.of_params(points(spark, sf_dir), ["p00001", " Z00001 "]).select(COLUMNS)
 
 
 @check("flt_04_long_param_list", f"WITH {PTS} SELECT {POINT} FROM pts WHERE param_id LIKE 'P%'")

@@ -4,26 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.adapter import BOUNDARY_MS, CATALOG, PTS, catalog, points, raw_events, segment_file
+from checks.adapter import (
+    BOUNDARY_MS,
+    CATALOG,
+    PTS,
+    catalog,
+    points,
+    raw_events,
+    segment_file,
+    stored_points,
+    stored_raw,
+    stored_sparse,
+)
 from checks.registry import check
 from pulseframe.functions.timeparts import HOUR_MS, TimeRange
 from pulseframe.operators import reshape
+from pulseframe.operators.filters import partitioned_range
 from pulseframe.plans import freesql, history
-from pulseframe.sinks.segments import with_day_hour
+from pulseframe.session import scratch_path
+from pulseframe.sinks.segments import with_day_hour, write_long_rows
+from pulseframe.sources.segments import read_table
 
 FORTNIGHT = TimeRange(1704067200000, 1705276799999)
-DEVICE, NUMBER = "dev000003", 3
+DEVICE = "dev000003"
 IN_RANGE = f"device_id = '{DEVICE}' AND ts_ms BETWEEN {FORTNIGHT.from_ms} AND {FORTNIGHT.to_ms}"
 
 
-def _device_points(spark, sf_dir, params=None):
-    """Points of the device and range, with the conditions given to the scan."""
-    return points(spark, sf_dir, NUMBER, params, FORTNIGHT.from_ms, FORTNIGHT.to_ms)
-
-
 @check("qry_01_point_history", f"WITH {PTS} SELECT ts_ms, param_id, value FROM pts WHERE {IN_RANGE} AND param_id = 'P00001'")
 def point_history(spark, sf_dir):
-    return history.point_history(_device_points(spark, sf_dir, ["P00001"]), DEVICE, "P00001", FORTNIGHT)
+    return history.point_history(points(spark, sf_dir), DEVICE, "P00001", FORTNIGHT)
 
 
 @check(
@@ -31,13 +40,12 @@ def point_history(spark, sf_dir):
     f"WITH {PTS} SELECT ts_ms, param_id, value FROM pts WHERE {IN_RANGE} AND param_id IN ('P00001', 'Z00001')",
 )
 def params_history(spark, sf_dir):
-    rows = _device_points(spark, sf_dir, ["P00001", "Z00001"])
-    return history.params_history(rows, DEVICE, FORTNIGHT, ["p00001", "z00001"])
+    return history.params_history(points(spark, sf_dir), DEVICE, FORTNIGHT, ["p00001", "z00001"])
 
 
 @check("qry_02_all_params_history", f"WITH {PTS} SELECT ts_ms, param_id, value FROM pts WHERE {IN_RANGE}")
 def all_params_history(spark, sf_dir):
-    return history.params_history(_device_points(spark, sf_dir), DEVICE, FORTNIGHT)
+    return history.params_history(points(spark, sf_dir), DEVICE, FORTNIGHT)
 
 
 @check(
@@ -45,11 +53,11 @@ def all_params_history(spark, sf_dir):
     f"WITH {PTS} SELECT ts_ms, param_id, value FROM pts WHERE {IN_RANGE} ORDER BY ts_ms, param_id LIMIT 10",
 )
 def cold_history(spark, sf_dir):
-    return history.cold_history(_device_points(spark, sf_dir), DEVICE, FORTNIGHT, limit=10)
+    return history.cold_history(points(spark, sf_dir), DEVICE, FORTNIGHT, limit=10)
 
 
 def _unified(spark, sf_dir):
-    rows = _device_points(spark, sf_dir)
+    rows = points(spark, sf_dir)
     return history.unified_history(rows, rows, DEVICE, FORTNIGHT, BOUNDARY_MS + HOUR_MS)
 
 
@@ -67,7 +75,7 @@ def unified_counts(spark, sf_dir):
 
 
 def _paged(spark, sf_dir):
-    rows = with_day_hour(_device_points(spark, sf_dir)).withColumn("segment_file", segment_file())
+    rows = with_day_hour(points(spark, sf_dir)).withColumn("segment_file", segment_file())
     packets = rows.select(
         "device_id",
         "ts_ms",
@@ -118,7 +126,7 @@ def raw_history_ascii(spark, sf_dir):
     FROM pts WHERE {IN_RANGE} GROUP BY ts_ms""",
 )
 def sparse_history(spark, sf_dir):
-    wide = reshape.sparse_wide(_device_points(spark, sf_dir), [1, 2])
+    wide = reshape.sparse_wide(points(spark, sf_dir), [1, 2])
     old = F.col("timestamp") < BOUNDARY_MS
     return history.sparse_history(wide.where(old), wide.where(~old), DEVICE, 2, FORTNIGHT)
 
@@ -164,10 +172,7 @@ def profiled(spark, sf_dir):
 )
 def cross_hour(spark, sf_dir):
     span = TimeRange(1704405600000, 1704506399999)
-    from pulseframe.operators.filters import partitioned_range
-
-    rows = with_day_hour(points(spark, sf_dir, from_ms=span.from_ms, to_ms=span.to_ms))
-    return partitioned_range(rows, span).groupBy("day", "hour").agg(F.count("*").alias("rows"))
+    return partitioned_range(with_day_hour(points(spark, sf_dir)), span).groupBy("day", "hour").agg(F.count("*").alias("rows"))
 
 
 @check(
@@ -178,5 +183,68 @@ def cross_hour(spark, sf_dir):
     FROM pts WHERE {IN_RANGE} AND param_id IN ('P00001', 'P00002') GROUP BY ts_ms""",
 )
 def wide_history(spark, sf_dir):
-    rows = _device_points(spark, sf_dir, ["P00001", "P00002"])
-    return history.wide_history(rows, DEVICE, ["P00001", "P00002"], FORTNIGHT)
+    return history.wide_history(points(spark, sf_dir), DEVICE, ["P00001", "P00002"], FORTNIGHT)
+
+
+# The same over tables as the writers store them: by day and hour, values as FLOAT.
+
+NARROW = "CAST(CAST(value AS FLOAT) AS DOUBLE) AS value"
+
+
+def _wide_values(df):
+    return df.withColumn("value", F.col("value").cast("double"))
+
+
+@check("qry_01_stored_point", f"WITH {PTS} SELECT ts_ms, param_id, {NARROW} FROM pts WHERE {IN_RANGE} AND param_id = 'P00001'")
+def stored_point(spark, sf_dir):
+    return _wide_values(history.point_history(stored_points(spark, sf_dir), DEVICE, "P00001", FORTNIGHT))
+
+
+@check("qry_02_stored_zone", f"WITH {PTS} SELECT ts_ms, param_id, {NARROW} FROM pts WHERE {IN_RANGE}")
+def stored_zone(spark, sf_dir):
+    zone = "Asia/Shanghai"
+    return _wide_values(history.params_history(stored_points(spark, sf_dir, zone), DEVICE, FORTNIGHT, tz=zone))
+
+
+@check(
+    "qry_02_before_epoch",
+    f"""WITH {PTS} SELECT ts_ms - {BOUNDARY_MS} AS ts_ms, param_id, {NARROW} FROM pts
+    WHERE device_id = '{DEVICE}' AND ts_ms BETWEEN {BOUNDARY_MS - 86400000} AND {BOUNDARY_MS + 86400000}""",
+)
+def before_epoch(spark, sf_dir):
+    path = scratch_path(spark, "early")
+    early = points(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") - BOUNDARY_MS)
+    write_long_rows(early, path, partition_by=("day", "hour"))
+    span = TimeRange(-86400000, 86400000)
+    return _wide_values(history.params_history(read_table(spark, path), DEVICE, span))
+
+
+@check(
+    "qry_05_stored_page",
+    f"WITH {PTS} SELECT ts_ms, {NARROW} FROM pts WHERE {IN_RANGE} AND param_id = 'P00001' ORDER BY ts_ms LIMIT 5 OFFSET 2",
+)
+def stored_page(spark, sf_dir):
+    single = stored_points(spark, sf_dir).withColumns(
+        {"segment_file": segment_file(), "param_ids": F.array("param_id"), "values": F.array("value")}
+    )
+    page = history.paged_history(catalog(spark, sf_dir), single, DEVICE, "P00001", FORTNIGHT, offset=2, limit=5)
+    return _wide_values(page.rows)
+
+
+@check(
+    "qry_06_stored_raw",
+    f"""WITH {PTS} SELECT ts_ms, device_id, CAST(strlen(props) AS INTEGER) AS payload_len, props AS payload_text FROM pts WHERE {IN_RANGE}""",
+)
+def stored_raw_history(spark, sf_dir):
+    own = stored_raw(spark, sf_dir).where(F.col("device_id") == DEVICE)
+    return history.raw_history(own, DEVICE, FORTNIGHT, history.ASCII, None)
+
+
+@check(
+    "qry_07_stored_sparse",
+    f"""WITH {PTS} SELECT ts_ms AS timestamp, max(CASE WHEN param_id = 'P00002' THEN value END) AS value
+    FROM pts WHERE {IN_RANGE} GROUP BY ts_ms""",
+)
+def stored_sparse_history(spark, sf_dir):
+    table = stored_sparse(spark, sf_dir)
+    return history.sparse_history(table, table.where("false"), DEVICE, 2, FORTNIGHT)

@@ -74,7 +74,7 @@ def key_lookup(spark, sf_dir):
     f"WITH {PTS}, {LATEST} SELECT device_id, param_id, value, ts_ms FROM latest WHERE device_id = 'dev000005'",
 )
 def device_values(spark, sf_dir):
-    return joins.device_values(latest.current_values(points(spark, sf_dir, device=5)), "dev000005")
+    return joins.device_values(latest.current_values(points(spark, sf_dir)), "dev000005")
 
 
 # Segments of hour 03 are gone; hours of day 2024-01-09 have no manifest.
@@ -236,3 +236,58 @@ def live_device_messages(spark, sf_dir):
     )
     shown = joins.select_live(messages, _live_subscriptions(spark, sf_dir))
     return shown.select("device_id", "ts_ms", F.explode("values").alias("param_id", "text"))
+
+
+@check(
+    "jon_01_wide_packets",
+    """WITH cells AS (
+      SELECT 'wide' || user_id % 10 AS device_id, 'P' || lpad(CAST(event_id % 5000 AS VARCHAR), 5, '0') AS param_id, max(value) AS value
+      FROM events GROUP BY ALL
+    ),
+    kept AS (SELECT * FROM cells WHERE CAST(substr(param_id, 2) AS INTEGER) % 2 = 0 AND CAST(substr(param_id, 2) AS INTEGER) < 4000)
+    SELECT device_id, count(*) AS n, min(param_id) AS first_param, max(param_id) AS last_param,
+           list_last(list(value ORDER BY param_id)) AS last_value
+    FROM kept GROUP BY device_id""",
+)
+def wide_packets(spark, sf_dir):
+    """Packets and subscriptions of up to thousands of parameters."""
+
+    def code(number):
+        return F.concat(F.lit("P"), F.lpad(number.cast("string"), 5, "0"))
+
+    device = F.concat(F.lit("wide"), (F.col("user_id") % 10).cast("string"))
+    cells = (
+        table(spark, sf_dir, "events")
+        .groupBy(device.alias("device_id"), code(F.col("event_id") % 5000).alias("param_id"))
+        .agg(F.max("value").alias("value"))
+    )
+    wide = cells.groupBy("device_id").agg(F.collect_list(F.struct("param_id", "value")).alias("points"))
+    asked = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda n: code(n * 2))
+    subs = wide.select(F.lit("all").alias("client_id"), "device_id", asked.alias("param_ids"))
+    sent = joins.fan_out(wide.withColumn("ts_ms", F.lit(0).cast("bigint")), subs)
+    return sent.select(
+        "device_id",
+        F.size("points").cast("bigint").alias("n"),
+        F.get("points", F.lit(0))["param_id"].alias("first_param"),
+        F.get("points", F.size("points") - 1)["param_id"].alias("last_param"),
+        F.get("points", F.size("points") - 1)["value"].alias("last_value"),
+    )
+
+
+@check(
+    "jon_08_repeated_subscriptions",
+    f"""WITH {PTS}
+    SELECT device_id, ts_ms, param_id, {SHOWN_VALUE.replace("c.", "")} AS text FROM pts WHERE param_id IN ('P00001', 'Z00001')""",
+)
+def repeated_subscriptions(spark, sf_dir):
+    """Two subscriptions of a device, of which the first counts, with repeated and lower-case parameters."""
+    messages = packing.param_messages(points(spark, sf_dir)).select(
+        topics.param_topic(F.col("device_id"), F.col("param_id")).alias("topic"), "payload", "ts_ms"
+    )
+    first, second = F.array(F.lit("p00001"), F.lit("P00001"), F.lit(" z00001")), F.array(F.lit("P00002"))
+    devices = points(spark, sf_dir).select("device_id").distinct()
+    both = devices.select(F.lit("cli-1").alias("client_id"), "device_id", first.alias("param_ids")).unionByName(
+        devices.select(F.lit("cli-2").alias("client_id"), "device_id", second.alias("param_ids"))
+    )
+    shown = joins.select_live(messages, both)
+    return shown.select("device_id", "ts_ms", F.explode("values").alias("param_id", "text"))

@@ -247,3 +247,31 @@ def merged_rows(spark, sf_dir):
 @check("win_12_merged_rows_hours", _merge_sql(6 * 3600000))
 def merged_rows_hours(spark, sf_dir):
     return _merged(spark, sf_dir, 6 * 3600000)
+
+
+@check(
+    "win_05_deletion_results",
+    f"""WITH {CHANGES}
+    SELECT client_id, device_id, seq, coalesce(before = 'set', false) AS removed
+    FROM (SELECT *, lag(op) OVER (PARTITION BY client_id, device_id ORDER BY seq) AS before FROM changes) WHERE op = 'del'""",
+)
+def deletion_results(spark, sf_dir):
+    return latest.deletion_results(_changes(spark, sf_dir))
+
+
+@check(
+    "win_05_lookup",
+    f"""WITH {CHANGES},
+    asked AS (SELECT 'cli-' || n_nationkey AS client_id, 'dev' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS device_id FROM nation)
+    SELECT a.client_id, a.device_id, array_to_string(s.param_ids, ',') AS params, s.client_id IS NOT NULL AS found
+    FROM asked a LEFT JOIN state s ON a.client_id = s.client_id AND a.device_id = s.device_id""",
+)
+def lookup(spark, sf_dir):
+    from checks.adapter import device_name, table
+
+    number = F.col("n_nationkey")
+    asked = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("cli-"), number.cast("string")).alias("client_id"), device_name(number).alias("device_id")
+    )
+    found = latest.looked_up(asked, latest.current_subscriptions(_changes(spark, sf_dir)))
+    return found.select("client_id", "device_id", F.array_join("param_ids", ",").alias("params"), "found")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.adapter import BOUNDARY_MS, CATALOG, PTS, SUBSCRIPTIONS, catalog, points, subscriptions
 from checks.registry import check
 from pulseframe.operators import ordering
+from pulseframe.operators.filters import of_params
 from pulseframe.operators.sequence import numbered
 
 ORDER = ("ts_ms", "param_id", "event_id")
@@ -46,7 +47,7 @@ def page_clamped(spark, sf_dir):
 
 @check("srt_04_total", f"WITH {PTS} SELECT count(*) AS total FROM pts WHERE param_id = 'P00001'")
 def total(spark, sf_dir):
-    return ordering.total_rows(points(spark, sf_dir, params=["P00001"]))
+    return ordering.total_rows(of_params(points(spark, sf_dir), ["P00001"]))
 
 
 # The numbering that deep pages are cut from.

@@ -125,3 +125,20 @@ def import_check(spark, sf_dir):
     repeats = points(spark, sf_dir).select(F.lit(0).alias("rows"), F.lit(1).alias("points"))
     stored = rows.unionByName(repeats).agg(F.sum("rows").alias("rows"), F.sum("points").alias("points"))
     return quality.import_check(source, stored, "long-row")
+
+
+@check(
+    "dq_02_manifest_rows",
+    f"""WITH {ARCHIVE}
+    SELECT file_path, CASE WHEN file_path LIKE '%/20240111/%' THEN false WHEN file_path LIKE '%/20240110/%' THEN true ELSE readable END AS readable
+    FROM files""",
+)
+def manifest_rows(spark, sf_dir):
+    """Day 10 holds empty files, and of day 11 the manifest knows one row more than can be read."""
+    raw, inventory = _archive(spark, sf_dir)
+    counted = raw.groupBy("file_path").agg(F.count("*").alias("rows"))
+    lost = F.col("file_path").contains("/20240111/").cast("bigint")
+    known = inventory.join(counted, "file_path", "left").withColumn(
+        "rows", F.coalesce("rows", F.lit(0).cast("bigint")) + lost
+    )
+    return quality.archive_check(raw, known).select("file_path", "readable")

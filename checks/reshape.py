@@ -35,7 +35,7 @@ def points_to_packets(spark, sf_dir):
 )
 def wide_by_params(spark, sf_dir):
     params = ["p00001", "P00003", "P00009"]
-    return reshape.wide_by_params(points(spark, sf_dir, params=["P00001", "P00003"]), params)
+    return reshape.wide_by_params(points(spark, sf_dir), params)
 
 
 DAY_CELLS = """

@@ -191,18 +191,18 @@ def printable_ascii(spark, sf_dir):
 @check(
     "scl_12_payload_preview",
     """SELECT conv_id, turn, replace(replace(text, chr(10), '\\n'), chr(13), '\\r') AS whole,
-              replace(replace(CASE WHEN strlen(text) = length(text) THEN left(text, 40) ELSE '' END, chr(10), '\\n'), chr(13), '\\r')
-              || CASE WHEN strlen(text) = length(text) AND strlen(text) > 40 THEN '...(truncated)' ELSE '' END AS preview
-       FROM conversations""",
+              replace(replace(left(text, n), chr(10), '\\n'), chr(13), '\\r')
+              || CASE WHEN strlen(text) > 40 AND strlen(left(text, n)) < 40 THEN chr(65533) ELSE '' END
+              || CASE WHEN strlen(text) > 40 THEN '...(truncated)' ELSE '' END AS preview
+       FROM (SELECT *, len(list_filter(range(1, 41), lambda k: k <= length(text) AND strlen(left(text, k)) <= 40)) AS n FROM conversations)""",
 )
 def payload_preview(spark, sf_dir):
     payload = F.encode("text", "UTF-8")
-    only_ascii = F.octet_length("text") == F.length("text")
     return table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
         text.payload_preview(payload, 1_000_000_000).alias("whole"),
-        F.when(only_ascii, text.payload_preview(payload, 40)).otherwise("").alias("preview"),
+        text.payload_preview(payload, 40).alias("preview"),
     )
 
 

@@ -197,16 +197,27 @@ def manifest_lenient(spark, sf_dir):
 
 @check(
     "src_12_file_inventory",
-    f"WITH {CATALOG} SELECT DISTINCT day, true AS has_files, true AS has_bytes FROM catalog",
+    f"WITH {CATALOG} SELECT day, true AS has_files, true AS has_bytes, CAST(sum(rows) AS BIGINT) AS rows, true AS bytes_match FROM catalog GROUP BY day",
 )
 def file_inventory(spark, sf_dir):
     path = scratch_path(spark, "inventory")
     sinks.write_long_rows(points(spark, sf_dir), path, partition_by=BY_DAY)
-    totals = catalogs.directory_totals(catalogs.file_inventory(spark, path, "*.parquet"))
-    return totals.select(
+    inventory = catalogs.file_inventory(spark, path, "*.parquet")
+    # What the inventory lists must be the files that a scan of the table reads.
+    scanned = (
+        spark.read.parquet(path)
+        .groupBy(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
+        .agg(F.count("*").alias("rows"))
+    )
+    listed = inventory.join(scanned, "file_path", "left").groupBy("directory").agg(
+        F.sum("rows").alias("rows"), F.sum("size").alias("scanned_bytes")
+    )
+    return catalogs.directory_totals(inventory).join(listed, "directory").select(
         F.regexp_extract("directory", "day=([^/]*)", 1).alias("day"),
         (F.col("files") >= 1).alias("has_files"),
         (F.col("bytes") > 0).alias("has_bytes"),
+        "rows",
+        (F.col("bytes") == F.col("scanned_bytes")).alias("bytes_match"),
     )
 
 
@@ -225,3 +236,57 @@ def device_inventory(spark, sf_dir):
     path = scratch_path(spark, "devices")
     devices.write.json(path)
     return catalogs.read_device_inventory(spark, path)
+
+
+FOREIGN_SPAN = (1704405600000, 1704506399999)
+
+
+HALF_DAY = 43_200_000
+
+
+def _gateway_points(spark, sf_dir):
+    """All points under three gateways, moved to the start of their half day."""
+    gateway = F.concat(F.lit("gw"), (F.col("user_id") % 3).cast("string"))
+    start = F.col("ts_ms") - F.pmod("ts_ms", F.lit(HALF_DAY))
+    return points(spark, sf_dir).select(gateway.alias("device_id"), start.alias("ts_ms"), "param_id", "value")
+
+
+GATEWAYS = f"""
+{PTS.strip()},
+gateways AS (SELECT 'gw' || user_id % 3 AS device_id, ts_ms - ts_ms % {HALF_DAY} AS ts_ms, param_id, value FROM pts)"""
+
+
+def _foreign_tree(spark, df, name):
+    """A ``device/day/hour`` tree with unsigned 64-bit times, which Spark reads as DECIMAL(20,0)."""
+    path = scratch_path(spark, name)
+    keyed = sinks.with_day_hour(df.withColumn("device", F.col("device_id"))).drop("device_id")
+    unsigned = keyed.withColumn("ts", F.col("ts_ms").cast("decimal(20,0)")).drop("ts_ms")
+    unsigned.repartition("day").write.partitionBy("device", "day", "hour").parquet(path)
+    return path
+
+
+@check(
+    "src_06_foreign_tree",
+    f"""WITH {GATEWAYS} SELECT device_id, ts_ms, param_id, value FROM gateways
+    WHERE device_id = 'gw1' AND ts_ms BETWEEN {FOREIGN_SPAN[0]} AND {FOREIGN_SPAN[1]}""",
+)
+def foreign_tree(spark, sf_dir):
+    path = _foreign_tree(spark, _gateway_points(spark, sf_dir), "foreign")
+    rows = segments.foreign_long_rows(spark, path, "ms", *FOREIGN_SPAN, device_id="gw1")
+    return rows.select(POINT_COLUMNS)
+
+
+@check(
+    "src_07_foreign_packets",
+    f"""WITH {GATEWAYS} SELECT device_id, ts_ms, param_id, value FROM gateways
+    WHERE device_id = 'gw2' AND ts_ms >= {FOREIGN_SPAN[0]}""",
+)
+def foreign_packets(spark, sf_dir):
+    from pulseframe.operators.reshape import packets_to_points
+
+    single = _gateway_points(spark, sf_dir).select(
+        "device_id", "ts_ms", F.array("param_id").alias("param_ids"), F.array("value").alias("values")
+    )
+    path = _foreign_tree(spark, single, "foreign-wide")
+    rows = segments.foreign_packets(spark, path, from_ms=FOREIGN_SPAN[0], device_id="gw2")
+    return packets_to_points(rows).select(POINT_COLUMNS)

@@ -163,6 +163,7 @@ def closed(events, closing_ms):
 
 @check("str_04_presence_stream", _expired_sql(SIX_HOURS).replace(str(NOW_MS), str(NOW_MS + DAY_MS)))
 def expired_client_stream(spark, sf_dir):
+    spark.conf.set(presence_stream.STATE_STORE_CONF, presence_stream.ROCKSDB)
     stream = written_stream(spark, closed(presence(spark, sf_dir), NOW_MS + 10 * DAY_MS), "presence")
     return drained(spark, presence_stream.expired_client_stream(stream, SIX_HOURS), "expired")
 
@@ -334,13 +335,16 @@ def window_stats(spark, sf_dir):
     exact = aggregates.window_stats(tagged(points(spark, sf_dir))).select(
         "source", F.col("hours").alias("exact_hours"), F.col("devices").alias("exact_devices")
     )
-    # The sketch has a relative error of 5 % (one standard deviation).
-    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.2 * F.col(b)
-    return streamed.join(exact, "source").select(
-        "source",
-        "points",
-        close("hours", "exact_hours").alias("hours_close"),
-        close("devices", "exact_devices").alias("devices_close"),
+    batch = aggregates.window_stats(tagged(points(spark, sf_dir)), approximate=True).select(
+        "source", F.col("hours").alias("batch_hours"), F.col("devices").alias("batch_devices")
+    )
+    # A sketch does not depend on the order of its input, so the stream must give the batch's
+    # numbers; its relative error is 5 % (one standard deviation).
+    close = lambda c: (F.abs(F.col(c) - F.col(f"exact_{c}")) <= 0.2 * F.col(f"exact_{c}")) & (
+        F.col(c) == F.col(f"batch_{c}")
+    )
+    return streamed.join(exact, "source").join(batch, "source").select(
+        "source", "points", close("hours").alias("hours_close"), close("devices").alias("devices_close")
     )
 
 
@@ -393,3 +397,33 @@ def raw_archive_scan(spark, sf_dir):
     stream = spark.readStream.schema(schema.RAW_ARCHIVE).option("recursiveFileLookup", "true").parquet(source)
     lengths = stream.select("device_id", "timestamp_ms", F.octet_length("payload").cast("bigint").alias("payload_len"))
     return drained(spark, lengths, "archive-lengths")
+
+
+@check(
+    "str_01_sparse",
+    f"""WITH {PTS} SELECT device_id, ts_ms AS timestamp, max(CASE WHEN param_id = 'P00001' THEN value END) AS p1,
+           max(CASE WHEN param_id = 'P00003' THEN value END) AS p3
+    FROM pts GROUP BY device_id, ts_ms""",
+)
+def sparse(spark, sf_dir):
+    path, checkpoint = scratch_path(spark, "sparse"), scratch_path(spark, "sparse-state")
+    dates = ("year", "month", "day")
+    ingest.ingest_sparse(point_stream(spark, sf_dir), path, checkpoint, [1, 3], None, dates).awaitTermination()
+    rows = segments.read_table(spark, path)
+    return rows.groupBy("device_id", "timestamp").agg(F.max("point_0001").alias("p1"), F.max("point_0003").alias("p3"))
+
+
+@check(
+    "str_04_lost_subscriptions",
+    f"""WITH expired AS ({_expired_sql(SIX_HOURS)}),
+    ids AS (SELECT DISTINCT user_id FROM events)
+    SELECT e.client_id, 'dev' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS device_id, expired_ts AS seq
+    FROM expired e JOIN ids ON e.client_id = 'cli-' || user_id""",
+)
+def lost_subscriptions(spark, sf_dir):
+    # Every client holds a subscription of the device of its own number.
+    expired = presence_stream.expired_clients(presence(spark, sf_dir), NOW_MS, SIX_HOURS)
+    held = points(spark, sf_dir).select(
+        F.concat(F.lit("cli-"), F.col("user_id").cast("string")).alias("client_id"), "device_id"
+    )
+    return presence_stream.lost_subscriptions(expired, held.distinct()).select("client_id", "device_id", "seq")

@@ -39,8 +39,8 @@ def unified_cold_only(spark, sf_dir):
     UNION ALL SELECT event_id, value FROM pts WHERE param_id IN ('P00001', 'P00002')""",
 )
 def all_rows(spark, sf_dir):
-    first = points(spark, sf_dir, params=["P00001"]).select("event_id", "value")
-    second = points(spark, sf_dir, params=["P00001", "P00002"]).select("event_id", "value")
+    first = points(spark, sf_dir).where("param_id = 'P00001'").select("event_id", "value")
+    second = points(spark, sf_dir).where("param_id IN ('P00001', 'P00002')").select("event_id", "value")
     return unions.all_rows(first, second).orderBy("event_id")
 
 

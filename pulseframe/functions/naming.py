@@ -65,6 +65,11 @@ def path_device_of_day(path: Column) -> Column:
     return _path_part(path, 2)
 
 
+def path_day_of_device(path: Column) -> Column:
+    """Day of ``…/device/day/file``."""
+    return _path_part(path, 1)
+
+
 def hourly_key(device_id: Column, day: Column, hour: Column) -> Column:
     """``device|day|HH``."""
     return F.concat_ws("|", device_id, day, F.lpad(hour.cast("string"), 2, "0"))

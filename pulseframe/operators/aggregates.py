@@ -116,33 +116,49 @@ def packet_catalog(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return totals.join(names, list(keys), "left").withColumn("param_ids", F.coalesce("param_ids", none))
 
 
-def archive_catalog(raw: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Rebuilt manifest of raw archive files.
+def with_file_sizes(catalog: DataFrame, inventory: DataFrame) -> DataFrame:
+    """A catalog per ``file_path`` with the bytes of each file (NULL when it is gone)."""
+    sizes = inventory.select("file_path", F.col("bytes").alias("size"))
+    return catalog.join(sizes, "file_path", "left")
 
-    ``raw`` carries ``file_path``; hour and part come from the file name, sizes
-    from the inventory.
+
+def archive_catalog(raw: DataFrame, inventory: DataFrame, created_at_ms: int | None = None) -> DataFrame:
+    """Rebuilt manifest of raw archive files in ``…/device/day/``.
+
+    ``raw`` carries ``file_path``; device and day come from the path, hour and part
+    from the file name, sizes from the inventory.  A row of another device is an
+    error.  Files with another kind of name are left out; an empty file has times 0.
+    ``created_at_ms`` is now unless given.
     """
-    per_file = raw.groupBy("file_path").agg(
+    own = naming.path_device_of_day(F.col("file_path"))
+    foreign = F.raise_error(F.concat(F.lit("row of another device in "), F.col("file_path"))).cast("boolean")
+    checked = raw.where(F.when(F.col("device_id") == own, F.lit(True)).otherwise(foreign))
+    per_file = checked.groupBy("file_path").agg(
         F.min("timestamp_ms").alias("min_ts_ms"),
         F.max("timestamp_ms").alias("max_ts_ms"),
         F.count("*").alias("rows"),
         F.sum(F.octet_length("payload").cast("bigint")).alias("payload_bytes"),
     )
     name = F.col("file_name")
+    created = F.unix_millis(F.current_timestamp()) if created_at_ms is None else F.lit(created_at_ms)
     return (
         inventory.select("file_path", F.col("bytes").alias("file_size_bytes"))
         .join(per_file, "file_path", "left")
         .withColumn("file_name", naming.file_name(F.col("file_path")))
         .select(
+            F.lit(schema.RAW_SCHEMA_VERSION).cast("smallint").alias("schema_version"),
+            own.alias("device_id"),
             "file_name",
+            naming.path_day_of_device(F.col("file_path")).alias("day_key"),
             naming.archive_hour(name).alias("hour"),
             naming.archive_part(name).alias("part"),
-            "min_ts_ms",
-            "max_ts_ms",
-            F.coalesce("rows", F.lit(_ZERO).cast("bigint")).alias("rows"),
-            F.coalesce("payload_bytes", F.lit(_ZERO).cast("bigint")).alias("payload_bytes"),
+            *[
+                F.coalesce(c, F.lit(_ZERO).cast("bigint")).alias(c)
+                for c in ("min_ts_ms", "max_ts_ms", "rows", "payload_bytes")
+            ],
             "file_size_bytes",
             F.lit(True).alias("sealed"),
+            created.cast("bigint").alias("created_at_ms"),
         )
         .where(F.col("hour").isNotNull())
     )

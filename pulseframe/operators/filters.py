@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
+from functools import reduce
+from operator import and_
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +20,6 @@ _LAST_SECOND = 253370764799
 _FIRST_SECOND = -62104060800
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
-# Longer parameter lists become a semi join instead of an IN list.
-MAX_IN_LIST = 500
-
 
 def of_device(df: DataFrame, device_id: str) -> DataFrame:
     """Rows of one device (prunes partitions on a partitioned table)."""
@@ -35,15 +34,14 @@ def in_range(df: DataFrame, span: TimeRange, column: str = "ts_ms") -> DataFrame
 def of_params(df: DataFrame, params: Sequence[str] | None, exact: bool = False) -> DataFrame:
     """Rows of the listed parameters; no list means all.
 
-    ``exact`` compares as written; otherwise the list is trimmed and upper-cased.
+    ``exact`` compares as written; otherwise the list is trimmed and upper-cased.  A list
+    of any length stays one predicate, which Spark tests by hash; use a join for names
+    that are themselves a table.
     """
     if not params:
         return df
     wanted = sorted({p if exact else p.strip().upper() for p in params})
-    if len(wanted) <= MAX_IN_LIST:
-        return df.where(F.col("param_id").isin(wanted))
-    listed = df.sparkSession.createDataFrame([(p,) for p in wanted], "param_id string")
-    return df.join(listed, "param_id", "left_semi").select(df.columns)
+    return df.where(F.col("param_id").isin(wanted))
 
 
 def valid_codes(df: DataFrame) -> DataFrame:
@@ -98,23 +96,23 @@ def hour_overlaps(day: Column, hour: Column, span: TimeRange, tz: str = "UTC") -
     return F.coalesce(key.between(first, last) & real, F.lit(False))
 
 
-def partition_predicate(span: TimeRange, tz: str = "UTC", compact: bool = False) -> Column:
+def partition_predicate(span: TimeRange, tz: str = "UTC") -> Column:
     """The ``day``/``hour`` condition implied by a time range.
 
-    ``tz`` is the zone the table was keyed in; ``compact`` says that its days are
-    ``YYYYMMDD``, as in raw archives.  Only plain comparisons on the partition columns, so whole directories are
-    pruned before any file is opened.
+    ``tz`` is the zone the table was keyed in.  Days may be ``YYYY-MM-DD`` or, as in raw
+    archives, ``YYYYMMDD``.  It concerns the partition columns only, so whole directories
+    are pruned before any file is opened.
     """
-    first_day, first_hour = _day_hour(span.from_ms, tz)
-    last_day, last_hour = _day_hour(span.to_ms, tz)
-    if compact:
-        first_day, last_day = first_day.replace("-", ""), last_day.replace("-", "")
-    day, hour = F.col("day"), F.col("hour")
-    return (
-        day.between(first_day, last_day)
-        & ((day > first_day) | (hour >= first_hour))
-        & ((day < last_day) | (hour <= last_hour))
-    )
+    first, last = "".join(_day_hour(span.from_ms, tz)), "".join(_day_hour(span.to_ms, tz))
+    key = F.concat(F.replace(F.col("day").cast("string"), F.lit("-"), F.lit("")), F.lpad(F.col("hour").cast("string"), 2, "0"))
+    return key.between(first.replace("-", ""), last.replace("-", ""))
+
+
+def date_predicate(from_ms: int | None = None, to_ms: int | None = None) -> Column:
+    """The ``year``/``month``/``day`` condition (UTC) implied by an open or closed time range."""
+    date = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), w, "0") for c, w in (("year", 4), ("month", 2), ("day", 2))])
+    bounds = [(from_ms, date.__ge__), (to_ms, date.__le__)]
+    return reduce(and_, [test(F.lit(_day_hour(ms, "UTC")[0])) for ms, test in bounds if ms is not None], F.lit(True))
 
 
 def partitioned_range(table: DataFrame, span: TimeRange, tz: str = "UTC") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
-from pulseframe.functions.columns import has_items, rows_where
+from pulseframe.functions.columns import evaluated_once, has_items, rows_where
 from pulseframe.functions.timeparts import HOUR_MS, floor_div, intervals_overlap
 from pulseframe.functions.topics import MISSING_TEXT, message_fields, pick_from, topic_device, topic_param
 
@@ -26,17 +26,49 @@ def fan_out(packets: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Packets to what each subscribed client gets; clients without a hit vanish.
 
     The join is on the device only and selects parameters inside the row, so
-    points are neither exploded nor regrouped.  Works on streaming packets with a
-    static subscription table.
+    points are neither exploded nor regrouped.  Points and wanted names are merged in
+    name order: a parameter is selected when the name before it is its own, wanted one,
+    so no point is compared with every name.  Works on streaming packets with a static
+    subscription table.
     """
-    wanted = subscriptions.select(
-        "client_id", "device_id", codes.subscription_params(F.col("param_ids")).alias("_wanted")
+    no_points = F.array().cast(packets.schema["points"].dataType)
+    names = F.transform(
+        codes.subscription_params(F.col("param_ids")),
+        lambda name: F.struct(name.alias("param_id"), F.lit(False).alias("held"), no_points.alias("points")),
+    )
+    wanted = subscriptions.select("client_id", "device_id", names.alias("_wanted"))
+    held = packets.select("device_id", "ts_ms", F.sort_array("points").alias("points"))
+    merged = held.select("device_id", "ts_ms", _by_param(F.col("points")).alias("_held")).join(wanted, "device_id").select(
+        "client_id", "device_id", "ts_ms", F.sort_array(F.concat("_held", "_wanted")).alias("_merged")
+    )
+    selected = F.filter(
+        "_merged", lambda m, i: m["held"] & (F.get("_merged", i - 1)["param_id"] == m["param_id"])
     )
-    selected = F.array_sort(F.filter("points", lambda p: F.array_contains("_wanted", p["param_id"])))
-    return packets.join(wanted, "device_id").select(
-        "client_id", "device_id", "ts_ms", rows_where(selected, has_items).alias("points")
+    return merged.select(
+        "client_id", "device_id", "ts_ms", rows_where(F.flatten(selected["points"]), has_items).alias("points")
+    )
+
+
+def _by_param(points: Column) -> Column:
+    """Sorted points in one entry per parameter, which may hold it more than once."""
+    starts = F.filter(
+        F.transform(
+            points,
+            lambda p, i: F.when((i == 0) | (F.get(points, i - 1)["param_id"] != p["param_id"]), i),
+        ),
+        lambda start: start.isNotNull(),
     )
 
+    def entry(start: Column, number: Column, of: Column) -> Column:
+        end = F.coalesce(F.get(of, number + 1), F.size(points))
+        return F.struct(
+            F.get(points, start)["param_id"].alias("param_id"),
+            F.lit(True).alias("held"),
+            F.slice(points, start + 1, end - start).alias("points"),
+        )
+
+    return evaluated_once(starts, lambda of: F.transform(of, lambda start, number: entry(start, number, of)))
+
 
 def fan_out_points(points: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """The same for single points: an equi join on device and parameter."""
@@ -197,6 +229,10 @@ def device_status(devices: DataFrame, points: DataFrame) -> DataFrame:
 def select_live(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Live messages reduced to what one subscription per device asks for.
 
+    Parameters are normalised and made unique, as everywhere.  Of several
+    subscriptions of a device the first one counts: by client where there is one,
+    else by its list.
+
     ``messages``: ``topic, payload, ts_ms``.  A parameter message passes when its
     parameter is subscribed; a device message yields every subscribed parameter,
     a dash where the message does not carry it.  ``values`` is a map from
@@ -213,7 +249,9 @@ def select_live(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(topic_device(F.col("topic")), F.lit("")), text(member("device_id"))).alias("device_id"),
         topic_param(F.col("topic")).alias("topic_param"),
     )
-    wanted = subscriptions.select("device_id", F.array_distinct("param_ids").alias("_wanted"))
+    first = ["client_id"] if "client_id" in subscriptions.columns else []
+    asked = F.struct(*first, codes.subscription_params(F.col("param_ids")).alias("wanted"))
+    wanted = subscriptions.groupBy("device_id").agg(F.min(asked)["wanted"].alias("_wanted"))
     joined = heard.join(wanted, "device_id").where(
         (F.col("topic_param") == "") | F.array_contains("_wanted", F.col("topic_param"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
-from pulseframe.operators.sequence import islands, numbered
+from pulseframe.operators.sequence import islands, numbered, preceding
 from pulseframe.session import parallelism
 
 # Operations of a subscription change log.
@@ -105,6 +105,24 @@ def current_subscriptions(changes: DataFrame) -> DataFrame:
     return live_subscriptions(subscription_states(changes))
 
 
+def deletion_results(changes: DataFrame) -> DataFrame:
+    """Whether each delete of the change log removed something: ``client_id, device_id, seq, removed``."""
+    told = preceding(
+        changes.select("client_id", "device_id", "seq", "op"), ["client_id", "device_id"], ["seq"], "op", "_before"
+    )
+    return told.where(F.col("op") == DELETE).select(
+        "client_id", "device_id", "seq", F.coalesce(F.col("_before") == SET, F.lit(False)).alias("removed")
+    )
+
+
+def looked_up(requests: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions asked for by client and device; ``found`` is false for an unknown key."""
+    known = subscriptions.select("client_id", "device_id", "param_ids", F.lit(True).alias("_known"))
+    return requests.join(known, ["client_id", "device_id"], "left").select(
+        "client_id", "device_id", "param_ids", F.coalesce("_known", F.lit(False)).alias("found")
+    )
+
+
 def without_clients(subscriptions: DataFrame, removed: DataFrame) -> DataFrame:
     """Subscriptions left after some clients are removed."""
     return subscriptions.join(removed.select("client_id").distinct(), "client_id", "left_anti").select(

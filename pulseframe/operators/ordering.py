@@ -40,8 +40,9 @@ def page(
     offset: int = 0,
     limit: int | None = None,
     order: Sequence[str] = ("ts_ms", "param_id"),
+    largest: int = PAGE_MAX,
 ) -> DataFrame:
-    """One page in order; the limit is clamped to 1…5000.
+    """One page in order; the limit is clamped to 1…``largest``.
 
     A shallow page is a top-k.  For a deep one, keeping ``offset + limit`` rows
     per task would not scale: rows are put in order over many tasks and those
@@ -49,7 +50,7 @@ def page(
     """
     if offset < 0:
         raise ValueError("offset must not be negative")
-    size = min(max(PAGE_LIMIT if limit is None else limit, PAGE_MIN), PAGE_MAX)
+    size = min(max(PAGE_LIMIT if limit is None else limit, PAGE_MIN), largest)
     if offset <= SHALLOW_OFFSET:
         return df.orderBy(*order).offset(offset).limit(size)
     positions = numbered(df, [], list(order), "_position")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,20 +117,30 @@ def archive_check(raw: DataFrame, inventory: DataFrame) -> DataFrame:
     """Per archive file: readable, records, rows of another device, verdict.
 
     ``raw`` is scanned with corrupt files ignored; ``device_id`` of a file is the
-    one its path names.  A file without a single readable row counts as
-    unreadable.
+    one its path names.  Where ``inventory`` has a column ``rows`` (from the manifest)
+    a file is readable when exactly so many rows were read: a file that breaks off
+    half way is not, an empty one is.  Without it, a file is readable when any row was.
     """
     own = naming.path_device_of_day(F.col("file_path"))
+    # Damage shows only in columns that are read, so the verdict depends on all of them.
+    stored = [c for c in ("schema_version", "timestamp_ms", "payload") if c in raw.columns]
+    missing = reduce(or_, [F.col(c).isNull() for c in stored], F.lit(False))
     per_file = raw.groupBy("file_path").agg(
-        F.count("*").alias("records"), F.count_if(F.col("device_id") != own).alias("foreign_rows")
+        F.count("*").alias("records"),
+        F.count_if(F.col("device_id") != own).alias("foreign_rows"),
+        F.count_if(missing).alias("_missing"),
     )
     zero = F.lit(0).cast("bigint")
+    expected = F.col("rows") if "rows" in inventory.columns else F.lit(None).cast("bigint")
+    read = F.col("records").isNotNull() & (F.col("_missing") <= F.col("records"))
     return (
-        inventory.select("file_path")
+        inventory.select("file_path", expected.alias("_expected"))
         .join(per_file, "file_path", "left")
         .select(
             "file_path",
-            F.col("records").isNotNull().alias("readable"),
+            F.when(F.col("_expected") == 0, F.col("records").isNull())
+            .otherwise(F.coalesce(read & (F.col("records") == F.coalesce("_expected", "records")), F.lit(False)))
+            .alias("readable"),
             F.coalesce("records", zero).alias("records"),
             F.coalesce("foreign_rows", zero).alias("foreign_rows"),
         )

@@ -66,7 +66,7 @@ def wide_by_params(points: DataFrame, params: Sequence[str], keys: Sequence[str]
     return rows.select(*keys, *[F.coalesce(F.col(p), F.lit(float("nan"))).alias(p) for p in wanted])
 
 
-def discovered_params(points: DataFrame, limit: int = 1_000) -> list[str]:
+def discovered_params(points: DataFrame, limit: int = schema.MAX_POINT_COLUMNS) -> list[str]:
     """Sorted parameters present; more than ``limit`` is an error.
 
     Only distinct names reach the driver, and never more than ``limit + 1``.
@@ -77,7 +77,7 @@ def discovered_params(points: DataFrame, limit: int = 1_000) -> list[str]:
     return sorted(names)
 
 
-def wide_discovered(points: DataFrame, keys: Sequence[str] = ("ts_ms",), limit: int = 1_000) -> DataFrame:
+def wide_discovered(points: DataFrame, keys: Sequence[str] = ("ts_ms",), limit: int = schema.MAX_POINT_COLUMNS) -> DataFrame:
     """One column per parameter present, in name order, NULL where absent."""
     return _wide(points, discovered_params(points, limit), keys)
 

@@ -99,6 +99,17 @@ def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     return rows.select(*chunks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
 
 
+def preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``value`` of the row before within the key, NULL on the first."""
+    chunks = _Chunks(df, keys, order)
+    boxed = F.struct(F.col(value).alias("v"))
+    chunks.compute(_local=F.lag(boxed).over(chunks.window))
+    lasts = chunks.borders(_last=F.when(F.col("_ends"), boxed))
+    carried = lasts.withColumn("_carried", F.lag("_last").over(chunks.across()))
+    rows = chunks.attach(carried, "_carried")
+    return rows.select(*chunks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],

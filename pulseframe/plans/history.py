@@ -1,7 +1,7 @@
 """History queries.
 
 All take DataFrames of points (or packets, or raw rows) and return lazy
-DataFrames.  On a table partitioned by day and hour the time range also prunes
+DataFrames, except that a deep page first puts its rows in order.  On a table partitioned by day and hour the time range also prunes
 directories; device, parameter and time predicates reach the Parquet scan.
 """
 
@@ -19,6 +19,7 @@ from pulseframe.functions.codes import PARAM_CODE
 from pulseframe.functions.timeparts import TimeRange, intervals_overlap
 from pulseframe.operators import filters, ordering, reshape, unions
 from pulseframe.operators.aggregates import source_counts
+from pulseframe.sources.segments import sparse_point
 
 
 def _scan(
@@ -99,11 +100,12 @@ def paged_history(
     span: TimeRange,
     offset: int = 0,
     limit: int | None = None,
+    tz: str = "UTC",
 ) -> Page:
     """One parameter, page by page, from segments the catalog does not rule out.
 
-    ``catalog`` and ``packets`` share ``segment_file``; the semi join on it prunes
-    packets, exact conditions follow.
+    ``catalog`` and ``packets`` share ``segment_file``.  Device and time prune the scan
+    of packets; the semi join then drops what the catalog rules out.
     """
     code = param.strip().upper()
     if not device_id.strip():
@@ -117,7 +119,7 @@ def paged_history(
         & intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.lit(span.from_ms), F.lit(span.to_ms))
         & filters.may_contain(F.col("param_ids"), code)
     )
-    scanned = filters.in_range(filters.of_device(packets, device_id), span)
+    scanned = _scan(packets, device_id, span, None, tz)
     kept = scanned.join(candidates.select("segment_file").distinct(), "segment_file", "left_semi")
     points = reshape.packets_to_points(kept).where(F.col("param_id") == code).select("ts_ms", "value")
     return Page(ordering.page(points, offset, limit, ("ts_ms", "value")), ordering.total_rows(points))
@@ -133,13 +135,17 @@ def raw_history(
     span: TimeRange,
     payload_format: str | None = None,
     limit: int | None = ordering.RAW_LIMIT,
+    tz: str = "UTC",
 ) -> DataFrame:
     """Raw archive rows of one device with payload length and optional text.
 
     ``raw`` holds the rows of that device's files; a row of another device inside
-    the range is an error.
+    the range is an error.  Day and hour columns prune the scan; ``tz`` is their zone.
     """
-    in_span = raw.where((F.col("timestamp_ms") >= 0) & span.contains(F.col("timestamp_ms")))
+    wanted = (F.col("timestamp_ms") >= 0) & span.contains(F.col("timestamp_ms"))
+    if {"day", "hour"} <= set(raw.columns):
+        wanted = filters.partition_predicate(span, tz) & wanted
+    in_span = raw.where(wanted)
     foreign = F.raise_error(F.concat(F.lit("row of another device: "), F.col("device_id"))).cast("boolean")
     rows = in_span.where(F.when(F.col("device_id") == device_id, F.lit(True)).otherwise(foreign))
     shown = raw_rows(rows, payload_format).orderBy("ts_ms", "payload_len", "payload_text")
@@ -160,12 +166,8 @@ def raw_rows(raw: DataFrame, payload_format: str | None = None) -> DataFrame:
 
 def sparse_history(table: DataFrame, buffer: DataFrame, device_id: str, point: int, span: TimeRange) -> DataFrame:
     """One sparse point column from files and buffer; NULL where absent, repeats kept."""
-    column = f"point_{point:04d}"
     sides = [
-        side.where((F.col("device_id") == device_id) & span.contains(F.col("timestamp"))).select(
-            "timestamp", F.col(column).alias("value")
-        )
-        for side in (table, buffer)
+        sparse_point(side, point, device_id, span.from_ms, span.to_ms).drop("device_id") for side in (table, buffer)
     ]
     return unions.all_rows(*sides).orderBy("timestamp", "value")
 

@@ -36,6 +36,9 @@ MODE_SPELLINGS = {
 
 MAX_POINT_COLUMNS = 10_000
 
+# Fixed value: version of raw archive rows and of their manifest.
+RAW_SCHEMA_VERSION = 1
+
 
 def storage_mode(text: str) -> str:
     """Canonical name of a storage mode (both spellings are accepted)."""

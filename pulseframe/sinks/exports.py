@@ -50,42 +50,47 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("value").write.text(path)
 
 
+def _first(df: DataFrame, limit: int | None, order: Sequence[str]) -> DataFrame:
+    """First rows in order; all rows, each file in order, without a limit."""
+    return df.sortWithinPartitions(*order) if limit is None else first_rows(df, limit, order)
+
+
 def point_export(
-    points: DataFrame, limit: int = EXPORT_LIMIT, order: Sequence[str] = ("ts_ms", "param_id")
+    points: DataFrame, limit: int | None = EXPORT_LIMIT, order: Sequence[str] = ("ts_ms", "param_id")
 ) -> DataFrame:
-    """First points in order with the value as text (six decimals)."""
-    return first_rows(points, limit, order).select(
+    """First points in order (``limit=None``: all) with the value as text (six decimals)."""
+    return _first(points, limit, order).select(
         F.col("ts_ms").alias("ts"), "param_id", fixed_decimals(F.col("value"), 6).alias("value")
     )
 
 
 def write_points_csv(
-    points: DataFrame, path: str, limit: int = EXPORT_LIMIT, order: Sequence[str] = ("ts_ms", "param_id")
+    points: DataFrame, path: str, limit: int | None = EXPORT_LIMIT, order: Sequence[str] = ("ts_ms", "param_id")
 ) -> None:
     """``ts,param_id,value`` with a header."""
     point_export(points, limit, order).write.csv(path, header=True)
 
 
 def write_points_json(
-    points: DataFrame, path: str, limit: int = EXPORT_LIMIT, order: Sequence[str] = ("ts_ms", "param_id")
+    points: DataFrame, path: str, limit: int | None = EXPORT_LIMIT, order: Sequence[str] = ("ts_ms", "param_id")
 ) -> None:
-    """First points in order as JSON lines."""
-    first_rows(points, limit, order).select(F.col("ts_ms").alias("ts"), "param_id", "value").write.json(path)
+    """First points in order (``limit=None``: all) as JSON lines."""
+    _first(points, limit, order).select(F.col("ts_ms").alias("ts"), "param_id", "value").write.json(path)
 
 
-def write_raw_csv(rows: DataFrame, path: str, limit: int = RAW_LIMIT) -> None:
+def write_raw_csv(rows: DataFrame, path: str, limit: int | None = RAW_LIMIT) -> None:
     """Raw query rows with a header."""
     _raw_export(rows, limit).write.csv(path, header=True)
 
 
-def write_raw_json(rows: DataFrame, path: str, limit: int = RAW_LIMIT) -> None:
+def write_raw_json(rows: DataFrame, path: str, limit: int | None = RAW_LIMIT) -> None:
     """Raw query rows as JSON lines."""
     _raw_export(rows, limit).write.json(path)
 
 
-def _raw_export(rows: DataFrame, limit: int) -> DataFrame:
+def _raw_export(rows: DataFrame, limit: int | None) -> DataFrame:
     named = rows.withColumnRenamed("payload_text", "payload_hex")
-    return first_rows(named, limit, ("ts_ms", "device_id", "payload_hex"))
+    return _first(named, limit, ("ts_ms", "device_id", "payload_hex"))
 
 
 def write_result_csv(result: DataFrame, path: str) -> None:

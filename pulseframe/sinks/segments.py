@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import timeparts
 from pulseframe.operators.reshape import points_to_packets, sparse_wide
+from pulseframe.schema import RAW_SCHEMA_VERSION
 from pulseframe.sources.segments import read_table
 
 # Default codec and rows per file.
@@ -23,7 +24,6 @@ ROWS_PER_FILE = 1_000_000
 CODECS = ("zstd", "snappy", "gzip", "none")
 
 DEVICE_HOUR = ("device_id", "day", "hour")
-RAW_SCHEMA_VERSION = 1
 
 
 def with_day_hour(df: DataFrame, column: str = "ts_ms", tz: str = "UTC", compact_day: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -90,6 +90,19 @@ def read_archive_manifests(spark: SparkSession, root: str, glob: str = "manifest
     )
 
 
+def write_archive_manifests(
+    catalog: DataFrame, path: str, partition_by: Sequence[str] = ("device", "day")
+) -> None:
+    """Manifest lines of ``archive_catalog`` as JSON, one file per device and day, in part order.
+
+    ``partition_by=("day",)`` keeps the number of files small where devices are many.  Read back with ``read_archive_manifests(spark, path, glob="*.json")``.
+    """
+    keyed = catalog.withColumns({"device": F.col("device_id"), "day": F.col("day_key")})
+    unused = [c for c in ("device", "day") if c not in partition_by]
+    placed = keyed.repartition(*partition_by).sortWithinPartitions(*partition_by, "device_id", "hour", "part")
+    placed.drop(*unused).write.partitionBy(*partition_by).json(path)
+
+
 def file_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Path and size of every file below a tree; contents are never read."""
     return (

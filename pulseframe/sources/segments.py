@@ -8,7 +8,11 @@ from pyspark.sql import types as T
 
 from pulseframe import schema
 from pulseframe.functions import naming
-from pulseframe.functions.timeparts import SECOND_MS
+from pulseframe.functions.timeparts import SECOND_MS, TimeRange
+from pulseframe.operators.filters import date_predicate, hour_overlaps
+
+# After any time a day key can name.
+_END_MS = (1 << 62) - 1
 
 PARTITION_COLUMNS = ["device_id", "day", "hour"]
 
@@ -44,25 +48,53 @@ def read_foreign_tree(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def foreign_long_rows(
+def _foreign(
     spark: SparkSession,
     root: str,
-    ts_unit: str = "ms",
-    from_ms: int | None = None,
-    to_ms: int | None = None,
+    scale: int,
+    device_id: str | None,
+    from_ms: int | None,
+    to_ms: int | None,
+    tz: str,
 ) -> DataFrame:
-    """Long rows of a foreign tree.
+    """Rows of a foreign tree that may belong to a device and time range.
 
-    Unsigned 64-bit times arrive as DECIMAL(20,0).  The range test is on the
-    stored column so that it reaches the scan; the cast comes after it.
+    Conditions on the path drop whole files before they are opened; files outside
+    ``device/day/hour`` directories are kept.  The range test is on the stored column
+    so that it reaches the scan; the cast comes after it.
     """
     df = read_foreign_tree(spark, root)
-    scale = _scale(ts_unit)
+    path = F.col("_metadata.file_path")
+    if device_id is not None:
+        df = df.where(naming.path_device(path) == device_id)
+    if from_ms is not None or to_ms is not None:
+        span = TimeRange(0 if from_ms is None else from_ms, _END_MS if to_ms is None else to_ms)
+        day, hour = naming.path_day(path), naming.path_hour(path)
+        keyed = F.try_to_date(day, "yyyy-MM-dd").isNotNull() & hour.try_cast("int").isNotNull()
+        df = df.where(F.coalesce(~keyed, F.lit(True)) | hour_overlaps(day, hour, span, tz))
     if from_ms is not None:
         df = df.where(F.col("ts") >= F.lit(-(-from_ms // scale)))
     if to_ms is not None:
         df = df.where(F.col("ts") <= F.lit(to_ms // scale))
-    return df.select(
+    return df
+
+
+def foreign_long_rows(
+    spark: SparkSession,
+    root: str,
+    ts_unit: str = "ms",
+    from_ms: int | None = None,
+    to_ms: int | None = None,
+    device_id: str | None = None,
+    tz: str = "UTC",
+) -> DataFrame:
+    """Long rows of a foreign tree, of one device and time range where given.
+
+    Unsigned 64-bit times arrive as DECIMAL(20,0).  ``tz`` is the zone of the day and
+    hour directories.
+    """
+    scale = _scale(ts_unit)
+    return _foreign(spark, root, scale, device_id, from_ms, to_ms, tz).select(
         naming.path_device(F.col("file_path")).alias("device_id"),
         (F.col("ts").cast("bigint") * F.lit(scale)).alias("ts_ms"),
         "param_id",
@@ -71,11 +103,20 @@ def foreign_long_rows(
     )
 
 
-def foreign_packets(spark: SparkSession, root: str, ts_unit: str = "ms") -> DataFrame:
-    """Packet-wide rows of a foreign tree."""
-    return read_foreign_tree(spark, root).select(
+def foreign_packets(
+    spark: SparkSession,
+    root: str,
+    ts_unit: str = "ms",
+    from_ms: int | None = None,
+    to_ms: int | None = None,
+    device_id: str | None = None,
+    tz: str = "UTC",
+) -> DataFrame:
+    """Packet-wide rows of a foreign tree, of one device and time range where given."""
+    scale = _scale(ts_unit)
+    return _foreign(spark, root, scale, device_id, from_ms, to_ms, tz).select(
         naming.path_device(F.col("file_path")).alias("device_id"),
-        (F.col("ts").cast("bigint") * F.lit(_scale(ts_unit))).alias("ts_ms"),
+        (F.col("ts").cast("bigint") * F.lit(scale)).alias("ts_ms"),
         "param_ids",
         "values",
         "file_path",
@@ -89,7 +130,10 @@ def sparse_point(
     from_ms: int | None = None,
     to_ms: int | None = None,
 ) -> DataFrame:
-    """One point column of a sparse-wide table; NULL where the point is absent."""
+    """One point column of a sparse-wide table; NULL where the point is absent.
+
+    Year, month and day columns prune the scan.
+    """
     if not 1 <= point <= schema.MAX_POINT_COLUMNS:
         raise ValueError(f"point {point} is outside 1…{schema.MAX_POINT_COLUMNS}")
     conditions = [
@@ -97,6 +141,8 @@ def sparse_point(
         (from_ms, F.col("timestamp") >= from_ms),
         (to_ms, F.col("timestamp") <= to_ms),
     ]
+    if {"year", "month", "day"} <= set(table.columns):
+        table = table.where(date_predicate(from_ms, to_ms))
     for given, condition in conditions:
         table = table if given is None else table.where(condition)
     return table.select(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulseframe.sinks.segments import COMPRESSION, DEVICE_HOUR, raw_rows, with_day_hour
+from pulseframe.sinks.segments import COMPRESSION, DEVICE_HOUR, raw_rows, with_day_hour, write_sparse
 from pulseframe.sources.packets import packet_points, parse_packet_lines, parse_published
 
 # Flush intervals.
@@ -21,8 +21,8 @@ SERVICE_INTERVAL = "10 seconds"
 ARCHIVE_INTERVAL = "1 second"
 SPARSE_INTERVAL = "30 seconds"
 
-# Points of one hour and device are written by this many tasks of a micro-batch.
-_WRITERS_PER_HOUR = 4
+# Default number of tasks of a micro-batch that write rows of one partition.
+WRITERS = 4
 
 
 def packet_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -54,6 +54,15 @@ def _start(writer, path: str, checkpoint: str, interval: str | None) -> Streamin
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
 
 
+def _placed(rows: DataFrame, partition_by: Sequence[str], time: str, writers: int) -> DataFrame:
+    """Rows of a partition dealt to ``writers`` tasks by a hash, whatever the ticks of the clock.
+
+    A partition then gets at most so many files per micro-batch.
+    """
+    keys = [c for c in ("device_id", "param_id", time) if c in rows.columns]
+    return rows.repartition(*partition_by, F.pmod(F.xxhash64(*keys), F.lit(writers)))
+
+
 def ingest_points(
     points: DataFrame,
     path: str,
@@ -61,11 +70,11 @@ def ingest_points(
     interval: str | None = SERVICE_INTERVAL,
     tz: str = "UTC",
     partition_by: Sequence[str] = DEVICE_HOUR,
+    writers: int = WRITERS,
 ) -> StreamingQuery:
     """Append points to the long-row table; ``interval=None`` drains the source and ends."""
     rows = with_day_hour(points.select("device_id", "ts_ms", "param_id", F.col("value").cast("float").alias("value")), tz=tz)
-    share = F.pmod(F.xxhash64("device_id", "param_id"), F.lit(_WRITERS_PER_HOUR))
-    placed = rows.repartition(*[F.col(c) for c in partition_by], share)
+    placed = _placed(rows, partition_by, "ts_ms", writers)
     writer = placed.writeStream.format("parquet").partitionBy(*partition_by).option("compression", COMPRESSION)
     return _start(writer, path, checkpoint, interval)
 
@@ -82,6 +91,7 @@ def ingest_packet_wide(
     interval: str | None = SERVICE_INTERVAL,
     tz: str = "UTC",
     partition_by: Sequence[str] = DEVICE_HOUR,
+    writers: int = WRITERS,
 ) -> StreamingQuery:
     """Append parsed packets as one row each, with parallel lists."""
     rows = packets.where(F.size("points") > 0).select(
@@ -90,9 +100,7 @@ def ingest_packet_wide(
         F.col("points.param_id").alias("param_ids"),
         F.col("points.value").cast("array<float>").alias("values"),
     )
-    placed = with_day_hour(rows, tz=tz).repartition(
-        *[F.col(c) for c in partition_by], F.pmod(F.col("ts_ms"), F.lit(_WRITERS_PER_HOUR))
-    )
+    placed = _placed(with_day_hour(rows, tz=tz), partition_by, "ts_ms", writers)
     writer = placed.writeStream.format("parquet").partitionBy(*partition_by).option("compression", COMPRESSION)
     return _start(writer, path, checkpoint, interval)
 
@@ -104,10 +112,11 @@ def archive_events(
     interval: str | None = ARCHIVE_INTERVAL,
     tz: str = "UTC",
     partition_by: Sequence[str] = DEVICE_HOUR,
+    writers: int = WRITERS,
 ) -> StreamingQuery:
     """Append raw payloads by device, day and hour."""
     writer = (
-        raw_rows(events, tz)
+        _placed(raw_rows(events, tz), partition_by, "timestamp_ms", writers)
         .writeStream.format("parquet")
         .partitionBy(*partition_by)
         .option("compression", COMPRESSION)
@@ -115,6 +124,29 @@ def archive_events(
     return _start(writer, path, checkpoint, interval)
 
 
+def ingest_sparse(
+    points: DataFrame,
+    path: str,
+    checkpoint: str,
+    point_numbers: Sequence[int],
+    interval: str | None = SPARSE_INTERVAL,
+    partition_by: Sequence[str] = ("device_id", "year", "month", "day"),
+) -> StreamingQuery:
+    """Append points as one column per point, a folder per micro-batch below ``path``.
+
+    A batch that runs again after a restart replaces its own folder.  Points of one time
+    that arrive in different batches are rows of their own, as in the files of several
+    flushes; the newest non-NULL value counts.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_sparse(batch, f"{path}/batch={batch_id:012d}", point_numbers, partition_by, mode="overwrite")
+
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    writer = points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
+
+
 def publish(rows: DataFrame, path: str, checkpoint: str, interval: str | None = SERVICE_INTERVAL) -> StreamingQuery:
     """Append message rows ``topic, key, value`` as JSON files."""
     return _start(rows.writeStream.format("json"), path, checkpoint, interval)

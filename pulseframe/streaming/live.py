@@ -76,6 +76,17 @@ def upsert_view(view: DataFrame, path: str, checkpoint: str, interval: str | Non
     )
 
 
+def compact_view(stored: DataFrame, keys: Sequence[str], target: str) -> None:
+    """Write only the newest version of every key, with its version, to a new place.
+
+    Read it together with the batches that came later: ``latest_version`` of both is
+    the view.
+    """
+    others = [c for c in stored.columns if c not in (*keys, "batch")]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*others), "version").alias("now"))
+    newest.select(*keys, "now.*").write.parquet(target)
+
+
 def latest_version(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Newest version of every key of such a view."""
     others = [c for c in stored.columns if c not in (*keys, "version", "batch")]

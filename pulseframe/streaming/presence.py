@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulseframe.functions.timeparts import event_time
+from pulseframe.operators.latest import DELETE
 from pulseframe.operators.sequence import following
 
 # Fixed value: grace period.
@@ -62,6 +63,21 @@ def expired_clients(events: DataFrame, until_ms: int, grace_ms: int = GRACE_MS)
     )
 
 
+def lost_subscriptions(expired: DataFrame, held: DataFrame) -> DataFrame:
+    """Deletions that expired clients cause, as rows of the subscription change log.
+
+    ``expired`` may be a stream; ``held`` are the subscriptions in force.  Appended to
+    the change log, the rows end the subscriptions wherever its state is computed.
+    """
+    return expired.join(held.select("client_id", "device_id"), "client_id").select(
+        "client_id",
+        "device_id",
+        F.lit(DELETE).alias("op"),
+        F.array().cast("array<string>").alias("param_ids"),
+        F.col("expired_ts").alias("seq"),
+    )
+
+
 class _Presence(StatefulProcessor):
     """Holds the time of the offline message a client has not answered yet."""
 
@@ -113,9 +129,11 @@ def expired_client_stream(events: DataFrame, grace_ms: int = GRACE_MS, lateness:
 
     State is one time per client that is offline.  Events later than
     ``lateness`` are not seen.  An expiry is reported when the watermark passes
-    the end of the bucket it falls into, at most one grace period after it.
+    the end of the bucket it falls into, at most one grace period after it.  The
+    session must keep streaming state in RocksDB (``STATE_STORE_CONF``).
     """
-    events.sparkSession.conf.set(STATE_STORE_CONF, ROCKSDB)
+    if events.sparkSession.conf.get(STATE_STORE_CONF, None) != ROCKSDB:
+        raise ValueError(f"set {STATE_STORE_CONF} to {ROCKSDB}")
     timed = events.withColumn("event_time", event_time(F.col("ts_ms"))).withWatermark("event_time", lateness)
     return (
         activity(timed, grace_ms)

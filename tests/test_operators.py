@@ -343,4 +343,79 @@ def test_range_in_the_zone_of_the_table_and_before_the_epoch(spark, tmp_path):
             assert params_history(read_table(spark, table), "d", span, tz=zone).count() == len(times)
     raw = points.select("device_id", points["ts_ms"].alias("timestamp_ms"), points["param_id"].cast("binary").alias("payload"))
     write_raw_archive(raw, str(tmp_path / "raw"))
-    assert read_table(spark, str(tmp_path / "raw")).where(partition_predicate(span, compact=True)).count() == len(times)
+    assert read_table(spark, str(tmp_path / "raw")).where(partition_predicate(span)).count() == len(times)
+
+
+def test_damaged_and_empty_archive_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pulseframe.operators import aggregates
+    from pulseframe.sources.segments import read_raw_archive
+
+    day = tmp_path / "d1" / "20240101"
+    day.mkdir(parents=True)
+
+    def put(name, n, **options):
+        payload = pa.array([bytes([i % 251]) * 40 for i in range(n)], pa.binary())
+        table = {"schema_version": pa.array([1] * n, pa.int16()), "device_id": pa.array(["d1"] * n, pa.string()), "timestamp_ms": pa.array(range(n), pa.int64()), "payload": payload}
+        pq.write_table(pa.table(table), day / name, compression="zstd", use_dictionary=False, **options)
+
+    put("h00_p001.parquet", 3)
+    put("h01_p001.parquet", 0)
+    put("h02_p001.parquet", 20_000)
+    path = day / "h02_p001.parquet"
+    column = pq.ParquetFile(path).metadata.row_group(0).column(3)
+    data = bytearray(path.read_bytes())
+    start = column.data_page_offset
+    data[start + 40 : start + 400] = b"\xff" * 360
+    path.write_bytes(bytes(data))
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        raw = read_raw_archive(spark, str(tmp_path))
+        inventory = catalogs.file_inventory(spark, str(tmp_path), "*.parquet")
+        manifest = spark.createDataFrame([("h00_p001.parquet", 3), ("h01_p001.parquet", 0), ("h02_p001.parquet", 20_000)], "file_name string, rows long")
+        checked = quality.archive_check(raw, inventory.join(manifest, "file_name"))
+        got = {r["file_path"].rsplit("/", 1)[1][:3]: r["ok"] for r in checked.collect()}
+        assert got == {"h00": True, "h01": True, "h02": False}
+        assert tuple(quality.archive_summary(checked).first()) == (2, 3, 1)
+        whole = inventory.where("file_name <> 'h02_p001.parquet'")
+        rebuilt = aggregates.archive_catalog(raw, whole, created_at_ms=5)
+        entries = [(r["device_id"], r["day_key"], r["hour"], r["rows"], r["min_ts_ms"], r["created_at_ms"]) for r in rebuilt.orderBy("hour").collect()]
+        assert entries == [("d1", "20240101", 0, 3, 0, 5), ("d1", "20240101", 1, 0, 0, 5)]
+        stranger = raw.withColumn("device_id", F.lit("other"))
+        with pytest.raises(Exception, match="row of another device"):
+            aggregates.archive_catalog(stranger, whole).collect()
+    finally:
+        spark.conf.set("spark.sql.files.ignoreCorruptFiles", "false")
+
+
+def test_fan_out_of_repeated_and_missing_parameters(spark, rows):
+    packets = spark.createDataFrame(
+        [("d1", 1, [("P2", 2.0), ("P1", 1.0), ("P2", 3.0), (None, 9.0)]), ("d1", 2, []), ("d1", 3, None), ("d1", 4, [("P3", 1.0)])],
+        "device_id string, ts_ms long, points array<struct<param_id:string,value:double>>",
+    )
+    subs = spark.createDataFrame([("c", "d1", ["p2 ", "P2", "P9", None]), ("e", "d1", []), ("n", "d1", None)], "client_id string, device_id string, param_ids array<string>")
+    got = [(r["client_id"], r["ts_ms"], [tuple(p) for p in r["points"]]) for r in joins.fan_out(packets, subs).collect()]
+    assert got == [("c", 1, [("P2", 2.0), ("P2", 3.0)])]
+
+
+def test_exports_and_pages_without_the_default_limits(spark, tmp_path):
+    from pulseframe.operators import ordering
+    from pulseframe.sinks import exports
+
+    points = spark.range(6000).selectExpr("id AS ts_ms", "'P00001' AS param_id", "CAST(id AS DOUBLE) AS value")
+    exports.write_points_csv(points, str(tmp_path / "all"), limit=None)
+    assert spark.read.csv(str(tmp_path / "all"), header=True).count() == 6000
+    assert exports.point_export(points).count() == 1000
+    assert ordering.page(points, 0, 5500, largest=10_000).count() == 5500
+
+
+def test_view_compaction(spark, rows, tmp_path):
+    from pulseframe.streaming.live import compact_view, latest_version
+
+    stored = spark.createDataFrame([("a", 0, 1.0), ("a", 2, None), ("b", 1, 5.0)], "k string, version long, value double")
+    compact_view(stored, ["k"], str(tmp_path / "view"))
+    small = spark.read.parquet(str(tmp_path / "view"))
+    assert small.count() == 2
+    later = spark.createDataFrame([("b", 3, 6.0)], "k string, version long, value double")
+    assert rows(latest_version(small.unionByName(later), ["k"]), "k", "value") == [("a", None), ("b", 6.0)]

@@ -208,3 +208,57 @@ def test_repeated_keys_of_a_flat_payload(spark):
     rows = [("d", 1, '{"P00001":1,"P00001":2,"p00001":3}'), ("d", 2, "1"), ("d", 3, '"x"'), ("d", 4, "null"), ("d", 5, '{"P00001":1'), ("d", 6, None)]
     messages = spark.createDataFrame(rows, "device_id string, ts_ms bigint, payload string")
     assert points_of(packets.flat_packets(messages)) == [[("P00001", 2.0)]]
+
+
+def opened(df):
+    """Files a query opened, in a plan of its own, as metrics count one run."""
+    df = df.select("*")
+    df.collect()
+
+    def leaves(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return leaves(plan.executedPlan())
+        children = plan.children()
+        kids = [children.apply(i) for i in range(children.size())]
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            kids = [plan.plan()]
+        return [leaf for kid in kids for leaf in leaves(kid)] or [plan]
+
+    scans = [n for n in leaves(df._jdf.queryExecution().executedPlan()) if n.metrics().contains("numFiles")]
+    return sum(n.metrics().apply("numFiles").value() for n in scans)
+
+
+def test_scans_open_only_files_of_the_range(spark, tmp_path):
+    from pulseframe.functions.timeparts import TimeRange
+    from pulseframe.plans import history
+    from pulseframe.sinks import segments as sinks
+    from pulseframe.sources import segments
+
+    hour = 3_600_000
+    points = spark.createDataFrame(
+        [(d, t * hour, "P00001", float(t)) for d in ("d1", "d2") for t in range(0, 60, 10)],
+        "device_id string, ts_ms long, param_id string, value double",
+    )
+    span = TimeRange(10 * hour, 10 * hour + 5)
+    table, raw, sparse = (str(tmp_path / n) for n in ("points", "raw", "sparse"))
+    sinks.write_long_rows(points, table)
+    events = points.select("device_id", points["ts_ms"].alias("timestamp_ms"), points["param_id"].cast("binary").alias("payload"))
+    sinks.write_raw_archive(events, raw)
+    sinks.write_sparse(points, sparse, [1])
+
+    # A tree with times of another type, and a file outside the day and hour directories.
+    foreign = str(tmp_path / "foreign")
+    unsigned = sinks.with_day_hour(points).selectExpr("device_id device", "day", "hour", "CAST(ts_ms AS DECIMAL(20,0)) ts", "param_id", "value")
+    unsigned.write.partitionBy("device", "day", "hour").parquet(foreign)
+    found = segments.foreign_long_rows(spark, foreign, "ms", span.from_ms, span.to_ms, "d1")
+    assert [(r["device_id"], r["value"]) for r in found.collect()] == [("d1", 10.0)]
+    assert opened(found) == 1
+    unsigned.drop("device", "day", "hour").limit(2).coalesce(1).write.mode("append").parquet(foreign + "/loose")
+    assert segments.foreign_long_rows(spark, foreign, "ms", span.from_ms, span.to_ms).count() >= 2
+
+    assert opened(history.params_history(segments.read_table(spark, table), "d1", span)) == 1
+    own = segments.read_table(spark, raw).where("device_id = 'd1'")
+    assert opened(history.raw_history(own, "d1", span)) == 1
+    wide = segments.read_table(spark, sparse)
+    got = history.sparse_history(wide, wide.where("false"), "d1", 1, TimeRange(30 * hour, 30 * hour))
+    assert [r["value"] for r in got.collect()] == [30.0] and opened(got) == 1

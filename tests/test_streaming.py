@@ -91,6 +91,7 @@ def test_presence_across_batches(spark, tmp_path, rows):
         frame(("tick", 10_000_000, True)),
         frame(("tick", 20_000_000, True)),
     ]
+    spark.conf.set(presence.STATE_STORE_CONF, presence.ROCKSDB)
     got = drain(spark, frames, lambda s: presence.expired_client_stream(s, 30000, "1 second"), tmp_path)
     found = [(c, a - T0, b - T0) for c, a, b in rows(got)]
     assert found == [("gone", 0, 30000), ("same", 5, 30005)]
