@@ -220,7 +220,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     moved = F.transform(
         "spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))
     )
-    return places.groupBy("did", "hash").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    # A set, so that rows that repeat key and text add nothing to the spans they share.
+    return places.groupBy("did", "hash").agg(F.flatten(F.collect_set(moved)).alias("spans"))
 
 
 def _covered(count: int, spans: list[dict[str, int]] | None) -> np.ndarray:
