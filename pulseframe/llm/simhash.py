@@ -237,6 +237,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component_id`` is the smallest key reachable by links of at most three bits,
     the document itself included; ``text_hash`` tells rows apart that repeat a key.
     """
+    return simhash_nodes(docs, id_col, text_col).drop("node")
+
+
+def simhash_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``simhash_groups``, with the component's smallest fingerprint as ``node``.
+
+    Components whose smallest key is the same have different nodes.
+    """
     picked = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     prints = written(
         mapped(
@@ -259,7 +267,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     firsts = named.where("linked").groupBy("c").agg(F.min("least").alias("first")).withColumnRenamed("c", "g")
     smallest = named.join(firsts, named["c"] == firsts["g"], "left").where("linked OR n > 1")
-    smallest = written(smallest.select("fp", F.coalesce("first", "least").alias("component_id")), "smallest")
+    smallest = written(smallest.select("fp", "c", F.coalesce("first", "least").alias("component_id")), "smallest")
     return (
         prints.join(smallest.withColumnRenamed("fp", "k"), F.col("fp") == F.col("k"), "left")
         .select(
@@ -267,21 +275,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
             F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             "text_hash",
+            F.coalesce("c", "fp").alias("node"),
         )
     )
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the document with the smallest key.
+    """Rows of ``docs``, all columns: of each component the document with the smallest key."""
+    return first_rows(docs, simhash_nodes(docs))
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns: of each ``node`` of ``groups`` the one with the smallest key.
 
-    Of rows that repeat this key, the one with the smallest text hash stays.  Where all keys
-    of a fingerprint are null, one row of that fingerprint stays.
+    ``groups`` has doc_id, text_hash and node of every row.  Null keys come last; of rows that
+    repeat the key, the one with the smallest text hash stays.
     """
-    groups = simhash_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    first = first.groupBy("component_id", alone.alias("alone")).agg(F.min("text_hash").alias("h"))
-    first = written(first.select(_text_key(F.col("component_id")).alias("__keep_id"), F.col("h").alias("__keep_hash")), "kept")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = groups.groupBy("node").agg(F.min(order).alias("f"))
+    first = first.select(_text_key(F.col("f.doc_id")).alias("__keep_id"), F.col("f.text_hash").alias("__keep_hash"))
+    first = written(first, "kept")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"__group_id": _text_key(F.col("doc_id")), "__group_hash": F.xxhash64(text)})
     both = (F.col("__group_id") == F.col("__keep_id")) & (F.col("__group_hash") == F.col("__keep_hash"))

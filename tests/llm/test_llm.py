@@ -132,6 +132,15 @@ def test_simhash(odd, nothing):
     assert kept.where("doc_id in (2, 4, 6)").count() == 0
 
 
+def test_a_repeated_key_keeps_each_group(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, one), (7, one), (1, other), (9, other), (None, "lone text"), (1, "third one")]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(kept.collect(), "doc_id", "text") == Counter(
+        [(1, one), (1, other), (None, "lone text"), (1, "third one")]
+    )
+
+
 @pytest.mark.parametrize("limit", [4, 64, 4096])
 def test_buckets_lose_no_link(spark, limit):
     rng = random.Random(limit)
