@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseframe.llm import bpe, fingerprints, fmindex, licenses, mil, packing, quality_rules, secrets, simhash
+from pulseframe.llm import bpe, fingerprints, fmindex, licenses, mil, nearcopies, packing, quality_rules, secrets, simhash
 from pulseframe.llm import substrings, trigrams, warc
 from pulseframe.llm.components import components
 from pulseframe.llm.queries import ORACLE_SQL, QUERIES
@@ -161,6 +161,37 @@ def test_buckets_lose_no_link(spark, limit):
     assert {frozenset(g) for g in groups.values()} == near_groups(values)
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_near_copies(spark, odd, nothing, small):
+    rng = random.Random(small)
+    rows = []
+    for k in range(12):
+        words = [f"n{k}w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        for copy, changes in ((1, 2), (2, 4), (3, 40)):
+            own = list(words)
+            for at in rng.sample(range(300), changes):
+                own[at] = f"c{copy}x{at}"
+            rows.append((10 * k + copy, " ".join(own)))
+
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    def alike(a, b):
+        return len(sets(a) & sets(b)) >= 0.8 * len(sets(a) | sets(b))
+
+    docs = spark.createDataFrame([*rows, (None, rows[0][1].upper())], "doc_id long, text string")
+    node = {r["doc_id"]: r["node"] for r in nearcopies.near_copies(docs, small).collect()}
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        assert node[a] == node[b] if alike(x, y) else node[a] != node[b] or a // 10 == b // 10
+    assert node[None] == node[0] and all(node[10 * k + 3] != node[10 * k] for k in range(12))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {10 * k + c for k in range(12) for c in (0, 3)}
+    assert nearcopies.near_copies(nothing).collect() == []
+    assert corpus_pipeline.near_dedup(spark, odd, "").where("doc_id in (2, 4, 6)").count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
