@@ -4,7 +4,9 @@ A notice of a few words is searched with up to k edits.  Cut into k + 1 pieces,
 least one piece of any such match stands in the text unchanged (pigeonhole).  The
 pieces of all notices form one Aho-Corasick automaton; a hit names a notice and the
 only window it can lie in; the regex library then looks for the notice with at most
-k edits in that window and gives its span and its edits.
+k edits in that window and gives its span and its edits.  Windows are searched one by
+one, the match with the fewest edits is taken first, and what a taken match leaves of
+a window is searched again, so a better match never hides another beside it.
 
 Defined results: a null or empty text has no words, no labels and score 0; equal
 rows give equal rows; an empty table gives no rows.
@@ -12,6 +14,8 @@ rows give equal rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -102,34 +106,52 @@ class Finder:
         self.automaton.make_automaton()
 
     def spans(self, norm: str) -> list[Span]:
-        """Non-overlapping matches of every notice, each the best of its window."""
-        windows: dict[int, list[list[int]]] = {}
+        """Non-overlapping matches of every notice, those with fewer edits first."""
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, (size, uses) in self.automaton.iter(norm):
             start = end - size + 1
             for k, offset in uses:
                 notice, _, edits, _ = self.notices[k]
                 low = max(0, start - offset - edits)
                 high = min(len(norm), start - offset + len(notice) + edits)
-                own = windows.setdefault(k, [])
-                if own and low <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(low, own[-1][0]), max(high, own[-1][1])
-                else:
-                    own.append([low, high])
+                windows.setdefault(k, set()).add((low, high))
         found = []
         for k, own in windows.items():
             notice, label, _, pattern = self.notices[k]
             word = last = 0
-            for low, high in own:
-                for match in pattern.finditer(norm, low, high):
-                    # A best match can begin or end with the space beside a word.
-                    start = match.start() + (norm[match.start()] == " ")
-                    word += norm.count(" ", last, start)
-                    last = start
-                    inside = norm[start : match.end()].rstrip(" ").count(" ")
-                    found.append(Span(label, word - 1, word - 1 + inside, sum(match.fuzzy_counts), len(notice)))
+            for at, end, edits in _taken(pattern, norm, own):
+                # A best match can begin or end with the space beside a word.
+                start = at + (norm[at] == " ")
+                word += norm.count(" ", last, start)
+                last = start
+                inside = norm[start:end].rstrip(" ").count(" ")
+                found.append(Span(label, word - 1, word - 1 + inside, edits, len(notice)))
         return found
 
 
+def _taken(pattern: regex.Pattern, norm: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the matches in ``windows``, best first without overlaps, in order of place."""
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def search(low: int, high: int) -> None:
+        if match := pattern.search(norm, low, high):
+            heapq.heappush(heap, (sum(match.fuzzy_counts), match.start(), match.end(), low, high))
+
+    for low, high in windows:
+        search(low, high)
+    taken: list[tuple[int, int, int]] = []
+    while heap:
+        edits, start, end, low, high = heapq.heappop(heap)
+        # The first taken match that ends after this one's start.
+        at = bisect.bisect_right(taken, start, key=lambda t: t[1])
+        if at == len(taken) or taken[at][0] >= end:
+            taken.insert(at, (start, end, edits))
+        else:
+            search(low, min(high, taken[at][0]))
+            search(max(low, taken[at][1]), high)
+    return taken
+
+
 @cache
 def _finder(notices: tuple[tuple[str, str], ...], chars_per_edit: int) -> Finder:
     return Finder(dict(notices), chars_per_edit)

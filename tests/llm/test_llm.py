@@ -276,6 +276,22 @@ def test_licenses(odd, nothing):
     assert licenses.license_scan(nothing).collect() == []
 
 
+def test_adjacent_notices_are_all_found():
+    finder = licenses.Finder(licenses.NOTICES, licenses.CHARS_PER_EDIT)
+
+    def places(text, label="gpl"):
+        return [(s.first_word, s.last_word, s.edits) for s in finder.spans(text) if s.label == label]
+
+    good, bad, worse = "gnu general public license", "gnu general public licence", "gnu generel public licence"
+    for notices in itertools.product([good, bad, worse], repeat=3):
+        edits = [[good, bad, worse].index(n) for n in notices]
+        assert places(f" the {notices[0]} or {notices[1]} {notices[2]} applies ") == [
+            (1, 4, edits[0]), (6, 9, edits[1]), (10, 13, edits[2])
+        ]
+    many = places(" " + f"{bad} or {good} " * 300)
+    assert [p[0] for p in many] == [9 * k + o for k in range(300) for o in (0, 5)]
+
+
 # ---- 7 substrings
 
 
