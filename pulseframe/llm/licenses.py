@@ -4,7 +4,8 @@ A notice of a few words is searched with up to k edits.  Cut into k + 1 pieces,
 least one piece of any such match stands in the text unchanged (pigeonhole).  The
 pieces of all notices form one Aho-Corasick automaton; a hit names a notice and the
 only window it can lie in; the regex library then looks for the notice with at most
-k edits in that window and gives its span and its edits.  Windows are searched one by
+k edits in that window and gives its span and its edits.  The words that tell licenses
+apart take at most one edit, the shortest none.  Windows are searched one by
 one, the match with the fewest edits is taken first, and what a taken match leaves of
 a window is searched again, so a better match never hides another beside it.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -50,6 +52,8 @@ NOTICES = {
     "released into the public domain": "public-domain",
     "permission to use copy modify and distribute this software": "isc",
 }
+# Words that tell one license from another, and the edits each may have where it stands in a notice.
+KEY_WORDS = {"mit": 0, "nc": 0, "gnu": 1, "apache": 1, "lesser": 1, "affero": 1, "mozilla": 1, "public": 1, "domain": 1}
 #: One edit is allowed for this many characters of a notice.
 CHARS_PER_EDIT = 10
 
@@ -88,6 +92,23 @@ def places(norm: bytes, phrase: str) -> list[int]:
     return found
 
 
+def _pattern(notice: str, edits: int) -> str:
+    """The notice with up to ``edits`` edits in each run between its key words."""
+    parts, run = [], ""
+    for piece in re.findall(r" *[^ ]+", notice):
+        word = piece.lstrip(" ")
+        if word not in KEY_WORDS:
+            run += piece
+            continue
+        run += piece[: -len(word)]
+        if run:
+            parts.append(f"(?:{regex.escape(run)}){{e<={edits}}}")
+        allowed = min(KEY_WORDS[word], edits)
+        parts.append(f"(?:{word}){{e<={allowed}}}" if allowed else rf"(?<![^ ]){word}(?![^ ])")
+        run = ""
+    return "".join(parts) + (f"(?:{regex.escape(run)}){{e<={edits}}}" if run else "")
+
+
 class Finder:
     """The compiled notices: seeds of all of them in one automaton, and a pattern each."""
 
@@ -95,7 +116,7 @@ class Finder:
         self.notices, seeds = [], {}
         for notice, label in notices.items():
             edits = len(notice) // chars_per_edit
-            pattern = regex.compile(f"(?:{regex.escape(notice)}){{e<={edits}}}", regex.BESTMATCH)
+            pattern = regex.compile(_pattern(notice, edits), regex.BESTMATCH)
             cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
             for start, end in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[start:end], []).append((len(self.notices), start))
@@ -117,9 +138,9 @@ class Finder:
                 windows.setdefault(k, set()).add((low, high))
         found = []
         for k, own in windows.items():
-            notice, label, _, pattern = self.notices[k]
+            notice, label, most, pattern = self.notices[k]
             word = last = 0
-            for at, end, edits in _taken(pattern, norm, own):
+            for at, end, edits in _taken(pattern, norm, own, most):
                 # A best match can begin or end with the space beside a word.
                 start = at + (norm[at] == " ")
                 word += norm.count(" ", last, start)
@@ -129,12 +150,18 @@ class Finder:
         return found
 
 
-def _taken(pattern: regex.Pattern, norm: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Start, end and edits of the matches in ``windows``, best first without overlaps, in order of place."""
+def _taken(
+    pattern: regex.Pattern, norm: str, windows: set[tuple[int, int]], most: int
+) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the matches in ``windows``, best first without overlaps, in order of place.
+
+    The pattern bounds the edits of each of its runs; ``most`` bounds their sum.
+    """
     heap: list[tuple[int, int, int, int, int]] = []
 
     def search(low: int, high: int) -> None:
-        if match := pattern.search(norm, low, high):
+        match = pattern.search(norm, low, high)
+        if match and sum(match.fuzzy_counts) <= most:
             heapq.heappush(heap, (sum(match.fuzzy_counts), match.start(), match.end(), low, high))
 
     for low, high in windows:

@@ -292,6 +292,24 @@ def test_adjacent_notices_are_all_found():
     assert [p[0] for p in many] == [9 * k + o for k in range(300) for o in (0, 5)]
 
 
+def test_the_telling_words_of_a_notice_are_not_edited_away():
+    finder = licenses.Finder(licenses.NOTICES, licenses.CHARS_PER_EDIT)
+
+    def labels(text):
+        return {s.label for s in finder.spans(f" x {text} y ")}
+
+    for name in ("bsd", "gpl", "isc", "x11", "mpl"):
+        assert labels(f"released under the {name} license") == labels(f"licensed under the {name} license") == set()
+    for other in ("cc by sa", "cc by nd", "cc by", "cc 0"):
+        assert labels(f"licensed under {other}") == set()
+    assert labels("licensed under the eclipse license") == labels("released into the private domain") == set()
+    assert labels("gnu lesser general public license") == {"lgpl"}
+    assert labels("gnu affero general public license") == {"agpl"}
+    assert labels("relesed undr the mit licence") == {"mit"} and labels("licenced under the apachee license") == {"apache-2.0"}
+    for notice, label in licenses.NOTICES.items():
+        assert label in labels(notice)
+
+
 # ---- 7 substrings
 
 
