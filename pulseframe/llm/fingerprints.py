@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text is cut into paragraphs (lines; within a line, after sentences of 50 characters or
-more), and the set of their 64-bit digests goes into a sketch: three tables of cells, a digest in one cell of
+A text is cut into paragraphs (lines, and sentences within a line; a sentence of more than
+400 characters is cut again where its content says), and the set of their 64-bit digests goes into a sketch: three tables of cells, a digest in one cell of
 each; a cell keeps the number of its digests, their XOR and the XOR of their check values.
 Subtracting two sketches cell by cell leaves the digests in which the texts differ.
 Peeling takes a cell with a single digest, reports it, and removes it from its other
@@ -33,6 +33,9 @@ RETRY_CELLS = (8, 16, 32, 64, 256, 1024)
 GROUP = 8
 LARGE_GROUP = 512
 ROUNDS = 24
+#: Pieces of long sentences: up to a space between two such letters, then to any space, then as is.
+LEAST_PIECE = 400
+PIECE = r"(?s).{400,799}?(?<=[a-h]) (?=[a-d])|.{800,2047}? |.{2048}|.+"
 _CHECK_SEED = 7
 
 
@@ -42,8 +45,15 @@ def _let(value: Column, body) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Lines and their longer sentences, without empty ones."""
-    return F.filter(F.split(text, r"\n| (?<=[.!?] )(?<=[^.!?]{49}[.!?] )"), lambda p: p != "")
+    """Lines and their sentences, without empty ones; long sentences in pieces."""
+    sentences = F.filter(F.split(text, r"\n|(?<=[.!?]) "), lambda p: p != "")
+    pieces = F.transform(
+        sentences,
+        lambda p: F.when(F.char_length(p) > LEAST_PIECE, F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))).otherwise(
+            F.array(p)
+        ),
+    )
+    return F.flatten(pieces)
 
 
 def digests(text: Column) -> Column:

@@ -224,6 +224,23 @@ def test_sketches(odd, nothing):
     assert fingerprints.with_next(empty).count() == 0
 
 
+def test_paragraphs_of_short_and_endless_sentences(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(900)]
+    short = " ".join(f"{a} {b}{e}" for a, b, e in zip(words[::2], words[1::2], itertools.cycle([".", "!", "?!", "..."])))
+    docs = {"short": short, "endless": " ".join(words), "solid": "x日" * 4000}
+    rows = [(k, t, t[: len(t) // 2] + "another text") for k, t in docs.items()]
+    df = spark.createDataFrame(rows, "k string, a string, b string")
+    got = {r["k"]: r for r in df.select("k", *[fingerprints.paragraphs(F.col(c)).alias(c) for c in "ab"]).collect()}
+    for k, t in docs.items():
+        whole = " ".join(got[k]["a"]) if k == "short" else "".join(got[k]["a"])
+        assert whole == t and max(map(len, got[k]["a"])) <= 2048
+        assert len(set(got[k]["a"]) & set(got[k]["b"])) >= (200 if k == "short" else 1)
+    cut_in = fingerprints.paragraphs(F.lit("zzz zz " + " ".join(words)))
+    shifted = df.limit(1).select(cut_in.alias("p")).first()["p"]
+    assert set(shifted) & set(got["endless"]["a"])
+
+
 # ---- 5 BPE
 
 
