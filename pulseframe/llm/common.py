@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,17 +45,34 @@ def mapped_batches(
     fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, Any]]],
 ) -> DataFrame:
     """As ``mapped``, for functions that keep something from batch to batch of a task."""
+    return mapped_columns(
+        df, schema, lambda batches: fn({n: c.to_pylist() for n, c in batch.items()} for batch in batches)
+    )
+
+
+def mapped_columns(
+    df: DataFrame,
+    schema: str | StructType,
+    fn: Callable[[Iterator[dict[str, pa.Array]]], Iterator[dict[str, Any]]],
+) -> DataFrame:
+    """As ``mapped_batches``, for functions that take Arrow columns, as ``matrix`` does."""
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):
         # An empty partition gives no batch and so no rows.
-        for out in fn({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches):
+        for out in fn({n: b.column(n) for n in b.schema.names} for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length, without nulls, as the rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the files.
 
