@@ -16,6 +16,7 @@ from pulseframe.operators.reshape import points_to_packets
 from pulseframe.session import scratch_path
 from pulseframe.sinks.segments import with_day_hour, write_long_rows, write_raw_archive, write_sparse
 from pulseframe.sources.segments import read_table
+from pulseframe.sources.skipping import file_catalog
 
 # Event types as parameter codes.
 PARAM_OF_EVENT = {
@@ -40,11 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @cache
-def stored_points(spark: SparkSession, sf_dir: str, tz: str = "UTC") -> DataFrame:
-    """The points as a table of long rows by day and hour, written once per session."""
+def _stored(spark: SparkSession, sf_dir: str, tz: str) -> str:
     path = scratch_path(spark, "stored")
     write_long_rows(points(spark, sf_dir), path, tz=tz, partition_by=("day", "hour"))
-    return read_table(spark, path)
+    return path
+
+
+@cache
+def stored_points(spark: SparkSession, sf_dir: str, tz: str = "UTC") -> DataFrame:
+    """The points as a table of long rows by day and hour, written once per session."""
+    return read_table(spark, _stored(spark, sf_dir, tz))
+
+
+@cache
+def stored_catalog(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The folder of that table and the catalog of its files, written once per session."""
+    path = scratch_path(spark, "stored-catalog")
+    file_catalog(stored_points(spark, sf_dir)).write.parquet(path)
+    return _stored(spark, sf_dir, "UTC"), spark.read.parquet(path)
 
 
 @cache

@@ -12,6 +12,7 @@ from checks.adapter import (
     points,
     raw_events,
     segment_file,
+    stored_catalog,
     stored_points,
     stored_raw,
     stored_sparse,
@@ -231,6 +232,42 @@ def stored_page(spark, sf_dir):
     return _wide_values(page.rows)
 
 
+# Only the files that the catalog of the stored table names are opened.
+@check(
+    "qry_05_catalog_page",
+    f"WITH {PTS} SELECT ts_ms, {NARROW} FROM pts WHERE {IN_RANGE} AND param_id = 'P00001' ORDER BY ts_ms LIMIT 6 OFFSET 1",
+)
+def catalog_page(spark, sf_dir):
+    table = stored_points(spark, sf_dir)
+    root, kept = stored_catalog(spark, sf_dir)
+    page = history.catalog_history(spark, kept, root, table.schema, DEVICE, "P00001", FORTNIGHT, offset=1, limit=6)
+    return _wide_values(page.rows)
+
+
+# Tables keyed in another zone.
+ZONE = "Asia/Shanghai"
+
+
+@check("qry_04_stored_zone", f"WITH {PTS} SELECT ts_ms, param_id, {NARROW}, {SOURCE} FROM pts WHERE {IN_RANGE}")
+def unified_zone(spark, sf_dir):
+    rows = stored_points(spark, sf_dir, ZONE)
+    return _wide_values(history.unified_history(rows, rows, DEVICE, FORTNIGHT, BOUNDARY_MS + HOUR_MS, tz=ZONE).rows)
+
+
+@check(
+    "qry_wide_zone",
+    f"""WITH {PTS}
+    SELECT ts_ms, coalesce(max(CASE WHEN param_id = 'P00001' THEN v END), 'NaN'::DOUBLE) AS "P00001",
+           coalesce(max(CASE WHEN param_id = 'P00002' THEN v END), 'NaN'::DOUBLE) AS "P00002"
+    FROM (SELECT *, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM pts)
+    WHERE {IN_RANGE} AND param_id IN ('P00001', 'P00002') GROUP BY ts_ms""",
+)
+def wide_zone(spark, sf_dir):
+    params = ["P00001", "P00002"]
+    wide = history.wide_history(stored_points(spark, sf_dir, ZONE), DEVICE, params, FORTNIGHT, tz=ZONE)
+    return wide.select("ts_ms", *[F.col(p).cast("double").alias(p) for p in params])
+
+
 @check(
     "qry_06_stored_raw",
     f"""WITH {PTS} SELECT ts_ms, device_id, CAST(strlen(props) AS INTEGER) AS payload_len, props AS payload_text FROM pts WHERE {IN_RANGE}""",

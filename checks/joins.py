@@ -291,3 +291,19 @@ def repeated_subscriptions(spark, sf_dir):
     )
     shown = joins.select_live(messages, both)
     return shown.select("device_id", "ts_ms", F.explode("values").alias("param_id", "text"))
+
+
+# The last click at or before each event, within two hours: devices of any size are spread over blocks.
+@check(
+    "sql_05_as_of_join",
+    f"""WITH {PTS}
+    SELECT p.event_id, CASE WHEN p.ts_ms - c.ts_ms <= 7200000 THEN c.value END AS click_value,
+           CASE WHEN p.ts_ms - c.ts_ms <= 7200000 THEN c.ts_ms END AS click_value_ts
+    FROM pts p ASOF LEFT JOIN (SELECT * FROM pts WHERE param_id = 'P00001') c
+      ON p.device_id = c.device_id AND p.ts_ms >= c.ts_ms""",
+)
+def as_of_join(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    clicks = rows.where(F.col("param_id") == "P00001")
+    found = joins.as_of(rows.select("device_id", "ts_ms", "event_id"), clicks, name="click_value", within_ms=7_200_000)
+    return found.select("event_id", "click_value", "click_value_ts")

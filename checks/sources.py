@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from checks.adapter import CATALOG, PACKETS, PTS, catalog, device_name, point_packets, points, raw_events, table
 from checks.registry import check
+from pulseframe.functions.timeparts import TimeRange
 from pulseframe.session import scratch_path
 from pulseframe.sinks import segments as sinks
-from pulseframe.sources import catalogs, packets, segments
+from pulseframe.sources import catalogs, packets, segments, skipping
 
 BY_DAY = ("day",)
 POINT_COLUMNS = ["device_id", "ts_ms", "param_id", "value"]
@@ -244,16 +245,16 @@ FOREIGN_SPAN = (1704405600000, 1704506399999)
 HALF_DAY = 43_200_000
 
 
-def _gateway_points(spark, sf_dir):
-    """All points under three gateways, moved to the start of their half day."""
-    gateway = F.concat(F.lit("gw"), (F.col("user_id") % 3).cast("string"))
+def _site_points(spark, sf_dir):
+    """All points under three sites, moved to the start of their half day."""
+    site = F.concat(F.lit("site"), (F.col("user_id") % 3).cast("string"))
     start = F.col("ts_ms") - F.pmod("ts_ms", F.lit(HALF_DAY))
-    return points(spark, sf_dir).select(gateway.alias("device_id"), start.alias("ts_ms"), "param_id", "value")
+    return points(spark, sf_dir).select(site.alias("device_id"), start.alias("ts_ms"), "param_id", "value")
 
 
-GATEWAYS = f"""
+SITES = f"""
 {PTS.strip()},
-gateways AS (SELECT 'gw' || user_id % 3 AS device_id, ts_ms - ts_ms % {HALF_DAY} AS ts_ms, param_id, value FROM pts)"""
+sites AS (SELECT 'site' || user_id % 3 AS device_id, ts_ms - ts_ms % {HALF_DAY} AS ts_ms, param_id, value FROM pts)"""
 
 
 def _foreign_tree(spark, df, name):
@@ -267,26 +268,40 @@ def _foreign_tree(spark, df, name):
 
 @check(
     "src_06_foreign_tree",
-    f"""WITH {GATEWAYS} SELECT device_id, ts_ms, param_id, value FROM gateways
-    WHERE device_id = 'gw1' AND ts_ms BETWEEN {FOREIGN_SPAN[0]} AND {FOREIGN_SPAN[1]}""",
+    f"""WITH {SITES} SELECT device_id, ts_ms, param_id, value FROM sites
+    WHERE device_id = 'site1' AND ts_ms BETWEEN {FOREIGN_SPAN[0]} AND {FOREIGN_SPAN[1]}""",
 )
 def foreign_tree(spark, sf_dir):
-    path = _foreign_tree(spark, _gateway_points(spark, sf_dir), "foreign")
-    rows = segments.foreign_long_rows(spark, path, "ms", *FOREIGN_SPAN, device_id="gw1")
+    path = _foreign_tree(spark, _site_points(spark, sf_dir), "foreign")
+    rows = segments.foreign_long_rows(spark, path, "ms", *FOREIGN_SPAN, device_id="site1")
     return rows.select(POINT_COLUMNS)
 
 
+# The files to open come from a catalog of the tree.
+@check(
+    "src_06_catalog_files",
+    f"""WITH {SITES} SELECT device_id, ts_ms, param_id, value FROM sites
+    WHERE device_id = 'site1' AND ts_ms BETWEEN {FOREIGN_SPAN[0]} AND {FOREIGN_SPAN[1]} AND param_id = 'P00002'""",
+)
+def catalog_files(spark, sf_dir):
+    path = _foreign_tree(spark, _site_points(spark, sf_dir), "foreign")
+    catalog_of_tree = skipping.file_catalog(segments.foreign_long_rows(spark, path))
+    files = skipping.candidate_files(catalog_of_tree, "site1", TimeRange(*FOREIGN_SPAN), "P00002")
+    rows = segments.foreign_long_rows(spark, path, "ms", *FOREIGN_SPAN, device_id="site1", files=files)
+    return rows.where(F.col("param_id") == "P00002").select(POINT_COLUMNS)
+
+
 @check(
     "src_07_foreign_packets",
-    f"""WITH {GATEWAYS} SELECT device_id, ts_ms, param_id, value FROM gateways
-    WHERE device_id = 'gw2' AND ts_ms >= {FOREIGN_SPAN[0]}""",
+    f"""WITH {SITES} SELECT device_id, ts_ms, param_id, value FROM sites
+    WHERE device_id = 'site2' AND ts_ms >= {FOREIGN_SPAN[0]}""",
 )
 def foreign_packets(spark, sf_dir):
     from pulseframe.operators.reshape import packets_to_points
 
-    single = _gateway_points(spark, sf_dir).select(
+    single = _site_points(spark, sf_dir).select(
         "device_id", "ts_ms", F.array("param_id").alias("param_ids"), F.array("value").alias("values")
     )
     path = _foreign_tree(spark, single, "foreign-wide")
-    rows = segments.foreign_packets(spark, path, from_ms=FOREIGN_SPAN[0], device_id="gw2")
+    rows = segments.foreign_packets(spark, path, from_ms=FOREIGN_SPAN[0], device_id="site2")
     return packets_to_points(rows).select(POINT_COLUMNS)

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe import schema
 from pulseframe.functions import codes, naming
 from pulseframe.functions.timeparts import HOUR_MS, floor_div
-from pulseframe.operators.sequence import running_sum
 
 _ZERO = 0
 
+#: Relative rank error of the sketch is one in this; the bracket is wider on either side.
+SKETCH_ACCURACY = 2_000
+BRACKET = 4 / SKETCH_ACCURACY
+
 
 def point_stats(points: DataFrame, file_column: str = "file_path") -> DataFrame:
     """Files, rows and time range of points."""
@@ -219,30 +222,57 @@ def topic_counts(messages: DataFrame) -> DataFrame:
 
 
 def value_summary(df: DataFrame, value: str, keys: Sequence[str] = (), quantile: float = 0.95) -> DataFrame:
-    """Minimum, mean, nearest-rank quantile and maximum of a column.
+    """Minimum, mean, nearest-rank quantile and maximum of a column; NaN is the largest value.
 
-    The built-in exact percentile keeps all values of a group in one buffer.
-    Here equal values are counted first, the distinct ones are put in order over
-    many tasks, and the quantile is the smallest value whose running count
-    reaches the rank.
+    The built-in exact percentile keeps all values of a group in one buffer.  Here the
+    first scan gives each group a mergeable quantile sketch, which brackets the value of
+    the wanted rank between two values that lie close to it.  The second scan counts the
+    rows below the bracket and, per value, the few inside; the first value whose running
+    count reaches the rank is the exact quantile.
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranked = running_sum(counts, keys, ["_v"], F.col("_n"), "_upto")
-    totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"))
-    if keys:
-        joined = ranked.join(totals, keys)
-        total, weighted = F.col("_total"), F.first("_sum")
-    else:
-        joined = ranked
-        total, weighted = totals.select("_total").scalar(), totals.select("_sum").scalar()
-    reached = F.col("_upto") >= F.ceil(total * F.lit(float(quantile)))
-    return joined.groupBy(*keys).agg(
+    keys, v = list(keys), F.col(value)
+    rows = df.where(v.isNotNull()).select(F.struct(F.lit(0).alias("_"), *keys).alias("_key"), v.alias("_v"))
+    number = F.when(~F.isnan("_v"), F.col("_v")) if df.schema[value].dataType.typeName() in ("double", "float") else F.col("_v")
+    ends = [max(quantile - BRACKET, 0.0), min(quantile + BRACKET, 1.0)]
+    found = rows.groupBy("_key").agg(
         F.min("_v").alias("min_value"),
-        (weighted / (F.first("_total") if keys else total)).alias("avg_value"),
-        F.min(F.when(reached, F.col("_v"))).alias("quantile_value"),
+        F.avg("_v").alias("avg_value"),
         F.max("_v").alias("max_value"),
+        F.count("*").alias("_total"),
+        F.count(number).alias("_numbers"),
+        F.percentile_approx(number, ends, SKETCH_ACCURACY).alias("_ends"),
+    )
+    # Values that are no numbers move the rank up, so with them the bracket is open above.
+    low = F.coalesce(F.get("_ends", F.lit(0)), F.col("min_value"))
+    high = F.when(F.col("_numbers") == F.col("_total"), F.get("_ends", F.lit(1))).otherwise(F.col("max_value"))
+    found = found.withColumns({"_low": low, "_high": high, "_rank": F.greatest(F.ceil(F.col("_total") * quantile), F.lit(1))})
+    ends = found.select(F.col("_key").alias("_of"), "_low", "_high")
+    if keys:
+        near = rows.join(ends, F.col("_key") == F.col("_of"))
+    else:
+        one = ends.select(F.struct("_low", "_high").alias("e")).scalar()
+        near = rows.withColumns({"_low": one["_low"], "_high": one["_high"]})
+    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_inside")
+    counts = near.where(F.col("_v") <= F.col("_high")).groupBy("_key", inside).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_inside"))
+    counts = counts.withColumn("_upto", upto).join(found.select(F.col("_key").alias("_of"), "_rank"), F.col("_key") == F.col("_of"))
+    reached = (F.col("_upto") >= F.col("_rank")) & F.col("_inside").isNotNull()
+    exact = counts.groupBy("_of").agg(
+        F.min(F.when(reached, F.col("_inside"))).alias("_found"),
+        F.coalesce(F.max(F.when(F.col("_inside").isNull(), F.col("_upto"))), F.lit(0)).alias("_below"),
+        F.first("_rank").alias("_wanted"),
     )
+    # The bracket holds the rank, or the sketch is not what it promises.
+    sound = F.col("_found").isNotNull() & (F.col("_below") < F.col("_wanted"))
+    quantile_value = F.when(sound, F.col("_found")).otherwise(F.raise_error(F.lit("rank outside of its bracket")))
+    both = found.join(exact, F.col("_key") == F.col("_of"))
+    whole = both.select(
+        *[F.col(f"_key.{k}") for k in keys], "min_value", "avg_value", quantile_value.alias("quantile_value"), "max_value"
+    )
+    if keys:
+        return whole
+    # One row, of NULLs, without values.
+    return df.sparkSession.range(1).join(whole, F.lit(True), "left").drop("id")
 
 
 def source_counts(points: DataFrame) -> DataFrame:

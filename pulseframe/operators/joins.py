@@ -7,6 +7,8 @@ splits skewed partitions of the sort-merge joins it chooses otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pulseframe.functions import codes
 from pulseframe.functions.columns import evaluated_once, has_items, rows_where
 from pulseframe.functions.timeparts import HOUR_MS, floor_div, intervals_overlap
 from pulseframe.functions.topics import MISSING_TEXT, message_fields, pick_from, topic_device, topic_param
+from pulseframe.operators.sequence import TIME_WIDTH, latest_known
 
 # Hours are grouped in aligned blocks of 8^level hours; level 8 spans 2^24 hours,
 # which reach to the year 3883.  Later times are clamped to the last hour.
@@ -212,6 +215,41 @@ def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None =
     return pairs.drop("_node_level", "_node_at", "_level", "_at", "_first", "_start")
 
 
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str] = ("device_id",),
+    value: str = "value",
+    time: str = "ts_ms",
+    name: str = "as_of_value",
+    within_ms: int | None = None,
+    width: int = TIME_WIDTH,
+) -> DataFrame:
+    """Each left row with the last right ``value`` at or before its time, and that time (``name``_ts).
+
+    NULL where there is none, or none in the last ``within_ms``.  Of right rows of one
+    time the largest value counts.  Both sides are put into one order, cut into blocks of
+    ``width``; the last value of the blocks before is carried into each, so a key of any
+    size is spread over many tasks.
+    """
+    row = F.struct(*[F.col(c) for c in left.columns]).alias("_row")
+    asked = left.select(*keys, F.col(time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).alias("_value"), row)
+    known = right.where(F.col(time).isNotNull()).select(
+        *keys, F.col(time).alias("_time"), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).alias("_row")
+    )
+    both = known.unionByName(asked)
+    found = F.when(F.col("_side") == 0, F.struct(F.col("_value").alias("v"), F.col("_time").alias("t")))
+    told = latest_known(both, keys, ["_time", "_side", "_value"], found, "_known", width).where("_side = 1")
+    recent = F.col("_row")[time].isNotNull()
+    if within_ms is not None:
+        recent &= F.col("_row")[time] - F.col("_known.t") <= within_ms
+    return told.select(
+        "_row.*",
+        F.when(recent, F.col("_known.v")).alias(name),
+        F.when(recent, F.col("_known.t")).alias(f"{name}_ts"),
+    )
+
+
 def device_status(devices: DataFrame, points: DataFrame) -> DataFrame:
     """Inventory with last-seen time; 0 for a device that never reported."""
     seen = points.groupBy("device_id").agg(F.max("ts_ms").alias("last_seen_ts"))

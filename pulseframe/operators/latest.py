@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
-from pulseframe.operators.sequence import islands, numbered, preceding
+from pulseframe.operators.sequence import ROW_WIDTH, islands, numbered, preceding, total_order
 from pulseframe.session import parallelism
 
 # Operations of a subscription change log.
@@ -51,8 +51,9 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int) ->
 
 
 def recent_packets(packets: DataFrame, n: int) -> DataFrame:
-    """Newest ``n`` packets of each device."""
-    return top_per_key(packets, ["device_id"], [F.col("ts_ms").desc()], n)
+    """Newest ``n`` packets of each device; of equal times the larger row is the newer."""
+    order = [c for c in total_order(packets, ["ts_ms"]) if c != "device_id"]
+    return top_per_key(packets, ["device_id"], [F.col(c).desc() for c in order], n)
 
 
 def last_rows(df: DataFrame, order: Sequence[str], n: int = 500) -> DataFrame:
@@ -108,7 +109,7 @@ def current_subscriptions(changes: DataFrame) -> DataFrame:
 def deletion_results(changes: DataFrame) -> DataFrame:
     """Whether each delete of the change log removed something: ``client_id, device_id, seq, removed``."""
     told = preceding(
-        changes.select("client_id", "device_id", "seq", "op"), ["client_id", "device_id"], ["seq"], "op", "_before"
+        changes.select("client_id", "device_id", "seq", "op"), ["client_id", "device_id"], ["seq"], "op", "_before", ROW_WIDTH
     )
     return told.where(F.col("op") == DELETE).select(
         "client_id", "device_id", "seq", F.coalesce(F.col("_before") == SET, F.lit(False)).alias("removed")
@@ -145,7 +146,7 @@ def parameter_runs(rows: DataFrame, file_column: str = "file_path", row_column:
     Rows without a parameter are ignored but do not end a run.
     """
     named = rows.where(F.col("param_id").isNotNull()).select(file_column, row_column, "param_id", "ts_ms")
-    runs = islands(named, [file_column], [row_column], "param_id", lambda before, here: before == here, "_run")
+    runs = islands(named, [file_column], [row_column], "param_id", lambda before, here: before == here, "_run", ROW_WIDTH)
     return (
         runs.groupBy(file_column, "_run", "param_id")
         .agg(
@@ -159,8 +160,11 @@ def parameter_runs(rows: DataFrame, file_column: str = "file_path", row_column:
 
 
 def numbered_packets(packets: DataFrame, order: Sequence[str] = ("ts_ms",)) -> DataFrame:
-    """Running packet number per device, from 1, as ``s``."""
-    return numbered(packets, ["device_id"], list(order), "s")
+    """Running packet number per device, from 1, as ``s``.
+
+    ``order`` starts with a time in milliseconds; the other columns break ties.
+    """
+    return numbered(packets, ["device_id"], total_order(packets, order), "s")
 
 
 def unique_points(points: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.functions.timeparts import MINUTE_MS, floor_div
 from pulseframe.operators.latest import top_per_key
-from pulseframe.operators.sequence import numbered
+from pulseframe.operators.sequence import total_order
 
 # Default limits and page bounds.
 QUERY_LIMIT = 100
@@ -16,9 +17,6 @@ EXPORT_LIMIT = 1_000
 RAW_LIMIT = 200
 PAGE_LIMIT, PAGE_MIN, PAGE_MAX = 200, 1, 5_000
 
-# Offsets up to here are read with a top-k; deeper pages count rows per chunk.
-SHALLOW_OFFSET = PAGE_MAX
-
 
 def by_time(points: DataFrame) -> DataFrame:
     """Points in total order: time, then parameter."""
@@ -41,20 +39,29 @@ def page(
     limit: int | None = None,
     order: Sequence[str] = ("ts_ms", "param_id"),
     largest: int = PAGE_MAX,
+    width: int = MINUTE_MS,
 ) -> DataFrame:
     """One page in order; the limit is clamped to 1…``largest``.
 
-    A shallow page is a top-k.  For a deep one, keeping ``offset + limit`` rows
-    per task would not scale: rows are put in order over many tasks and those
-    outside the page are dropped by their running number.
+    ``order`` starts with a whole number, as a time; the other columns break ties.
+    Rows are counted per block of ``width`` of it.  The counts, one row per block,
+    tell which blocks hold the page and how many rows lie before them; only the rows
+    of those blocks are put in order, whatever the offset.
     """
     if offset < 0:
         raise ValueError("offset must not be negative")
     size = min(max(PAGE_LIMIT if limit is None else limit, PAGE_MIN), largest)
-    if offset <= SHALLOW_OFFSET:
-        return df.orderBy(*order).offset(offset).limit(size)
-    positions = numbered(df, [], list(order), "_position")
-    return positions.where(F.col("_position").between(offset + 1, offset + size)).drop("_position").orderBy(*order)
+    order = total_order(df, order)
+    # NULL sorts first.
+    block = F.coalesce(floor_div(F.col(order[0]), width), F.lit(-(1 << 63)))
+    counts = df.groupBy(block.alias("_block")).agg(F.count("*").alias("_rows"))
+    counted = counts.withColumn("_upto", F.sum("_rows").over(Window.orderBy("_block")))
+    held = counted.where((F.col("_upto") > offset) & (F.col("_upto") - F.col("_rows") < offset + size))
+    bounds = F.struct(F.min("_block").alias("a"), F.max("_block").alias("b"), F.min(F.col("_upto") - F.col("_rows")).alias("n"))
+    bounds = held.agg(bounds.alias("bounds")).scalar()
+    position = F.row_number().over(Window.orderBy(*order)) + bounds["n"]
+    near = df.where(block.between(bounds["a"], bounds["b"])).withColumn("_position", position)
+    return near.where(F.col("_position").between(offset + 1, offset + size)).drop("_position").orderBy(*order)
 
 
 def total_rows(df: DataFrame) -> DataFrame:

@@ -1,113 +1,138 @@
-"""Order-dependent work on groups of any size.
+"""Order-dependent work on groups of any size, as one lazy plan.
 
 A window over ``partitionBy(key)`` sorts a whole key inside one task, which a hot
-key does not survive.  Here rows are range-partitioned by ``keys + order``, so a
-hot key is spread over many equally sized chunks.  Windows run per ``(key,
-chunk)``, and their results are checkpointed to the shared folder, because chunk
-numbers must not change between the two uses that follow: a summary of what
-happens at chunk borders, and the rows themselves.
-
-In key order only the *first* key of a chunk can reach back into an earlier one,
-and only its *last* key into a later one.  What has to be carried over is hence at
-most one row per chunk, whatever the data, and is broadcast.
-
-``order`` should end in a tie-break: rows equal in ``keys + order`` share a chunk.
+key does not survive.  Here the first order column, a time or a row number, is cut
+into blocks of fixed width, so the block of a row depends on the row alone: it is the
+same in every scan and after every lost task, and nothing has to be kept on disk.
+Windows run per ``(key, block)``.  What crosses block borders is found from one
+summary row per block (with a partial step before its shuffle) and joined back to the
+rows, which are already placed by block.
+
+A block is one task's work at most and a key's blocks are summed up in one window, so
+``width`` should hold at most some millions of rows of a key, and a key should span at
+most some millions of blocks.  ``order`` should end in a tie-break: rows equal in it
+are numbered in any order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pulseframe.functions.timeparts import MINUTE_MS, floor_div
+
+_AT, _BLOCK = "_at", "_block"
+
+#: Blocks of a millisecond time, and of a row number.
+TIME_WIDTH = 5 * MINUTE_MS
+ROW_WIDTH = 1 << 20
 
-from pulseframe.session import checkpointed, parallelism
 
-_CHUNK = "_chunk"
+def total_order(df: DataFrame, order: Sequence[str]) -> list[str]:
+    """``order`` and all other columns that can be ordered: only equal rows are left to tie."""
 
+    def sortable(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return sortable(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(sortable(f.dataType) for f in kind)
+        return not isinstance(kind, (T.MapType, T.VariantType, T.NullType))
 
-class _Chunks:
-    """Rows with window results per chunk, and the joins across chunk borders."""
+    return [*order, *[f.name for f in df.schema if f.name not in order and sortable(f.dataType)]]
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
-        self.keys, self.order = list(keys), list(order)
-        self.columns = df.columns
-        self.rows = df.repartitionByRange(parallelism(df.sparkSession), *keys, *order).withColumn(
-            _CHUNK, F.spark_partition_id()
-        )
-        self.window = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
 
-    def compute(self, **results: Column) -> None:
-        """Evaluate window results, mark both ends of each (key, chunk), keep them on disk."""
-        ends = {
-            "_starts": F.row_number().over(self.window) == 1,
-            "_ends": F.lead(F.lit(True)).over(self.window).isNull(),
-        }
-        self.rows = checkpointed(self.rows.withColumns({**results, **ends}))
+class _Blocks:
+    """Rows with their key and block as one column, and summaries of the blocks."""
 
-    def borders(self, **values: Column) -> DataFrame:
-        """One row per (key, chunk) from its first and last row."""
-        return (
-            self.rows.where(F.col("_starts") | F.col("_ends"))
-            .groupBy(*self.keys, _CHUNK)
-            .agg(*[F.max(value).alias(name) for name, value in values.items()])
-        )
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int):
+        self.columns, self.keys = df.columns, list(keys)
+        block = floor_div(F.col(order[0]), width).cast("bigint").alias(_BLOCK)
+        # A struct is never NULL and equals itself with NULL inside, so plain equality joins it.
+        self.rows = df.withColumn(_AT, F.struct(*self.keys, block))
+        self.order = F.struct(*order)
+        self.window = Window.partitionBy(_AT).orderBy(*order)
+
+    def summary(self, **values: Column) -> DataFrame:
+        """One row per block."""
+        return self.rows.groupBy(_AT).agg(*[value.alias(name) for name, value in values.items()])
+
+    def first(self, value: Column) -> Column:
+        return F.min_by(F.struct(value.alias("v")), self.order)
+
+    def last(self, value: Column) -> Column:
+        return F.max_by(F.struct(value.alias("v")), self.order)
 
     def across(self):
-        """Window over the chunks of a key; without keys there is one row per chunk."""
-        return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(_CHUNK)
+        """Window over the blocks of a key."""
+        own = [F.col(_AT)[k] for k in self.keys] or [F.lit(0)]
+        return Window.partitionBy(*own).orderBy(F.col(_AT)[_BLOCK])
 
     def attach(self, carried: DataFrame, column: str) -> DataFrame:
-        """Join what is carried into a chunk (at most one row each) to the rows."""
-        renamed = carried.where(F.col(column).isNotNull()).select(
-            *[F.col(k).alias(f"_{k}_key") for k in self.keys], F.col(_CHUNK).alias("_chunk_key"), column
-        )
-        same = reduce(
-            lambda a, b: a & b,
-            [F.col(k).eqNullSafe(F.col(f"_{k}_key")) for k in self.keys],
-            F.col(_CHUNK) == F.col("_chunk_key"),
-        )
-        return self.rows.join(F.broadcast(renamed), same, "left")
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+        """Rows with what is carried into their block."""
+        other = carried.where(F.col(column).isNotNull()).select(F.col(_AT).alias("_of"), column)
+        return self.rows.join(other, F.col(_AT) == F.col("_of"), "left")
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, width: int = TIME_WIDTH
+) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to each row."""
-    chunks = _Chunks(df, keys, order)
-    so_far = chunks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks.compute(_local=F.sum(value).over(so_far))
-    totals = chunks.borders(_total=F.when(F.col("_ends"), F.col("_local")))
-    earlier = chunks.across().rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.withColumn("_carried", F.sum("_total").over(earlier))
-    rows = chunks.attach(carried, "_carried")
-    return rows.select(*chunks.columns, (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(name))
+    blocks = _Blocks(df, keys, order, width)
+    earlier = blocks.across().rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.summary(_total=F.sum(value)).withColumn("_carried", F.sum("_total").over(earlier))
+    so_far = blocks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks.rows = blocks.rows.withColumn("_local", F.sum(value).over(so_far))
+    rows = blocks.attach(carried, "_carried")
+    return rows.select(*blocks.columns, (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(name))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, width: int = TIME_WIDTH
+) -> DataFrame:
     """Row number from 1 within the key."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name)
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name, width)
 
 
-def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+def following(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, width: int = TIME_WIDTH
+) -> DataFrame:
     """``value`` of the next row within the key, NULL on the last."""
-    chunks = _Chunks(df, keys, order)
-    boxed = F.struct(F.col(value).alias("v"))
-    chunks.compute(_local=F.lead(boxed).over(chunks.window))
-    firsts = chunks.borders(_first=F.when(F.col("_starts"), boxed))
-    carried = firsts.withColumn("_carried", F.lead("_first").over(chunks.across()))
-    rows = chunks.attach(carried, "_carried")
-    return rows.select(*chunks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
+    return _neighbour(df, keys, order, value, name, width, before=False)
 
 
-def preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+def preceding(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, width: int = TIME_WIDTH
+) -> DataFrame:
     """``value`` of the row before within the key, NULL on the first."""
-    chunks = _Chunks(df, keys, order)
-    boxed = F.struct(F.col(value).alias("v"))
-    chunks.compute(_local=F.lag(boxed).over(chunks.window))
-    lasts = chunks.borders(_last=F.when(F.col("_ends"), boxed))
-    carried = lasts.withColumn("_carried", F.lag("_last").over(chunks.across()))
-    rows = chunks.attach(carried, "_carried")
-    return rows.select(*chunks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
+    return _neighbour(df, keys, order, value, name, width, before=True)
+
+
+def _neighbour(df, keys, order, value: str, name: str, width: int, before: bool) -> DataFrame:
+    blocks = _Blocks(df, keys, order, width)
+    here = F.col(value)
+    beside, edge = (F.lag, blocks.last(here)) if before else (F.lead, blocks.first(here))
+    carried = blocks.summary(_edge=edge).withColumn("_carried", beside("_edge").over(blocks.across()))
+    blocks.rows = blocks.rows.withColumn("_local", beside(F.struct(here.alias("v"))).over(blocks.window))
+    rows = blocks.attach(carried, "_carried")
+    return rows.select(*blocks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
+
+
+def latest_known(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, width: int = TIME_WIDTH
+) -> DataFrame:
+    """The last ``value`` that is not NULL up to each row, the row itself included."""
+    blocks = _Blocks(df, keys, order, width)
+    known = F.when(value.isNotNull(), F.struct(value.alias("v")))
+    last = F.max_by(known, F.when(value.isNotNull(), blocks.order))
+    earlier = blocks.across().rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.summary(_last=last).withColumn("_carried", F.last_value("_last", True).over(earlier))
+    so_far = blocks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks.rows = blocks.rows.withColumn("_local", F.last_value(known, True).over(so_far))
+    rows = blocks.attach(carried, "_carried")
+    return rows.select(*blocks.columns, F.coalesce("_local", "_carried")["v"].alias(name))
 
 
 def islands(
@@ -117,30 +142,27 @@ def islands(
     value: str,
     continues: Callable[[Column, Column], Column],
     name: str,
+    width: int = TIME_WIDTH,
 ) -> DataFrame:
     """Number the stretches of neighbouring rows, from 1 within the key.
 
     ``continues(before, value)`` tells whether a row belongs to the stretch of the
-    row before.  Per chunk the first row opens a stretch; where it continues one
-    of the chunk before, the numbers from there on are one too high.
+    row before.  Per block the first row opens a stretch; where it continues one
+    of the block before, the numbers from there on are one too high.
     """
-    chunks = _Chunks(df, keys, order)
+    blocks = _Blocks(df, keys, order, width)
     here = F.col(value)
-    joined = F.coalesce(continues(F.lag(here).over(chunks.window), here), F.lit(False))
-    chunks.rows = chunks.rows.withColumn("_opens", F.when(joined, 0).otherwise(1).cast("bigint"))
-    so_far = chunks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chunks.compute(_local=F.sum("_opens").over(so_far))
-
-    ends = chunks.borders(
-        _first=F.when(F.col("_starts"), F.struct(here.alias("v"))),
-        _last=F.when(F.col("_ends"), F.struct(here.alias("v"))),
-        _total=F.when(F.col("_ends"), F.col("_local")),
+    joined = F.coalesce(continues(F.lag(here).over(blocks.window), here), F.lit(False))
+    so_far = blocks.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks.rows = blocks.rows.withColumn("_opens", F.when(joined, 0).otherwise(1).cast("bigint")).withColumn(
+        "_local", F.sum("_opens").over(so_far)
     )
-    over = chunks.across()
+    ends = blocks.summary(_first=blocks.first(here), _last=blocks.last(here), _total=F.max("_local"))
+    over = blocks.across()
     before = F.lag("_last").over(over)
     merged = F.coalesce(continues(before["v"], F.col("_first")["v"]), F.lit(False)).cast("bigint")
     earlier = F.sum("_total").over(over.rowsBetween(Window.unboundedPreceding, -1))
     until_here = F.sum("_merged").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     carried = ends.withColumn("_merged", merged).withColumn("_carried", earlier - until_here)
-    rows = chunks.attach(carried, "_carried")
-    return rows.select(*chunks.columns, (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(name))
+    rows = blocks.attach(carried, "_carried")
+    return rows.select(*blocks.columns, (F.col("_local") + F.coalesce("_carried", F.lit(0))).alias(name))

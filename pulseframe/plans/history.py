@@ -1,8 +1,9 @@
 """History queries.
 
 All take DataFrames of points (or packets, or raw rows) and return lazy
-DataFrames, except that a deep page first puts its rows in order.  On a table partitioned by day and hour the time range also prunes
-directories; device, parameter and time predicates reach the Parquet scan.
+DataFrames.  On a table partitioned by day and hour the time range also prunes
+directories, ``tz`` being the zone the table was keyed in; device, parameter and time
+predicates reach the Parquet scan.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulseframe.functions import text
 from pulseframe.functions.codes import PARAM_CODE
-from pulseframe.functions.timeparts import TimeRange, intervals_overlap
+from pulseframe.functions.timeparts import TimeRange
 from pulseframe.operators import filters, ordering, reshape, unions
 from pulseframe.operators.aggregates import source_counts
 from pulseframe.sources.segments import sparse_point
+from pulseframe.sources.skipping import candidate_files, candidates, open_files
 
 
 def _scan(
@@ -76,10 +79,16 @@ def unified_history(
     now_ms: int,
     params: Sequence[str] | None = None,
     limit: int | None = None,
+    tz: str = "UTC",
+    hot_tz: str | None = None,
 ) -> UnifiedResult:
-    """Stored and recent rows as one history, split at the recent window's start."""
+    """Stored and recent rows as one history, split at the recent window's start.
+
+    The recent rows are keyed in the same zone unless ``hot_tz`` names another.
+    """
     boundary = unions.hot_boundary(now_ms)
-    both = unions.unified(_scan(cold, device_id, span, params), _scan(hot, device_id, span, params), span, boundary)
+    sides = [_scan(cold, device_id, span, params, tz), _scan(hot, device_id, span, params, hot_tz or tz)]
+    both = unions.unified(*sides, span, boundary)
     rows = ordering.by_time(both.select("ts_ms", "param_id", "value", "source"))
     return UnifiedResult(rows if limit is None else rows.limit(limit), source_counts(both))
 
@@ -107,6 +116,36 @@ def paged_history(
     ``catalog`` and ``packets`` share ``segment_file``.  Device and time prune the scan
     of packets; the semi join then drops what the catalog rules out.
     """
+    code = _checked(device_id, param, span)
+    held = candidates(catalog, device_id, span, code).select("segment_file").distinct()
+    kept = _scan(packets, device_id, span, None, tz).join(held, "segment_file", "left_semi")
+    return _param_page(kept, code, offset, limit)
+
+
+def catalog_history(
+    spark: SparkSession,
+    catalog: DataFrame,
+    root: str,
+    schema: StructType,
+    device_id: str,
+    param: str,
+    span: TimeRange,
+    offset: int = 0,
+    limit: int | None = None,
+    tz: str = "UTC",
+) -> Page:
+    """One parameter, page by page, from the files of a table that the catalog does not rule out.
+
+    ``catalog`` carries ``file_path`` (``skipping.file_catalog``, ``manifest_catalog``); files of
+    the table at ``root`` that it rules out are not opened.  Long rows and packets both do.
+    """
+    code = _checked(device_id, param, span)
+    table = open_files(spark, root, candidate_files(catalog, device_id, span, code), schema)
+    return _param_page(_scan(table, device_id, span, None, tz), code, offset, limit)
+
+
+def _checked(device_id: str, param: str, span: TimeRange) -> str:
+    """The normalised code of a valid request."""
     code = param.strip().upper()
     if not device_id.strip():
         raise ValueError("device_id must not be empty")
@@ -114,14 +153,12 @@ def paged_history(
         raise ValueError(f"invalid param_id: {param!r}")
     if span.empty:
         raise ValueError("from must not be after to")
-    candidates = filters.usable_segments(catalog).where(
-        (F.col("device_id") == device_id)
-        & intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.lit(span.from_ms), F.lit(span.to_ms))
-        & filters.may_contain(F.col("param_ids"), code)
-    )
-    scanned = _scan(packets, device_id, span, None, tz)
-    kept = scanned.join(candidates.select("segment_file").distinct(), "segment_file", "left_semi")
-    points = reshape.packets_to_points(kept).where(F.col("param_id") == code).select("ts_ms", "value")
+    return code
+
+
+def _param_page(rows: DataFrame, code: str, offset: int, limit: int | None) -> Page:
+    points = rows if "param_id" in rows.columns else reshape.packets_to_points(rows)
+    points = points.where(F.col("param_id") == code).select("ts_ms", "value")
     return Page(ordering.page(points, offset, limit, ("ts_ms", "value")), ordering.total_rows(points))
 
 
@@ -172,6 +209,8 @@ def sparse_history(table: DataFrame, buffer: DataFrame, device_id: str, point: i
     return unions.all_rows(*sides).orderBy("timestamp", "value")
 
 
-def wide_history(points: DataFrame, device_id: str, params: Sequence[str], span: TimeRange) -> DataFrame:
+def wide_history(
+    points: DataFrame, device_id: str, params: Sequence[str], span: TimeRange, tz: str = "UTC"
+) -> DataFrame:
     """Wide table of one device: a column per parameter, NaN where absent, by time."""
-    return reshape.wide_by_params(_scan(points, device_id, span, params), params).orderBy("ts_ms")
+    return reshape.wide_by_params(_scan(points, device_id, span, params, tz), params).orderBy("ts_ms")

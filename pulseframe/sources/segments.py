@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,17 +39,25 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns(text) if text else df
 
 
-def read_foreign_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_foreign_tree(spark: SparkSession, root: str, files: Sequence[str] | None = None) -> DataFrame:
     """Every Parquet file below a foreign ``device/day/hour`` tree, with its path.
 
-    Manifests and side files are skipped by the name filter.
+    Manifests and side files are skipped by the name filter.  ``files`` names the only
+    ones to open, as a catalog lists them.
     """
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(root)
-        .withColumn("file_path", F.col("_metadata.file_path"))
-    )
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    found = reader.parquet(*[plain_path(f) for f in files]) if files else reader.parquet(root)
+    if files is not None and not files:
+        found = found.where("false")
+    return found.withColumn("file_path", F.col("_metadata.file_path"))
+
+
+_GLOB = re.compile(r"([{}\[\]*?\\^,])")
+
+
+def plain_path(uri: str) -> str:
+    """A path as scans spell it, as the reader takes it: not a URI, patterns not expanded."""
+    return _GLOB.sub(r"\\\1", unquote(uri))
 
 
 def _foreign(
@@ -56,6 +68,7 @@ def _foreign(
     from_ms: int | None,
     to_ms: int | None,
     tz: str,
+    files: Sequence[str] | None,
 ) -> DataFrame:
     """Rows of a foreign tree that may belong to a device and time range.
 
@@ -63,7 +76,7 @@ def _foreign(
     ``device/day/hour`` directories are kept.  The range test is on the stored column
     so that it reaches the scan; the cast comes after it.
     """
-    df = read_foreign_tree(spark, root)
+    df = read_foreign_tree(spark, root, files)
     path = F.col("_metadata.file_path")
     if device_id is not None:
         df = df.where(naming.path_device(path) == device_id)
@@ -87,14 +100,15 @@ def foreign_long_rows(
     to_ms: int | None = None,
     device_id: str | None = None,
     tz: str = "UTC",
+    files: Sequence[str] | None = None,
 ) -> DataFrame:
     """Long rows of a foreign tree, of one device and time range where given.
 
     Unsigned 64-bit times arrive as DECIMAL(20,0).  ``tz`` is the zone of the day and
-    hour directories.
+    hour directories; ``files`` (``skipping.candidate_files``) the only ones to open.
     """
     scale = _scale(ts_unit)
-    return _foreign(spark, root, scale, device_id, from_ms, to_ms, tz).select(
+    return _foreign(spark, root, scale, device_id, from_ms, to_ms, tz, files).select(
         naming.path_device(F.col("file_path")).alias("device_id"),
         (F.col("ts").cast("bigint") * F.lit(scale)).alias("ts_ms"),
         "param_id",
@@ -111,10 +125,11 @@ def foreign_packets(
     to_ms: int | None = None,
     device_id: str | None = None,
     tz: str = "UTC",
+    files: Sequence[str] | None = None,
 ) -> DataFrame:
     """Packet-wide rows of a foreign tree, of one device and time range where given."""
     scale = _scale(ts_unit)
-    return _foreign(spark, root, scale, device_id, from_ms, to_ms, tz).select(
+    return _foreign(spark, root, scale, device_id, from_ms, to_ms, tz, files).select(
         naming.path_device(F.col("file_path")).alias("device_id"),
         (F.col("ts").cast("bigint") * F.lit(scale)).alias("ts_ms"),
         "param_ids",

@@ -31,17 +31,28 @@ def ordered(rows):
     return groups
 
 
-def test_hot_key_spans_chunks(spark, data):
+WIDTH = 700
+
+
+def test_hot_key_spans_blocks_without_a_job(spark, data):
     _, df = data
-    placed = sequence._Chunks(df, ["k"], ["t", "id"]).rows
-    spread = placed.where("k = 'hot'").select("_chunk").distinct().count()
-    assert spread > 4
+    spread = sequence._Blocks(df, ["k"], ["t", "id"], WIDTH).rows.where("k = 'hot'").select("_at").distinct().count()
+    assert spread > 20
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "plans only")
+    sequence.numbered(df, ["k"], ["t", "id"], "n", WIDTH)
+    sequence.islands(df, ["k"], ["t", "id"], "t", lambda a, b: b - a <= 3, "i", WIDTH)
+    latest.merged_rows(df.selectExpr("k AS device_id", "t AS ts_ms", "v AS param_id", "1.0D AS value"))
+    aggregates.value_summary(df, "t", ["k"])
+    ordering.page(df, 100_000, order=("t", "id"))
+    assert not tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_numbered(data):
     rows, df = data
     want = {r[2]: n for group in ordered(rows).values() for n, r in enumerate(group, 1)}
-    got = sequence.numbered(df, ["k"], ["t", "id"], "n")
+    got = sequence.numbered(df, ["k"], ["t", "id"], "n", WIDTH)
     assert got.columns == ["k", "t", "id", "v", "n"]
     assert {r["id"]: r["n"] for r in got.collect()} == want
 
@@ -49,7 +60,7 @@ def test_numbered(data):
 def test_numbered_without_keys(data):
     rows, df = data
     want = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])), 1)}
-    assert {r["id"]: r["n"] for r in sequence.numbered(df, [], ["t", "id"], "n").collect()} == want
+    assert {r["id"]: r["n"] for r in sequence.numbered(df, [], ["t", "id"], "n", WIDTH).collect()} == want
 
 
 def test_running_sum(data):
@@ -60,7 +71,7 @@ def test_running_sum(data):
         for r in group:
             total += r[1]
             want[r[2]] = total
-    assert {r["id"]: r["s"] for r in sequence.running_sum(df, ["k"], ["t", "id"], F.col("t"), "s").collect()} == want
+    assert {r["id"]: r["s"] for r in sequence.running_sum(df, ["k"], ["t", "id"], F.col("t"), "s", WIDTH).collect()} == want
 
 
 def test_following(data):
@@ -69,7 +80,20 @@ def test_following(data):
     for group in ordered(rows).values():
         for r, after in zip(group, [*group[1:], None]):
             want[r[2]] = after[1] if after else None
-    assert {r["id"]: r["n"] for r in sequence.following(df, ["k"], ["t", "id"], "t", "n").collect()} == want
+    assert {r["id"]: r["n"] for r in sequence.following(df, ["k"], ["t", "id"], "t", "n", WIDTH).collect()} == want
+
+
+def test_latest_known(data):
+    rows, df = data
+    want = {}
+    for group in ordered(rows).values():
+        known = None
+        for r in group:
+            known = r[1] if r[3] == "a" else known
+            want[r[2]] = known
+    value = F.when(F.col("v") == "a", F.col("t"))
+    got = sequence.latest_known(df, ["k"], ["t", "id"], value, "n", WIDTH)
+    assert {r["id"]: r["n"] for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("gap", [0, 3, 10, 100000])
@@ -82,7 +106,7 @@ def test_islands(data, gap):
             number += 0 if before is not None and r[1] - before <= gap else 1
             before = r[1]
             want[r[2]] = number
-    got = sequence.islands(df, ["k"], ["t", "id"], "t", lambda a, b: b - a <= gap, "i")
+    got = sequence.islands(df, ["k"], ["t", "id"], "t", lambda a, b: b - a <= gap, "i", WIDTH)
     assert {r["id"]: r["i"] for r in got.collect()} == want
 
 
@@ -117,13 +141,41 @@ def test_quantile_of_one_hot_group(spark):
     assert got["one"]["quantile_value"] == 7.0 and got["two"]["quantile_value"] == 2.0
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
-    df = spark.range(5000).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 1000).alias("ts_ms"), F.lit("P00001").alias("param_id"))
-    order = ("ts_ms", "param_id", "event_id")
-    shallow = ordering.page(df, 3210, 50, order).collect()
-    monkeypatch.setattr(ordering, "SHALLOW_OFFSET", 10)
-    assert ordering.page(df, 3210, 50, order).collect() == shallow
-    assert len(shallow) == 50
+def test_quantiles_of_many_shapes(spark):
+    rng = random.Random(6)
+    groups = {
+        "normal": [rng.gauss(0, 1) for _ in range(20_000)],
+        "few": [float(rng.randrange(3)) for _ in range(9_000)],
+        "ties": [1.0] * 9_499 + [2.0] * 501,
+        "last": [float(k) for k in range(7)],
+        "nan": [rng.random() for _ in range(900)] + [float("nan")] * 100,
+        "only nan": [float("nan")] * 3,
+        None: [5.0, float("inf"), float("-inf")],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("normal", None), ("null", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    for q in (0.0, 0.01, 0.5, 0.95, 1.0):
+        got = {r["k"]: r["quantile_value"] for r in aggregates.value_summary(df, "v", ["k"], q).collect()}
+        assert got.keys() == groups.keys()
+        for k, values in groups.items():
+            ranked = sorted(values, key=lambda v: (v != v, v))
+            want = ranked[max(-(-round(len(values) * q * 100) // 100), 1) - 1]
+            assert got[k] == want or (got[k] != got[k] and want != want), (k, q)
+    flat = aggregates.value_summary(df.where("k = 'normal'"), "v").collect()
+    assert flat[0]["quantile_value"] == sorted(groups["normal"])[18_999] and len(flat) == 1
+    assert aggregates.value_summary(df.where("false"), "v").collect() == [(None, None, None, None)]
+
+
+@pytest.mark.parametrize("width", [1, 37, 100_000])
+def test_pages_of_any_depth(spark, width):
+    rng = random.Random(width)
+    rows = [(i, rng.choice([None, *range(0, 900)]), rng.choice("xyz")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "event_id long, ts_ms long, param_id string").repartition(5)
+    ranked = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))
+    for offset, limit in ((0, 10), (3, 1), (3210, 50), (3990, 50), (4000, 5), (9000, 5)):
+        got = ordering.page(df, offset, limit, ("ts_ms", "param_id"), width=width).collect()
+        assert [tuple(r) for r in got] == ranked[offset : offset + limit]
+    assert ordering.page(df.where("false"), 0, 5).collect() == []
     with pytest.raises(ValueError):
         ordering.page(df, -1)
 
