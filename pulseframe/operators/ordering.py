@@ -61,7 +61,8 @@ def page(
     bounds = held.agg(bounds.alias("bounds")).scalar()
     position = F.row_number().over(Window.orderBy(*order)) + bounds["n"]
     near = df.where(block.between(bounds["a"], bounds["b"])).withColumn("_position", position)
-    return near.where(F.col("_position").between(offset + 1, offset + size)).drop("_position").orderBy(*order)
+    held = near.where(F.col("_position").between(offset + 1, offset + size)).drop("_position")
+    return held.orderBy(*order).limit(size)
 
 
 def total_rows(df: DataFrame) -> DataFrame:
