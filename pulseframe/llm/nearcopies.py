@@ -3,9 +3,15 @@
 Pairs to compare come from two sources.  A text's min-hashes, five to a band, put it into
 a bucket per band; two texts of similarity 0.8 miss each other in all 20 bands with a
 chance of 0.0004.  And texts whose SimHash fingerprints are linked (``simhash``) share a
-bucket.  Buckets of up to ``SMALL`` texts give all their pairs.  In larger ones, every text
-is paired with the bucket's leaders, one per salt, so work stays linear.  Every pair is then
-verified on its whole shingle sets.
+bucket.  Every pair is verified on its whole shingle sets, and groups are what the links
+connect, so pairs within a group need not all be looked at.  That is used for large buckets:
+
+1. Buckets of up to ``SMALL`` texts give all their pairs; in larger ones every text is
+   paired with the bucket's leaders, one per salt.  A group of copies is then connected.
+2. Large buckets that hold several of the groups found so far are searched whole, by
+   prefixes: of two sets of similarity 0.8 or more, each holds one of the other's rarest
+   shingles, about a fifth of its own.  Texts of different groups that share a shingle of
+   both prefixes are verified too.  No pair of such a bucket is lost, whatever its size.
 
 Defined results: words are split and lower-cased as for SimHash, equal word lists are one
 text; a text of fewer than five words is one shingle, one without words equals only its
@@ -27,7 +33,7 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS = 20
 ROWS = 5
-#: Buckets up to this size give all pairs; larger ones one pair per text and salt.
+#: Buckets up to this size give all pairs; larger ones go through leaders and prefixes.
 SMALL = 16
 SALTS = 3
 SEED = 42
@@ -106,6 +112,53 @@ def _pairs(members: DataFrame, small: int) -> DataFrame:
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are similar enough, verified on their whole sets."""
+    left, right = sets.toDF("na", "set_a"), sets.toDF("nb", "set_b")
+    beside = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
+    return mapped(beside.select("a", "b", "set_a", "set_b"), "a long, b long", _verified)
+
+
+def _divided(members: DataFrame, groups: DataFrame, small: int) -> DataFrame:
+    """``n, group`` of the texts in large buckets that hold more than one group."""
+    own = groups.withColumnsRenamed({"node": "g", "component": "group"})
+    of = members.join(own, F.col("node") == F.col("g"), "left").withColumn("group", F.coalesce("group", "node"))
+    of = of.select("bucket", "node", "group")
+    several = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("x"), F.max("group").alias("y"))
+    several = several.where((F.col("n") > small) & (F.col("x") < F.col("y"))).select(F.col("bucket").alias("k"))
+    held = of.join(several, F.col("bucket") == F.col("k"))
+    return held.select(F.col("node").alias("n"), "group").distinct()
+
+
+def _prefixes(batch: dict[str, list]) -> dict[str, list]:
+    """Of each set its rarest shingles, as many as two similar sets can't both do without."""
+    out: dict[str, list] = {"n": batch["n"], "prefix": []}
+    for items in batch["items"]:
+        ranked = sorted((i["times"], i["s"]) for i in items)
+        least = int(np.ceil(LEAST * len(ranked) - 1e-9))
+        out["prefix"].append([s for _, s in ranked[: len(ranked) - least + 1]])
+    return out
+
+
+def _prefix_pairs(texts_in: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of texts of different groups that share a shingle of both prefixes and may be similar."""
+    own = texts_in.withColumnRenamed("n", "m").join(sets, F.col("m") == F.col("n"))
+    items = own.select("n", F.explode("set").alias("s"))
+    times = items.groupBy("s").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("s", "of")
+    counted = items.join(times, F.col("s") == F.col("of")).groupBy("n").agg(F.collect_list(F.struct("s", "times")).alias("items"))
+    prefixes = mapped(counted, "n long, prefix array<long>", _prefixes).withColumnRenamed("n", "p")
+    sized = own.select("n", "group", F.size("set").alias("size"))
+    posts = prefixes.join(sized, F.col("p") == F.col("n")).select("n", "group", "size", F.explode("prefix").alias("s"))
+    posts = written(posts, "posts")
+    # A shingle that one group has to itself joins nothing.
+    shared = posts.groupBy("s").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y")
+    posts = posts.join(shared.select(F.col("s").alias("k")), F.col("s") == F.col("k")).select("n", "group", "size", "s")
+    other = posts.toDF("n2", "group2", "size2", "s2")
+    alike = F.least("size", "size2") >= LEAST * F.greatest("size", "size2") - 1e-9
+    both = posts.join(other, (F.col("s") == F.col("s2")) & (F.col("n") < F.col("n2")) & (F.col("group") != F.col("group2")) & alike)
+    return both.select(F.col("n").alias("a"), F.col("n2").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """``doc_id, text_hash, node`` of every row; rows linked by near copies have one node."""
     picked = texts(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -118,21 +171,32 @@ def near_copies(docs: DataFrame, small: int = SMALL) -> DataFrame:
     members = of_text.select("node", "size", F.explode("bands").alias("bucket")).union(
         of_text.join(linked, F.col("h") == F.col("t")).select("node", "size", "bucket")
     )
-    pairs = written(_pairs(written(members, "members"), small), "pairs")
+    members = written(members, "members")
+    pairs = written(_pairs(members, small), "pairs")
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     wanted = of_text.join(wanted, F.col("node") == F.col("w")).select("node", "h")
     # Copies are brought together before the shuffle, so a very common text is one row.
     once = picked.groupBy("text_hash").agg(F.first("text").alias("text"))
-    sets = mapped(
-        once.join(wanted, F.col("text_hash") == F.col("h")).select("node", "text"),
-        "n long, set array<long>",
-        lambda b: {"n": b["node"], "set": [shingles(t).view(np.int64) for t in b["text"]]},
-    )
-    sets = written(sets, "sets")
-    left, right = sets.toDF("na", "set_a"), sets.toDF("nb", "set_b")
-    beside = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
-    links = mapped(beside.select("a", "b", "set_a", "set_b"), "a long, b long", _verified)
-    of = components(links).withColumnRenamed("node", "member")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return mapped(
+            once.join(nodes, F.col("text_hash") == F.col("h")).select("node", "text"),
+            "n long, set array<long>",
+            lambda b: {"n": b["node"], "set": [shingles(t).view(np.int64) for t in b["text"]]},
+        )
+
+    sets = written(sets_of(wanted), "sets")
+    links = written(_links(pairs, sets), "similar")
+    of = components(links)
+    divided = written(_divided(members, of, small), "divided")
+    if divided.take(1):
+        missing = divided.join(sets, "n", "left_anti").withColumnRenamed("n", "w")
+        more = sets_of(of_text.join(missing, F.col("node") == F.col("w")).select("node", "h"))
+        sets = written(sets.join(divided, "n", "left_semi").union(more), "divided-sets")
+        found = written(_links(written(_prefix_pairs(divided, sets), "prefix-pairs"), sets), "found")
+        if found.take(1):
+            of = components(links.union(found))
+    of = of.withColumnRenamed("node", "member")
     return prints.join(of, F.col("node") == F.col("member"), "left").select(
         "doc_id", "text_hash", F.coalesce("component", "node").alias("node")
     )
