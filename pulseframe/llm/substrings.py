@@ -46,6 +46,8 @@ ANCHOR = 8
 SHARD_WORDS = 1_000_000
 #: Anchors with more segments than this are routed window by window.
 HOT_RUNS = 3_000
+#: Windows of a segment, at most.
+LONGEST_RUN = 8_192
 #: Segments that a task remembers as already written.
 REMEMBERED = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +68,10 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of every stretch of windows with one anchor."""
+    """Anchor, first window and number of windows of every stretch of windows with one anchor.
+
+    A stretch of more than ``LONGEST_RUN`` windows, as in periodic texts, comes in pieces.
+    """
     if len(hashes) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     least = _rolled(hashes, ANCHOR)
@@ -76,17 +81,21 @@ def runs(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
         least = np.minimum(least[:-step], least[step:])
         width += step
     first = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    pieces = -(-np.diff(np.append(first, len(least))) // LONGEST_RUN)
+    if pieces.max() > 1:
+        piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + piece * LONGEST_RUN
     return least[first].view(np.int64), first, np.diff(np.append(first, len(least)))
 
 
 def _key(docs: DataFrame) -> Column:
-    """The key without nulls; rows with one key only share what they are looked up by."""
+    """The key without nulls."""
     kind = docs.schema["doc_id"].dataType
     return F.coalesce("doc_id", (F.lit("") if isinstance(kind, StringType) else F.lit(-1)).cast(kind))
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``did, anchor`` of every run of every document, twice if the document holds the anchor again.
+    """``did, hash, anchor`` of every run of every document, twice if the document holds the anchor again.
 
     Windows that repeat within one run, as in periodic texts, would else go unnoticed.
     """
@@ -100,10 +109,11 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 values, times = np.unique(_rolled(hashes, ANCHOR).view(np.int64), return_counts=True)
                 found = np.concatenate((found, found[times[np.searchsorted(values, found)] > 1]))
             own.append(found)
-        return {"did": batch["did"], "anchors": own}
+        return {"did": batch["did"], "hash": batch["hash"], "anchors": own}
 
-    found = mapped(docs.select("did", "text"), f"did {id_type(docs)}, anchors array<long>", find)
-    return found.select("did", F.explode("anchors").alias("anchor"))
+    schema = f"did {id_type(docs)}, hash long, anchors array<long>"
+    found = mapped(docs.select("did", "hash", "text"), schema, find)
+    return found.select("did", "hash", F.explode("anchors").alias("anchor"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -127,8 +137,11 @@ def segments(docs: DataFrame, window: int, hot: int) -> DataFrame:
     counts = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = written(counts.select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
     kept = pairs.distinct().join(counts.withColumnRenamed("anchor", "known"), F.col("anchor") == F.col("known"))
-    wanted = kept.groupBy(F.col("did").alias("of")).agg(F.collect_list(F.struct("anchor", "hot")).alias("wanted"))
-    both = _packed(docs).join(wanted, F.col("did") == F.col("of")).select("did", "hash", "text", "wanted")
+    # By key and text: rows that only share a key have lists of their own.
+    wanted = kept.groupBy(F.col("did").alias("of"), F.col("hash").alias("and"))
+    wanted = wanted.agg(F.collect_list(F.struct("anchor", "hot")).alias("wanted"))
+    same = (F.col("did") == F.col("of")) & (F.col("hash") == F.col("and"))
+    both = _packed(docs).join(wanted, same).select("did", "hash", "text", "wanted")
 
     def cut(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         seen: set[tuple[int, int]] = set()
