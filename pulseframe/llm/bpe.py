@@ -12,9 +12,10 @@ many places of their smallest pair in one round, two tokens apart or more; that
 contracting them one by one unless a merge creates a pair of smaller rank than its own,
 which is checked, and such parts are done again one pair at a time.
 
-Memory: a worker keeps at most ``KEEP_WORDS`` words with their ids, and DuckDB has a limit
-and no spill folder.  Time of a part without cuts grows with its length times its number
-of different merges.
+Memory: a worker keeps at most ``KEEP_WORDS`` words with their ids beside those of the texts
+at hand, a query takes at most ``ROUND_BYTES`` bytes of words (or one longer word), and DuckDB
+has a limit and no spill folder.  Time of a part without cuts grows with its length times its
+number of different merges.
 
 Defined results: a null or empty text has no ids; equal texts have equal ids; an empty
 table gives no rows.
@@ -37,22 +38,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pulseframe.llm.common import id_type, mapped_batches, table, texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words kept by a worker, texts (in characters) and words of one round of work.
+#: Words kept by a worker and their characters; texts (in characters), words and bytes of one round of work.
 KEEP_WORDS = 500_000
+KEEP_CHARS = 20_000_000
 ROUND_CHARS = 4_000_000
 ROUND_WORDS = 80_000
+ROUND_BYTES = 1_000_000
 #: Parts with more bytes than this contract many places at once.
 LONG_PART = 64
 MEMORY = "350MB"
 
-# The smallest rank and then the leftmost place, in one number: rank << 20 | place.
+# The smallest rank and then the leftmost place, in one number: rank << 32 | place.
 ONE_BY_ONE = """
 WITH RECURSIVE state(w, ids) USING KEY (w) AS (
   SELECT w, list(id ORDER BY p) FROM bytes_in GROUP BY w
   UNION
-  SELECT s.w, list_concat(list_append(ids[:(best & 1048575) - 1], best >> 20), ids[(best & 1048575) + 2:])
+  SELECT s.w, list_concat(list_append(ids[:(best & 4294967295) - 1], best >> 32), ids[(best & 4294967295) + 2:])
   FROM state s JOIN (
-    SELECT w, min((m.made << 20) + p) AS best
+    SELECT w, min((m.made << 32) + p) AS best
     FROM (SELECT w, unnest(list_zip(ids, ids[2:])) AS z, unnest(range(1, len(ids) + 1)) AS p FROM state)
     JOIN merges m ON m.pair = z[1]::BIGINT * 4294967296 + z[2]
     GROUP BY w) b ON b.w = s.w
@@ -134,8 +137,16 @@ class Coder:
         # A word that is a token as a whole is that token.
         self.known.update((w, (str(self.ranks[r]), r)) for w, r in zip(words, raw) if r in self.ranks)
         words = [w for w, r in zip(words, raw) if r not in self.ranks]
-        for at in range(0, len(words), ROUND_WORDS):
-            self._learn(words[at : at + ROUND_WORDS])
+        # Rounds are bounded in words and in bytes, also within one text.
+        at, size = 0, 0
+        for k, word in enumerate(words):
+            own = len(word.encode())
+            if k > at and (k - at >= ROUND_WORDS or size + own > ROUND_BYTES):
+                self._learn(words[at:k])
+                at, size = k, 0
+            size += own
+        if at < len(words):
+            self._learn(words[at:])
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
@@ -174,7 +185,7 @@ class Coder:
                 cut.append(self.words.findall(batch[at]))
                 chars += len(batch[at])
                 at += 1
-            if len(self.known) > KEEP_WORDS:
+            if len(self.known) > KEEP_WORDS or sum(map(len, self.known)) > KEEP_CHARS:
                 self.known.clear()
             new = {w for words in cut for w in words if w not in self.known}
             if new:
