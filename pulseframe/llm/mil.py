@@ -6,8 +6,8 @@ so the model learns which passages to look at: gated attention
     a_k  ~  exp(w . (tanh(V h_k) * sigmoid(U h_k))),    score = sigmoid(c . sum_k a_k h_k + b)
 
 over the encoded passages h_k.  It is fitted on the driver with a bounded sample of the
-labelled rows (``TRAIN_ROWS`` documents, ``TRAIN_PASSAGES`` passages of each); scoring
-runs over every passage of every document in Arrow batches.
+labelled rows (at most ``TRAIN_ROWS`` documents with at most ``TRAIN_PASSAGES`` passages
+together, each document whole); scoring runs over every passage of every document in Arrow batches.
 
 A passage is encoded by what its characters and words look like: frequencies of pairs of
 character classes, word lengths, and how much of it repeats.  Key, language and source are
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from pulseframe.llm.common import id_type, mapped, table, texts
 
 PASSAGE_WORDS = 64
-#: Bounds of the training sample: labelled documents, and passages of each (evenly spaced).
+#: Bounds of the training sample: labelled documents, and passages of all of them together.
 TRAIN_ROWS = 6000
-TRAIN_PASSAGES = 24
+TRAIN_PASSAGES = 120_000
 HIDDEN = 16
 STEPS = 1500
 BAGS_PER_STEP = 64
@@ -149,10 +149,13 @@ class Model:
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Fit by Adam on the mean log loss, with a small weight penalty."""
     rng = np.random.default_rng(seed)
-    rows = np.concatenate(bags).astype(np.float64)
+    rows = np.concatenate(bags)
     sizes = np.array([len(b) for b in bags])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    mean, deviation = rows.mean(axis=0), rows.std(axis=0)
+    # Widened and scaled batch by batch: the sample stays as narrow as it came.
+    parts = [slice(k, k + 8192) for k in range(0, len(rows), 8192)]
+    mean = sum(rows[p].astype(np.float64).sum(axis=0) for p in parts) / len(rows)
+    deviation = np.sqrt(sum(((rows[p].astype(np.float64) - mean) ** 2).sum(axis=0) for p in parts) / len(rows))
     # Values that hardly vary in the sample would be blown up by their deviation.
     scale = 1 / np.maximum(deviation, 0.02)
     width = rows.shape[1]
@@ -165,13 +168,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         np.zeros(width),
         0.0,
     )
-    rows = model.scaled(rows)
     state = {n: [0.0, 0.0] for n in "vuwcb"}
     for step in range(1, STEPS + 1):
         pick = rng.integers(0, len(bags), min(BAGS_PER_STEP, len(bags)))
         of = np.repeat(np.arange(len(pick)), sizes[pick])
         cuts = np.concatenate(([0], np.cumsum(sizes[pick])[:-1]))
-        h = rows[np.repeat(starts[pick] - cuts, sizes[pick]) + np.arange(len(of))]
+        h = model.scaled(rows[np.repeat(starts[pick] - cuts, sizes[pick]) + np.arange(len(of))].astype(np.float64))
         t, s = np.tanh(h @ model.v), 1 / (1 + np.exp(-(h @ model.u)))
         e = (t * s) @ model.w
         a = np.exp(e - np.maximum.reduceat(e, cuts)[of])
@@ -203,8 +205,22 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model | float:
-    """Learn from labelled documents that are not held out; a constant if there is nothing to tell apart."""
+def passages_of(text: str | None) -> int:
+    return max(-(-len((text or "").encode().split()) // PASSAGE_WORDS), 1)
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "quality",
+    rows: int = TRAIN_ROWS,
+    passages: int = TRAIN_PASSAGES,
+) -> Model | float:
+    """Learn from labelled documents that are not held out; a constant if there is nothing to tell apart.
+
+    Documents come in the order of a hash of their key; one that would exceed ``passages``
+    is left out, the others are learnt from with every passage.
+    """
     known = labels.select(labels["doc_id"].alias("_id"), labels[label_col].cast("int").alias("label"))
     # At most ``rows`` rows of two numbers, chosen by a hash of the key.
     known = known.where((fold("_id") != 1) & F.col("label").isin(0, 1) & F.col("_id").isNotNull())
@@ -212,25 +228,34 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     picked = texts(docs)
     joined = picked.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
 
+    def counted(batch: dict[str, list]) -> dict[str, list]:
+        return {**{n: batch[n] for n in ("doc_id", "label")}, "n": [passages_of(t) for t in batch["text"]]}
+
     def encoded(batch: dict[str, list]) -> dict[str, list]:
-        bags = [encode(t) for t in batch["text"]]
-        bags = [b[np.linspace(0, len(b) - 1, min(len(b), TRAIN_PASSAGES)).astype(int)] for b in bags]
         return {
             "doc_id": batch["doc_id"],
             "label": batch["label"],
-            "bag": [b.astype(np.float16).tobytes() for b in bags],
+            "bag": [encode(t).astype(np.float16).tobytes() for t in batch["text"]],
         }
 
-    bags = mapped(joined, f"doc_id {id_type(picked)}, label int, bag binary", encoded)
+    kind = id_type(picked)
     # Rows that repeat a key are one example, so that ``rows`` bounds what comes here.
-    got = bags.groupBy("doc_id", "label").agg(F.min("bag").alias("bag")).collect()
-    if not got:
+    sizes = mapped(joined, f"doc_id {kind}, label int, n int", counted).groupBy("doc_id").agg(F.max("n").alias("n"))
+    chosen, left = [], passages
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left:
+            chosen.append((r["doc_id"],))
+            left -= r["n"]
+    if not chosen:
         return 0.5
+    own = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"_own {kind}"))
+    bags = mapped(joined.join(own, F.col("doc_id") == F.col("_own")).drop("_own"), f"doc_id {kind}, label int, bag binary", encoded)
+    got = bags.groupBy("doc_id", "label").agg(F.min("bag").alias("bag")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["label"]))
     y = np.array([r["label"] for r in got], np.float64)
     if y.min() == y.max():
         return float(y[0])
-    return fit([np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in got], y)
+    return fit([np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH) for r in got], y)
 
 
 def score_of(model: Model | float, text: str | None) -> float:
