@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import id_type, mapped, table, texts
+from pulseframe.llm.common import id_type, mapped, table, texts, written
 
 #: Measurements, in the order of the ledger's columns.
 MEASURES = (
@@ -152,8 +152,16 @@ def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     return ledger.agg(*sums).select("documents", "rejected", F.explode(rows).alias("r")).select("r.*", "documents", "rejected")
 
 
+def ablation_text(ledger: DataFrame, policy: str) -> Column:
+    """The ablation of a policy as one value, ``rule:failed:alone`` by rule, comma-joined."""
+    shown = F.concat_ws(":", "rule", F.col("failed").cast("string"), F.col("alone").cast("string"))
+    rows = ablation(ledger, policy).agg(F.array_sort(F.collect_list(shown)).alias("rows"))
+    return rows.select(F.array_join("rows", ",")).scalar()
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rule_ledger(table(spark, sf_dir, "documents"))
+    # Rules are evaluated once; policies and ablations only read the stored bits.
+    ledger = written(rule_ledger(table(spark, sf_dir, "documents")), "ledger")
     return ledger.select(
         "doc_id",
         "n_words",
@@ -164,4 +172,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         fails("base").alias("base_failed"),
         (~fails("v2")).alias("kept"),
         "failures",
+        (~fails("v1")).alias("kept_v1"),
+        ablation_text(ledger, "v1").alias("ablation_v1"),
+        ablation_text(ledger, "v2").alias("ablation_v2"),
     )
