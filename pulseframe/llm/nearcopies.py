@@ -130,25 +130,18 @@ def _divided(members: DataFrame, groups: DataFrame, small: int) -> DataFrame:
     return held.select(F.col("node").alias("n"), "group").distinct()
 
 
-def _prefixes(batch: dict[str, list]) -> dict[str, list]:
-    """Of each set its rarest shingles, as many as two similar sets can't both do without."""
-    out: dict[str, list] = {"n": batch["n"], "prefix": []}
-    for items in batch["items"]:
-        ranked = sorted((i["times"], i["s"]) for i in items)
-        least = int(np.ceil(LEAST * len(ranked) - 1e-9))
-        out["prefix"].append([s for _, s in ranked[: len(ranked) - least + 1]])
-    return out
-
-
 def _prefix_pairs(texts_in: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of texts of different groups that share a shingle of both prefixes and may be similar."""
     own = texts_in.withColumnRenamed("n", "m").join(sets, F.col("m") == F.col("n"))
-    items = own.select("n", F.explode("set").alias("s"))
+    items = own.select("n", "group", F.explode("set").alias("s"))
     times = items.groupBy("s").agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("s", "of")
-    counted = items.join(times, F.col("s") == F.col("of")).groupBy("n").agg(F.collect_list(F.struct("s", "times")).alias("items"))
-    prefixes = mapped(counted, "n long, prefix array<long>", _prefixes).withColumnRenamed("n", "p")
-    sized = own.select("n", "group", F.size("set").alias("size"))
-    posts = prefixes.join(sized, F.col("p") == F.col("n")).select("n", "group", "size", F.explode("prefix").alias("s"))
+    counted = items.join(times, F.col("s") == F.col("of")).groupBy("n", "group")
+    counted = counted.agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("items"))
+    # Of each set its rarest shingles, as many as two similar sets can't both do without.
+    size = F.size("items")
+    length = size - F.ceil(size * LEAST - 1e-9).cast("int") + 1
+    prefix = F.transform(F.slice("items", F.lit(1), length), lambda i: i["s"])
+    posts = counted.select("n", "group", size.alias("size"), F.explode(prefix).alias("s"))
     posts = written(posts, "posts")
     # A shingle that one group has to itself joins nothing.
     shared = posts.groupBy("s").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y")
