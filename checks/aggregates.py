@@ -20,7 +20,7 @@ from checks.adapter import (
 )
 from checks.registry import check
 from pulseframe.functions import naming, topics
-from pulseframe.operators import aggregates
+from pulseframe.operators import aggregates, sketches
 from pulseframe.session import scratch_path
 from pulseframe.sinks.segments import with_day_hour, write_long_rows
 from pulseframe.sources import catalogs
@@ -281,3 +281,20 @@ def file_ranges(spark, sf_dir):
 def subscription_sizes(spark, sf_dir):
     messy = F.concat("param_ids", F.transform("param_ids", lambda p: F.concat(F.lit(" "), F.lower(p))), F.array(F.lit(" ")))
     return aggregates.subscription_sizes(subscriptions(spark, sf_dir).withColumn("param_ids", messy))
+
+
+# Sketches kept per hour and united: no point is read again.
+@check(
+    "agg_10_united_sketches",
+    f"""WITH {PTS} SELECT CASE WHEN ts_ms < {BOUNDARY_MS} THEN 'cold' ELSE 'hot' END AS source, count(*) AS points,
+           count(DISTINCT ts_ms // 3600000) AS hours, count(DISTINCT param_id) AS params, true AS devices_close
+    FROM pts GROUP BY 1""",
+)
+def united_sketches(spark, sf_dir):
+    tagged = _tagged(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    sketches.hourly_sketches(tagged).write.parquet(path)
+    united = sketches.distinct_over(spark.read.parquet(path))
+    exact = tagged.groupBy("source").agg(F.count_distinct("device_id").alias("exact"))
+    close = F.abs(F.col("devices") - F.col("exact")) <= 0.1 * F.col("exact")
+    return united.join(exact, "source").select("source", "points", "hours", "params", close.alias("devices_close"))

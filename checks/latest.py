@@ -20,6 +20,8 @@ from checks.adapter import (
 )
 from checks.registry import check
 from pulseframe.operators import latest
+from pulseframe.session import scratch_path
+from pulseframe.sinks import catalogstore
 from pulseframe.sinks.segments import with_day_hour
 
 
@@ -275,3 +277,18 @@ def lookup(spark, sf_dir):
     )
     found = latest.looked_up(asked, latest.current_subscriptions(_changes(spark, sf_dir)))
     return found.select("client_id", "device_id", F.array_join("param_ids", ",").alias("params"), "found")
+
+
+# The same upsert on storage: every half is a commit, and the newest entry of a segment stays.
+@check(
+    "win_11_stored_upserts",
+    f"""WITH {CATALOG}
+    SELECT device_id, day, hour, segment_file, CASE WHEN rows > 1 THEN rows * 10 ELSE rows END AS rows FROM catalog""",
+)
+def stored_upserts(spark, sf_dir):
+    store = catalogstore.CatalogStore(spark, scratch_path(spark, "catalog-store"), catalogstore.segment_schema())
+    known = catalogstore.with_times(catalog(spark, sf_dir))
+    newer = known.where(F.col("rows") > 1).withColumns({"rows": F.col("rows") * 10, "created_at_ms": F.col("created_at_ms") + 1})
+    store.upsert(newer)
+    store.upsert(known)
+    return store.read().select("device_id", "day", "hour", "segment_file", "rows")

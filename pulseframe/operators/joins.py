@@ -14,16 +14,10 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import codes
 from pulseframe.functions.columns import evaluated_once, has_items, rows_where
-from pulseframe.functions.timeparts import HOUR_MS, floor_div, intervals_overlap
 from pulseframe.functions.topics import MISSING_TEXT, message_fields, pick_from, topic_device, topic_param
+from pulseframe.operators.overlap import overlap_join  # noqa: F401  (part of this module's surface)
 from pulseframe.operators.sequence import TIME_WIDTH, latest_known
 
-# Hours are grouped in aligned blocks of 8^level hours; level 8 spans 2^24 hours,
-# which reach to the year 3883.  Later times are clamped to the last hour.
-_BITS = 3
-_TOP_LEVEL = 8
-_LAST_HOUR = (1 << _BITS * _TOP_LEVEL) - 1
-
 
 def fan_out(packets: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Packets to what each subscribed client gets; clients without a hit vanish.
@@ -115,106 +109,6 @@ def hours_without_manifest(hours: DataFrame, manifests: DataFrame) -> DataFrame:
     return hours.join(manifests.select("directory").distinct(), "directory", "left_anti").select(hours.columns)
 
 
-def _hour(ms: Column) -> Column:
-    return F.least(F.greatest(floor_div(ms, HOUR_MS), F.lit(0)), F.lit(_LAST_HOUR)).cast("bigint")
-
-
-def _up(value: Column, levels: Column) -> Column:
-    """Position of the block ``levels`` levels above that holds a position."""
-    return F.call_function("shiftright", value, levels * _BITS)
-
-
-def _inside(level: Column) -> tuple[Column, Column]:
-    """First and last aligned block of a level that lies fully inside ``_first…_last``."""
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * _BITS)
-    return _up(F.col("_first") + size - 1, level), _up(F.col("_last") + 1, level) - 1
-
-
-def _covered(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """One row per block ``_level, _at`` that covers the hours ``first…last``.
-
-    The blocks are as large as possible: a block is used on its own level unless
-    its parent lies inside too.  Each level adds fewer than two parents' worth of
-    blocks, however long the interval.  The first hour stays in ``_first``.
-    """
-    level = F.col("_level")
-    lo, hi = _inside(level)
-    parent_lo, parent_hi = _inside(level + 1)
-    levels = df.select("*", first.alias("_first"), last.alias("_last")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(_TOP_LEVEL))).alias("_level")
-    )
-    ends = levels.select("*", lo.alias("_lo"), hi.alias("_hi"), parent_lo.alias("_plo"), parent_hi.alias("_phi"))
-    has_parent = (F.col("_plo") <= F.col("_phi")) & (level < _TOP_LEVEL)
-    pieces = F.array(
-        F.struct(F.col("_lo").alias("a"), F.when(has_parent, F.shiftleft("_plo", _BITS) - 1).otherwise(F.col("_hi")).alias("b")),
-        F.struct(F.when(has_parent, F.shiftleft(F.col("_phi") + 1, _BITS)).alias("a"), F.col("_hi").alias("b")),
-    )
-    return (
-        ends.select(*df.columns, "_first", "_level", F.inline(pieces).alias("_a", "_b"))
-        .where(F.col("_a") <= F.col("_b"))
-        .select(*df.columns, "_first", "_level", F.explode(F.sequence("_a", "_b")).alias("_at"))
-    )
-
-
-def _enclosed(blocks: DataFrame, itself: bool) -> DataFrame:
-    """Each block with the blocks around it (``_node_level, _node_at``)."""
-    lowest = F.col("_level") if itself else F.col("_level") + 1
-    below_top = blocks if itself else blocks.where(F.col("_level") < _TOP_LEVEL)
-    return below_top.select(
-        "*", F.explode(F.sequence(lowest, F.lit(_TOP_LEVEL))).alias("_node_level")
-    ).withColumn("_node_at", _up(F.col("_at"), F.col("_node_level") - F.col("_level")))
-
-
-def _as_nodes(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumnsRenamed({"_level": "_node_level", "_at": "_node_at"})
-
-
-def overlap_join(intervals: DataFrame, segments: DataFrame, param: str | None = None) -> DataFrame:
-    """Query intervals with the segments that share time with them, per device.
-
-    ``intervals``: ``device_id, from_ms, to_ms, …``; ``segments``: ``device_id,
-    min_ts, max_ts, …``.  A theta join would compare every interval of a device
-    with every segment.  Instead both become a few aligned blocks of hours,
-    however long they are, and two blocks share time only if one lies in the
-    other.  That is an equality between a block and the blocks around another one,
-    once in each direction.  A pair may meet in several blocks; it is kept only in
-    the one that holds the later of the two first hours, so no duplicate removal
-    is needed.  ``param`` names an interval column that the segment's parameter
-    set must contain (an empty set may contain anything).
-    """
-    wanted = intervals.where(F.col("from_ms") <= F.col("to_ms"))
-    usable = segments.where(F.col("min_ts") <= F.col("max_ts"))
-
-    def asked_blocks(df: DataFrame) -> DataFrame:
-        return _covered(df, _hour(F.col("from_ms")), _hour(F.col("to_ms")))
-
-    def stored_blocks(df: DataFrame) -> DataFrame:
-        return _covered(df, _hour(F.col("min_ts")), _hour(F.col("max_ts"))).withColumnRenamed("_first", "_start")
-
-    # The inner one of two blocks keeps its level and position; the pair is theirs
-    # if it meets first inside that block.
-    meets = _up(F.greatest("_first", "_start"), F.col("_level")) == F.col("_at")
-    overlap = intervals_overlap(F.col("min_ts"), F.col("max_ts"), F.col("from_ms"), F.col("to_ms"))
-    on = ["device_id", "_node_level", "_node_at"]
-    # Only a segment of many hours has a block that can hold an interval's block inside.
-    # Such segments are rare: intervals of other devices are left out before they multiply.
-    wide = usable.where(_hour(F.col("max_ts")) - _hour(F.col("min_ts")) >= (1 << _BITS) - 1)
-    beside_wide = wanted.join(wide.select("device_id").distinct(), "device_id", "left_semi")
-    pairs = (
-        _as_nodes(asked_blocks(wanted))
-        .join(_enclosed(stored_blocks(usable), itself=True), on)
-        .unionByName(
-            _enclosed(asked_blocks(beside_wide), itself=False).join(
-                _as_nodes(stored_blocks(wide).where(F.col("_level") > 0)), on
-            )
-        )
-        .where(overlap & meets)
-    )
-    if param is not None:
-        pairs = pairs.where((F.size("param_ids") == 0) | F.array_contains("param_ids", F.col(param)))
-    return pairs.drop("_node_level", "_node_at", "_level", "_at", "_first", "_start")
-
-
 def as_of(
     left: DataFrame,
     right: DataFrame,

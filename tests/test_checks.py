@@ -16,8 +16,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 QUERIES = {name: check.run for name, check in checks.load().items()}
 ORACLE = {name: check.sql for name, check in checks.load().items() if check.sql is not None}
-# Streams are slow to start; tools/verify.py runs all of them.
-FAST = [n for n in QUERIES if not n.endswith("_stream") and not n.startswith("str_")]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +31,7 @@ def canonical(names, rows):
     return sorted(tuple(repr(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, db, name):
     df = QUERIES[name](spark, SF)
     result = db.execute(ORACLE[name])
