@@ -20,12 +20,15 @@ like; null keys come last; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import id_type, mapped, texts, written
+from pulseframe.llm.common import id_type, mapped, mapped_columns, texts, written
 from pulseframe.llm.components import components
 from pulseframe.llm.simhash import first_rows, simhash_nodes
 
@@ -80,14 +83,22 @@ def _prints(batch: dict[str, list]) -> dict[str, list]:
     }
 
 
-def _verified(batch: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"a": [], "b": []}
-    for a, b, x, y in zip(batch["a"], batch["b"], batch["set_a"], batch["set_b"]):
-        common = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
-        if common >= LEAST * (len(x) + len(y) - common) - 1e-9:
-            out["a"].append(a)
-            out["b"].append(b)
-    return out
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """Views of the lists of a column; nothing is copied."""
+    values, cuts = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _verified(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, list]]:
+    for batch in batches:
+        out: dict[str, list] = {"a": [], "b": []}
+        ends = (batch[n].to_numpy().tolist() for n in "ab")
+        for a, b, x, y in zip(*ends, _lists(batch["set_a"]), _lists(batch["set_b"])):
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= LEAST * (len(x) + len(y) - common) - 1e-9:
+                out["a"].append(a)
+                out["b"].append(b)
+        yield out
 
 
 def _pairs(members: DataFrame, small: int) -> DataFrame:
@@ -116,7 +127,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are similar enough, verified on their whole sets."""
     left, right = sets.toDF("na", "set_a"), sets.toDF("nb", "set_b")
     beside = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
-    return mapped(beside.select("a", "b", "set_a", "set_b"), "a long, b long", _verified)
+    return mapped_columns(beside.select("a", "b", "set_a", "set_b"), "a long, b long", _verified)
 
 
 def _divided(members: DataFrame, groups: DataFrame, small: int) -> DataFrame:
