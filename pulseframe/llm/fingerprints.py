@@ -8,7 +8,7 @@ Peeling takes a cell with a single digest, reports it, and removes it from its o
 cells, until all are empty.  If that gets stuck, the digests are spread over more tables
 by another hash and the sketches are larger, until it succeeds.
 
-The fingerprint is the sketch at the base size, as text.  Likeness is the Jaccard
+The fingerprint is the number of digests and the sketch at the base size, as text.  Likeness is the Jaccard
 coefficient of the two digest sets, from their sizes and the number of recovered digests.
 
 Defined results: a null or empty text has no paragraphs, and two such texts are alike (1);
@@ -31,7 +31,7 @@ BASE_CELLS = 8
 RETRY_CELLS = (8, 16, 32, 64, 256, 1024)
 #: Digests that share a sketch in the retries, about; long lists are dealt in two steps.
 GROUP = 8
-LARGE_GROUP = 512
+LARGE_GROUP = 64
 ROUNDS = 24
 #: Pieces of long sentences: up to a space between two such letters, then to any space, then as is.
 LEAST_PIECE = 400
@@ -46,7 +46,10 @@ def _let(value: Column, body) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Lines and their sentences, without empty ones; long sentences in pieces."""
-    sentences = F.filter(F.split(text, r"\n|(?<=[.!?]) "), lambda p: p != "")
+    # A blank after a stop ends a sentence as a line end does.
+    for stop in ".!?":
+        text = F.replace(text, F.lit(f"{stop} "), F.lit(f"{stop}\n"))
+    sentences = F.filter(F.split(text, "\n"), lambda p: p != "")
     pieces = F.transform(
         sentences,
         lambda p: F.when(F.char_length(p) > LEAST_PIECE, F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))).otherwise(
@@ -161,11 +164,12 @@ def peel(cells: Column, count: Column) -> Column:
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """Digests only in a (``left``) and only in b (``right``), by sketches.
 
-    First the base sketches are subtracted.  If they do not peel, both lists are dealt into
-    groups by hash and each group is sketched, larger at each failure.  A group that fails at the
+    First the base sketches are subtracted, unless the numbers of digests differ by more than a
+    sketch has cells.  If they do not peel, both lists are dealt into groups by hash and each group is sketched, larger at each failure.  A group that fails at the
     last size, which takes a clash of digests, is compared as lists.
     """
-    first = peel(subtract(sketch_a, sketch_b), F.lit(BASE_CELLS))
+    hopeless = F.abs(F.size(a) - F.size(b)) > TABLES * BASE_CELLS
+    first = F.when(hopeless, _none(False)).otherwise(peel(subtract(sketch_a, sketch_b), F.lit(BASE_CELLS)))
     return _let(
         first,
         lambda f: F.when(f["done"], f).otherwise(
@@ -218,11 +222,10 @@ def likeness(n_a: Column, n_b: Column, apart: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - apart) / (n_a + n_b + apart))
 
 
-def fingerprint(cells: Column) -> Column:
-    """The cells as text: number, XOR of digests, XOR of checks, in hex."""
-    return F.array_join(
-        F.transform(cells, lambda x: F.concat_ws(":", *[F.lower(F.hex(x[n])) for n in ("n", "k", "c")])), ";"
-    )
+def fingerprint(cells: Column, size: Column) -> Column:
+    """The number of digests and the cells as text: number, XOR of digests, XOR of checks, in hex."""
+    shown = F.transform(cells, lambda x: F.concat_ws(":", *[F.lower(F.hex(x[n])) for n in ("n", "k", "c")]))
+    return F.concat_ws("|", size.cast("string"), F.array_join(shown, ";"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -240,7 +243,7 @@ def successors(docs: DataFrame) -> DataFrame:
     Only keys and hashes are ordered: they are dealt into ranges, written, and every range
     gets the first of the next one for its last row.
     """
-    keys = keyed(docs.select("doc_id", "text")).select("key", "hash").distinct()
+    keys = keyed(docs.select("doc_id", "text")).select("key", "hash", F.char_length("text").alias("chars")).distinct()
     own_key = F.expr("substring(key, 2)").cast(docs.schema["doc_id"].dataType)
     keys = keys.withColumn("doc_id", F.when(F.col("key") != "", own_key))
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
@@ -257,29 +260,38 @@ def successors(docs: DataFrame) -> DataFrame:
         F.col("range").alias("r"), F.coalesce(F.lead("head").over(ranges), F.first("head").over(everything)).alias("head")
     )
     joined = followed.join(after, F.col("range") == F.col("r"))
-    return joined.select("key", "hash", F.coalesce("following", "head").alias("next")).select(
+    return joined.select("key", "hash", "chars", F.coalesce("following", "head").alias("next")).select(
         F.col("key").alias("from_key"),
         F.col("hash").alias("from_hash"),
+        F.col("chars").alias("from_chars"),
         F.col("next.key").alias("next_key"),
         F.col("next.hash").alias("next_hash"),
     )
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text``: each document beside the next one's text.
+    """``doc_id, text, next_head, next_digests``: each document beside what it needs of the next one.
 
-    Texts are shuffled twice: by their own key, for both joins, and by the key of the
-    document before.
+    That is as much of its text as the edit takes, and its digests.  Texts are shuffled by
+    their own key, for both joins, and these heads by the key of the document before.
     """
     pairs = written(successors(docs), "pairs")
     following = pairs.join(keyed(docs), (F.col("next_key") == F.col("key")) & (F.col("next_hash") == F.col("hash")))
+    following = following.select(
+        "from_key",
+        "from_hash",
+        F.substring("text", F.lit(1), F.floor(F.col("from_chars") / 2).cast("int")).alias("head"),
+        digests(F.col("text")).alias("digests"),
+    )
     # Rows that repeat a key and its text are one successor.
-    following = following.groupBy("from_key", "from_hash").agg(F.first("text").alias("next_text"))
+    following = following.groupBy("from_key", "from_hash").agg(
+        F.first("head").alias("next_head"), F.first("digests").alias("next_digests")
+    )
     joined = keyed(docs).join(
         following, (F.col("key") == F.col("from_key")) & (F.col("hash") == F.col("from_hash"))
     )
     own_key = F.expr("substring(key, 2)").cast(docs.schema["doc_id"].dataType)
-    return joined.select(F.when(F.col("key") != "", own_key).alias("doc_id"), "text", "next_text")
+    return joined.select(F.when(F.col("key") != "", own_key).alias("doc_id"), "text", "next_head", "next_digests")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -290,11 +302,11 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """Fingerprints and likeness of ``text`` to its edited form and to ``next_text``."""
-    names = {"a": "text", "e": "edited", "x": "next_text"}
-    df = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    df = df.withColumns({f"d_{k}": digests(F.col(c)) for k, c in names.items()})
-    df = df.withColumns({f"s_{k}": sketch(F.col(f"d_{k}"), F.lit(BASE_CELLS)) for k in names})
+    """Fingerprints and likeness of ``text`` to its edited form and to the next text."""
+    df = pairs.withColumn("edited", edited(F.col("text"), F.col("next_head")))
+    own = {"d_a": digests(F.col("text")), "d_e": digests(F.col("edited")), "d_x": F.col("next_digests")}
+    df = df.withColumns(own)
+    df = df.withColumns({f"s_{k}": sketch(F.col(f"d_{k}"), F.lit(BASE_CELLS)) for k in "aex"})
     for k, name in (("e", "near_edited"), ("x", "near_next")):
         apart = difference(F.col("d_a"), F.col(f"d_{k}"), F.col("s_a"), F.col(f"s_{k}"))
         df = df.withColumn(f"apart_{k}", apart)
@@ -309,8 +321,8 @@ def op4_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("s_a")).alias("fingerprint"),
-        fingerprint(F.col("s_e")).alias("edited_fingerprint"),
+        fingerprint(F.col("s_a"), F.size("d_a")).alias("fingerprint"),
+        fingerprint(F.col("s_e"), F.size("d_e")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
     )
