@@ -33,7 +33,7 @@ from pulseframe.operators import aggregates, joins, latest, packing
 from pulseframe.session import scratch_path
 from pulseframe.sinks import exports
 from pulseframe.sources import packets, segments
-from pulseframe.streaming import ingest, live, presence as presence_stream
+from pulseframe.streaming import ingest, live, presence as presence_stream, rows as row_stream
 
 
 def point_stream(spark, sf_dir):
@@ -209,6 +209,26 @@ def merged_rows(spark, sf_dir):
     return rows.select("device_id", "label_ts", "ts_ms", texts.alias("texts"))
 
 
+# The same without naming a parameter.
+@check(
+    "win_12_merged_any_stream",
+    f"""WITH merged AS ({_merge_sql(SIX_HOURS)})
+    SELECT device_id, label_ts, ts_ms, texts FROM merged""",
+)
+def merged_any(spark, sf_dir):
+    spark.conf.set(presence_stream.STATE_STORE_CONF, presence_stream.ROCKSDB)
+    pts = points(spark, sf_dir).select("device_id", "ts_ms", "param_id", "value")
+    last = F.struct(
+        F.lit("closing").alias("device_id"), F.lit(NOW_MS + 10 * DAY_MS).alias("ts_ms"), F.lit("none").alias("param_id"),
+        F.lit(0.0).alias("value"),
+    )
+    one = spark.range(1).select(last.alias("e")).select("e.*")
+    stream = written_stream(spark, pts.unionByName(one), "updates")
+    rows = drained(spark, row_stream.merged_rows_stream(stream, SIX_HOURS), "merged-any").where("device_id <> 'closing'")
+    texts = F.zip_with("param_ids", "values", lambda p, v: F.concat(p, F.lit("="), v.cast("string")))
+    return rows.select("device_id", "label_ts", "ts_ms", F.array_join(texts, ",").alias("texts"))
+
+
 @check(
     "agg_11_topic_counts_stream",
     f"WITH {PTS} SELECT 'gw/' || device_id || '/' || param_id AS topic, count(*) AS messages FROM pts GROUP BY 1",
