@@ -7,7 +7,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -34,6 +34,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mapped(df: DataFrame, schema: str | StructType, fn: Callable[[dict[str, list]], dict[str, Any]]) -> DataFrame:
     """Apply ``fn`` to Arrow batches: lists by column in, lists (or arrays) by column out."""
     return mapped_batches(df, schema, lambda batches: map(fn, batches))

@@ -10,7 +10,8 @@ Texts are known to the index by a 64-bit hash: copies share their postings, and
 would only make one more candidate.
 
 Spans are code points, end exclusive.  ``split`` gives the stretches between matches and
-``regexp_extract_all`` the matches, so running sums of their lengths are the places.
+``regexp_extract_all`` the matches, so running sums of their lengths are the places.  Sums
+and replacements run in blocks of ``BLOCK`` matches: what grows by appending stays short.
 
 Defined results: a null or empty text has no spans; equal rows give equal rows; an empty
 table gives no rows.
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import table, texts, written
+from pulseframe.llm.common import let, table, texts, written
 from pulseframe.llm.trigrams import clauses
 
 
@@ -65,6 +66,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 REDACTED = "[REDACTED]"
+#: Matches that are placed, or replaced, one after the other.
+BLOCK = 256
 
 
 def queries(rules: tuple[Rule, ...]) -> list[tuple[int, int, list[str]]]:
@@ -96,6 +99,16 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return full.groupBy("key").agg(F.expr("bit_or(shiftleft(1L, rule))").alias("mask"))
 
 
+def _blocks(items: Column) -> Column:
+    """The items in lists of ``BLOCK``; at least one list."""
+
+    def cut(own: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(own) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(own, i * BLOCK + 1, F.lit(BLOCK)))
+
+    return let(items, cut)
+
+
 def _spans(rule: Rule, number: int) -> Column:
     """Spans of one rule as structs of start, rule number and end."""
     pattern = F.lit(rule.pattern)
@@ -103,7 +116,7 @@ def _spans(rule: Rule, number: int) -> Column:
     matches = F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.char_length)
     values = F.transform(F.regexp_extract_all("text", pattern, F.lit(rule.group)), F.char_length)
     both = F.zip_with(between, matches, lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rule:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -111,8 +124,20 @@ def _spans(rule: Rule, number: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def placed_in(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def begun(acc: Column, block: Column) -> Column:
+        sizes = F.aggregate(block, acc["at"], lambda n, x: n + x["gap"] + x["size"])
+        return F.struct(sizes.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed_all(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(blocks, first, begun, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, placed_in))
+
     # The last stretch has no match after it.
-    placed = F.aggregate(F.filter(both, lambda x: x["size"].isNotNull()), empty, step, lambda acc: acc["out"])
+    placed = let(_blocks(F.filter(both, lambda x: x["size"].isNotNull())), placed_all)
     if rule.least:
         sized = F.zip_with(placed, values, lambda s, n: F.when(n >= rule.least, s))
         return F.array_compact(sized)
@@ -153,19 +178,30 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     own = docs.columns
     inner = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     scanned = secret_spans(inner, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        # A span that begins inside the one before only extends it.
-        mark = F.when(s["start"] >= acc["at"], F.concat(before, F.lit(REDACTED))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+    def of_block(acc: Column, block: Column) -> Column:
+        base = acc["at"]
+        last = F.greatest(base, F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def replaced(part: Column) -> Column:
+            def step(x: Column, s: Column) -> Column:
+                before = F.substring(part, x["at"] - base + 1, F.greatest(s["start"] - x["at"], F.lit(0)))
+                # A span that begins inside the one before only extends it.
+                mark = F.when(s["start"] >= x["at"], F.concat(before, F.lit(REDACTED))).otherwise("")
+                return F.struct(F.greatest(x["at"], s["end"]).alias("at"), F.concat(x["out"], mark).alias("out"))
+
+            return F.aggregate(block, F.struct(base.alias("at"), F.lit("").alias("out")), step, lambda x: x["out"])
+
+        out = let(F.substring(F.col("text"), base + 1, last - base), replaced)
+        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(out)).alias("out"))
 
     whole = F.aggregate(
-        "_spans",
-        start,
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))),
+        _blocks(F.col("_spans")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        of_block,
+        lambda acc: F.concat(
+            F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))
+        ),
     )
     found = F.size("_spans") > 0
     new = scanned.withColumn("_new", F.when(found, whole).otherwise(F.col("_row")[text_col]))

@@ -505,6 +505,22 @@ def test_secrets(spark, odd, nothing):
     assert secrets.redacted(odd).columns == odd.columns and secrets.secret_scan(nothing).collect() == []
 
 
+def test_thousands_of_secrets_in_one_text(spark):
+    parts = ["password=é", "token: abcdef12 ", "AKIA" + "Q" * 20 + " ", "0123456789abcdef" * 2 + "\n", "secret='" + "f" * 30 + "' 日本 "]
+    text = "".join(f"{i} {parts[i * i % len(parts)]}" for i in range(50_000)) + "end"
+    docs = spark.createDataFrame([(1, text), (2, parts[2] * (2 * secrets.BLOCK))], "doc_id long, text string")
+    for row in secrets.secret_scan(docs).collect():
+        assert str([tuple(s) for s in row["spans"]]) == str(brute_spans(dict(texts_of(docs))[row["doc_id"]]))
+    clean = dict(texts_of(secrets.redacted(docs)))
+    out, at = [], 0
+    for start, _, end in brute_spans(text):
+        if start >= at:
+            out += [text[at:start], secrets.REDACTED]
+        at = max(at, end)
+    assert clean[1] == "".join(out) + text[at:]
+    assert clean[2] == f"{secrets.REDACTED} " * (2 * secrets.BLOCK)
+
+
 def test_trigram_queries():
     for rule in secrets.RULES:
         wanted = trigrams.clauses(rule.pattern)
