@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.common import table, texts, written
+from pulseframe.llm.common import let, table, texts, written
 from pulseframe.session import parallelism
 
 TABLES = 3
@@ -39,11 +39,6 @@ PIECE = r"(?s).{400,799}?(?<=[a-h]) (?=[a-d])|.{800,2047}? |.{2048}|.+"
 _CHECK_SEED = 7
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def paragraphs(text: Column) -> Column:
     """Lines and their sentences, without empty ones; long sentences in pieces."""
     # A blank after a stop ends a sentence as a line end does.
@@ -64,8 +59,9 @@ def digests(text: Column) -> Column:
 
 
 def _places(digest: Column, cells: Column) -> list[Column]:
-    """The cell of a digest in each table, numbered through all tables."""
-    return [F.pmod(F.xxhash64(digest, F.lit(t), cells), cells).cast("int") + t * cells for t in range(TABLES)]
+    """The cell of a digest in each table, numbered through all tables; another size takes another hash."""
+    mixed = F.xxhash64(digest, cells)
+    return [F.pmod(F.shiftrightunsigned(mixed, 21 * t), cells).cast("int") + t * cells for t in range(TABLES)]
 
 
 def _entry(digest: Column, sign: Column, cells: Column) -> Column:
@@ -82,8 +78,8 @@ def _cell(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
 
 
-def _add(cells: Column, entries: Column, sign: int, count: Column) -> Column:
-    """Cells after ``sign`` times the entries; entries of table t touch only its cells."""
+def _add(cells: Column | None, entries: Column, sign: int, count: Column) -> Column:
+    """Cells (none: empty ones) after ``sign`` times the entries; entries of table t touch only its cells."""
     tables = []
     for t in range(TABLES):
 
@@ -102,19 +98,14 @@ def _add(cells: Column, entries: Column, sign: int, count: Column) -> Column:
     return F.concat(*tables)
 
 
-def _folder(cells: Column, fold):
-    return lambda i: fold(F.get(cells, i), i)
-
-
-def _blank(count: Column) -> Column:
-    none = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return F.array_repeat(none, (count * TABLES).cast("int"))
+def _folder(cells: Column | None, fold):
+    return lambda i: fold(_cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")) if cells is None else F.get(cells, i), i)
 
 
 def sketch(values: Column, count: Column) -> Column:
     """The sketch of a list of distinct digests, ``count`` cells per table."""
     entries = F.transform(values, lambda d: _entry(d, F.lit(1), count))
-    return _let(entries, lambda own: _add(_blank(count), own, 1, count))
+    return let(entries, lambda own: _add(None, own, 1, count))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -127,7 +118,7 @@ def peel(cells: Column, count: Column) -> Column:
     """Recovered digests of a difference sketch: ``left`` and ``right`` lists and ``done``."""
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["stuck"], acc).otherwise(_let(pure(acc["cells"]), lambda own: remove(acc, own)))
+        return F.when(acc["stuck"], acc).otherwise(let(pure(acc["cells"]), lambda own: remove(acc, own)))
 
     def pure(all_cells: Column) -> Column:
         single = F.filter(
@@ -170,10 +161,10 @@ def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Colu
     """
     hopeless = F.abs(F.size(a) - F.size(b)) > TABLES * BASE_CELLS
     first = F.when(hopeless, _none(False)).otherwise(peel(subtract(sketch_a, sketch_b), F.lit(BASE_CELLS)))
-    return _let(
+    return let(
         first,
         lambda f: F.when(f["done"], f).otherwise(
-            _by_groups(a, b, LARGE_GROUP, -2, lambda x, y: _by_groups(x, y, GROUP, -1, _retried))
+            _by_groups(a, b, LARGE_GROUP, 32, lambda x, y: _by_groups(x, y, GROUP, 0, _retried))
         ),
     )
 
@@ -183,13 +174,15 @@ def _none(done: bool) -> Column:
     return F.struct(*empty, F.lit(done).alias("done"))
 
 
-def _by_groups(a: Column, b: Column, size: int, seed: int, compare) -> Column:
-    """``compare`` of the digests of each group, put together; a hash with ``seed`` deals them."""
+def _by_groups(a: Column, b: Column, size: int, shift: int, compare) -> Column:
+    """``compare`` of the digests of each group, put together; 31 bits of a digest, from ``shift`` on, deal it."""
     groups = F.greatest(F.ceil(F.greatest(F.size(a), F.size(b)) / size).cast("int"), F.lit(1))
 
     def of_group(acc: Column, g: Column) -> Column:
         def own(values: Column) -> Column:
-            return F.filter(values, lambda d: F.pmod(F.xxhash64(d, F.lit(seed)), groups) == g)
+            return F.filter(
+                values, lambda d: F.shiftrightunsigned(d, shift).bitwiseAND(F.lit(0x7FFFFFFF)) % groups == g
+            )
 
         def joined(got: Column) -> Column:
             return F.struct(
@@ -199,7 +192,7 @@ def _by_groups(a: Column, b: Column, size: int, seed: int, compare) -> Column:
             )
 
         both = F.struct(own(a).alias("a"), own(b).alias("b"))
-        return _let(_let(both, lambda x: compare(x["a"], x["b"])), joined)
+        return let(let(both, lambda x: compare(x["a"], x["b"])), joined)
 
     return F.aggregate(F.sequence(F.lit(0), groups - 1), _none(True), of_group)
 
