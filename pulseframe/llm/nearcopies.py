@@ -152,14 +152,24 @@ def _prefix_pairs(texts_in: DataFrame, sets: DataFrame) -> DataFrame:
     size = F.size("items")
     length = size - F.ceil(size * LEAST - 1e-9).cast("int") + 1
     prefix = F.transform(F.slice("items", F.lit(1), length), lambda i: i["s"])
-    posts = counted.select("n", "group", size.alias("size"), F.explode(prefix).alias("s"))
+    posts = counted.select("n", "group", size.alias("size"), F.posexplode(prefix).alias("pos", "s"))
     posts = written(posts, "posts")
-    # A shingle that one group has to itself joins nothing.
-    shared = posts.groupBy("s").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y")
-    posts = posts.join(shared.select(F.col("s").alias("k")), F.col("s") == F.col("k")).select("n", "group", "size", "s")
-    other = posts.toDF("n2", "group2", "size2", "s2")
+    # A shingle that one group has to itself joins nothing.  Shingles of the same texts, as those of
+    # a shared passage, give the same pairs: they are one class, placed at the first of them.
+    held = F.xxhash64(F.bit_xor(F.xxhash64("n")), F.sum(F.pmod(F.xxhash64("n"), F.lit(1 << 31))), F.count(F.lit(1)))
+    shared = posts.groupBy(F.col("s").alias("k")).agg(F.min("group").alias("x"), F.max("group").alias("y"), held.alias("class"))
+    posts = posts.join(shared.where("x < y").select("k", "class"), F.col("s") == F.col("k"))
+    posts = posts.groupBy("class", "n", "group", "size").agg(F.min("pos").alias("pos"))
+    posts = written(posts, "classes")
+    other = posts.toDF("class2", "n2", "group2", "size2", "pos2")
     alike = F.least("size", "size2") >= LEAST * F.greatest("size", "size2") - 1e-9
-    both = posts.join(other, (F.col("s") == F.col("s2")) & (F.col("n") < F.col("n2")) & (F.col("group") != F.col("group2")) & alike)
+    # Before the first shingle they share two sets share nothing; what follows must hold enough.
+    follow = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
+    enough = follow >= LEAST / (1 + LEAST) * (F.col("size") + F.col("size2")) - 1e-9
+    both = posts.join(
+        other,
+        (F.col("class") == F.col("class2")) & (F.col("n") < F.col("n2")) & (F.col("group") != F.col("group2")) & alike & enough,
+    )
     return both.select(F.col("n").alias("a"), F.col("n2").alias("b")).distinct()
 
 
