@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pulseframe.session import parallelism
 from pulseframe.sinks.segments import COMPRESSION, DEVICE_HOUR, raw_rows, with_day_hour, write_sparse
 from pulseframe.sources.packets import packet_points, parse_packet_lines, parse_published
 
@@ -21,8 +22,8 @@ SERVICE_INTERVAL = "10 seconds"
 ARCHIVE_INTERVAL = "1 second"
 SPARSE_INTERVAL = "30 seconds"
 
-# Default number of tasks of a micro-batch that write rows of one partition.
-WRITERS = 4
+# Shuffle slots of a micro-batch per shuffle partition of the session.
+SPARE_SLOTS = 8
 
 
 def packet_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -54,13 +55,15 @@ def _start(writer, path: str, checkpoint: str, interval: str | None) -> Streamin
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
 
 
-def _placed(rows: DataFrame, partition_by: Sequence[str], time: str, writers: int) -> DataFrame:
-    """Rows of a partition dealt to ``writers`` tasks by a hash, whatever the ticks of the clock.
+def _placed(rows: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a micro-batch dealt to its writers by partition.
 
-    A partition then gets at most so many files per micro-batch.
+    The batch is measured when it is shuffled: adaptive execution splits a partition
+    above its advisory size over several tasks and leaves a small one in one file.  What
+    shares a shuffle slot with a large one is split with it; spare slots make that rare,
+    and empty ones are merged away.
     """
-    keys = [c for c in ("device_id", "param_id", time) if c in rows.columns]
-    return rows.repartition(*partition_by, F.pmod(F.xxhash64(*keys), F.lit(writers)))
+    return rows.hint("rebalance", SPARE_SLOTS * parallelism(rows.sparkSession), *partition_by)
 
 
 def ingest_points(
@@ -70,11 +73,10 @@ def ingest_points(
     interval: str | None = SERVICE_INTERVAL,
     tz: str = "UTC",
     partition_by: Sequence[str] = DEVICE_HOUR,
-    writers: int = WRITERS,
 ) -> StreamingQuery:
     """Append points to the long-row table; ``interval=None`` drains the source and ends."""
     rows = with_day_hour(points.select("device_id", "ts_ms", "param_id", F.col("value").cast("float").alias("value")), tz=tz)
-    placed = _placed(rows, partition_by, "ts_ms", writers)
+    placed = _placed(rows, partition_by)
     writer = placed.writeStream.format("parquet").partitionBy(*partition_by).option("compression", COMPRESSION)
     return _start(writer, path, checkpoint, interval)
 
@@ -91,7 +93,6 @@ def ingest_packet_wide(
     interval: str | None = SERVICE_INTERVAL,
     tz: str = "UTC",
     partition_by: Sequence[str] = DEVICE_HOUR,
-    writers: int = WRITERS,
 ) -> StreamingQuery:
     """Append parsed packets as one row each, with parallel lists."""
     rows = packets.where(F.size("points") > 0).select(
@@ -100,7 +101,7 @@ def ingest_packet_wide(
         F.col("points.param_id").alias("param_ids"),
         F.col("points.value").cast("array<float>").alias("values"),
     )
-    placed = _placed(with_day_hour(rows, tz=tz), partition_by, "ts_ms", writers)
+    placed = _placed(with_day_hour(rows, tz=tz), partition_by)
     writer = placed.writeStream.format("parquet").partitionBy(*partition_by).option("compression", COMPRESSION)
     return _start(writer, path, checkpoint, interval)
 
@@ -112,11 +113,10 @@ def archive_events(
     interval: str | None = ARCHIVE_INTERVAL,
     tz: str = "UTC",
     partition_by: Sequence[str] = DEVICE_HOUR,
-    writers: int = WRITERS,
 ) -> StreamingQuery:
     """Append raw payloads by device, day and hour."""
     writer = (
-        _placed(raw_rows(events, tz), partition_by, "timestamp_ms", writers)
+        _placed(raw_rows(events, tz), partition_by)
         .writeStream.format("parquet")
         .partitionBy(*partition_by)
         .option("compression", COMPRESSION)

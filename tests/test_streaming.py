@@ -136,3 +136,30 @@ def test_only_a_local_master_may_use_its_own_folder(master):
             shared_dir(session)
     else:
         assert shared_dir(session) == shared_dir(session) == session.sparkContext.folder
+
+
+def test_a_large_day_is_split_and_small_ones_are_not(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    day = 86_400_000
+    # Nine tenths of the rows are of one day.
+    ts = F.when(F.col("id") % 10 < 9, T0 + F.col("id")).otherwise(T0 + day * (1 + F.col("id") % 7) + F.col("id"))
+    points = spark.range(300_000).select(
+        F.concat(F.lit("d"), (F.col("id") % 5).cast("string")).alias("device_id"),
+        ts.alias("ts_ms"),
+        F.lit("P00001").alias("param_id"),
+        F.xxhash64("id").cast("double").alias("value"),
+    )
+    points.repartition(8).write.parquet(source)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "512k")
+    try:
+        stream = spark.readStream.schema(points.schema).parquet(source)
+        ingest.ingest_points(stream, table, state, None, partition_by=("day",)).awaitTermination()
+    finally:
+        spark.conf.set(size, before)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "table").glob("day=*")}
+    assert len(files) == 8
+    assert files.pop("day=2024-01-01") >= 3
+    assert set(files.values()) == {1}
+    assert read_table(spark, table).count() == 300_000
