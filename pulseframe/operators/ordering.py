@@ -17,9 +17,23 @@ EXPORT_LIMIT = 1_000
 RAW_LIMIT = 200
 PAGE_LIMIT, PAGE_MIN, PAGE_MAX = 200, 1, 5_000
 
+# Results of scans up to this size are put in order by one task.
+ONE_TASK_BYTES = 64 << 20
 
-def by_time(points: DataFrame) -> DataFrame:
-    """Points in total order: time, then parameter."""
+
+def expected_bytes(df: DataFrame) -> int:
+    """The optimizer's upper estimate; of a scan, the files left after partition pruning."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def by_time(points: DataFrame, one_task_bytes: int = ONE_TASK_BYTES) -> DataFrame:
+    """Points in total order: time, then parameter.
+
+    A global sort reads its input twice, first to find the ranges.  A result that is
+    small for certain goes to one task instead; the order is the same.
+    """
+    if expected_bytes(points) <= one_task_bytes:
+        return points.repartition(1).sortWithinPartitions("ts_ms", "param_id")
     return points.orderBy("ts_ms", "param_id")
 
 

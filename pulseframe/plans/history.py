@@ -89,8 +89,9 @@ def unified_history(
     boundary = unions.hot_boundary(now_ms)
     sides = [_scan(cold, device_id, span, params, tz), _scan(hot, device_id, span, params, hot_tz or tz)]
     both = unions.unified(*sides, span, boundary)
-    rows = ordering.by_time(both.select("ts_ms", "param_id", "value", "source"))
-    return UnifiedResult(rows if limit is None else rows.limit(limit), source_counts(both))
+    columns = both.select("ts_ms", "param_id", "value", "source")
+    rows = ordering.by_time(columns) if limit is None else ordering.first_rows(columns, limit)
+    return UnifiedResult(rows, source_counts(both))
 
 
 @dataclass(frozen=True)

@@ -419,3 +419,18 @@ def test_view_compaction(spark, rows, tmp_path):
     assert small.count() == 2
     later = spark.createDataFrame([("b", 3, 6.0)], "k string, version long, value double")
     assert rows(latest_version(small.unionByName(later), ["k"]), "k", "value") == [("a", None), ("b", 6.0)]
+
+
+def test_time_order_is_the_same_in_one_task_and_in_many(spark, tmp_path):
+    path = str(tmp_path / "points")
+    spark.range(5000).select(
+        (F.col("id") * 7919 % 700).alias("ts_ms"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("param_id")
+    ).repartition(6).write.parquet(path)
+    points = spark.read.parquet(path)
+    small, large = ordering.by_time(points), ordering.by_time(points, one_task_bytes=0)
+    assert "rangepartitioning" not in small._jdf.queryExecution().toString()
+    assert "rangepartitioning" in large._jdf.queryExecution().toString()
+    assert small.collect() == large.collect() == sorted(points.collect())
+    # Nothing is known of the size of rows from elsewhere.
+    unknown = spark.createDataFrame(points.rdd, points.schema)
+    assert "rangepartitioning" in ordering.by_time(unknown)._jdf.queryExecution().toString()
