@@ -8,7 +8,9 @@ from checks.adapter import CATALOG, PACKETS, PTS, catalog, packets, points, raw_
 from checks.registry import check
 from pulseframe.functions.timeparts import TimeRange
 from pulseframe.operators import quality
+from pulseframe.session import scratch_path
 from pulseframe.sinks.segments import with_day_hour
+from pulseframe.sources import catalogs, footers
 
 ALL = TimeRange(0, 4102444800000)
 
@@ -142,3 +144,22 @@ def manifest_rows(spark, sf_dir):
         "rows", F.coalesce("rows", F.lit(0).cast("bigint")) + lost
     )
     return quality.archive_check(raw, known).select("file_path", "readable")
+
+
+# What the footers of the files name, without a manifest, against what a scan of them gives.
+@check(
+    "dq_02_footer_rows",
+    f"""WITH {PTS}
+    SELECT strftime(make_timestamp(ts_ms * 1000), '%Y%m%d') AS day, count(*) AS footer_rows, count(*) AS records, true AS readable
+    FROM pts GROUP BY 1""",
+)
+def footer_rows(spark, sf_dir):
+    path = scratch_path(spark, "footers")
+    rows = with_day_hour(raw_events(spark, sf_dir), "timestamp_ms", compact_day=True)
+    rows.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    inventory = footers.with_footer_rows(spark, catalogs.file_inventory(spark, path, "*.parquet"), path)
+    stored = spark.read.parquet(path).withColumn("file_path", F.col("_metadata.file_path"))
+    checked = quality.archive_check(stored, inventory).join(inventory.select("file_path", "rows"), "file_path")
+    return checked.groupBy(F.regexp_extract("file_path", "/day=([0-9]+)/", 1).alias("day")).agg(
+        F.sum("rows").alias("footer_rows"), F.sum("records").alias("records"), F.bool_and("readable").alias("readable")
+    )

@@ -104,7 +104,10 @@ def write_archive_manifests(
 
 
 def file_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Path and size of every file below a tree; contents are never read."""
+    """Path and size of every file below a tree; contents are never read.
+
+    Spark's scans leave out files of no bytes at all.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
