@@ -7,7 +7,9 @@ only window it can lie in; the regex library then looks for the notice with at m
 k edits in that window and gives its span and its edits.  The words that tell licenses
 apart take at most one edit, the shortest none.  Windows are searched one by
 one, the match with the fewest edits is taken first, and what a taken match leaves of
-a window is searched again, so a better match never hides another beside it.
+a window is searched again, so a better match never hides another beside it.  A match
+that lies inside one of a longer notice is part of that, and one that a word before it
+denies is none.
 
 Defined results: a null or empty text has no words, no labels and score 0; equal
 rows give equal rows; an empty table gives no rows.
@@ -40,20 +42,79 @@ NOTICES = {
     "permission is hereby granted free of charge to any person": "mit",
     "released under the mit license": "mit",
     "licensed under the mit license": "mit",
+    "distributed under the mit license": "mit",
     "licensed under the apache license": "apache-2.0",
+    "released under the apache license": "apache-2.0",
+    "distributed under the apache license": "apache-2.0",
     "redistribution and use in source and binary forms": "bsd",
+    "released under the bsd license": "bsd",
+    "licensed under the bsd license": "bsd",
+    "distributed under the bsd license": "bsd",
+    "permission to use copy modify and distribute this software": "isc",
+    "released under the isc license": "isc",
+    "licensed under the isc license": "isc",
+    "permission to use copy modify and distribute this software and its documentation for any purpose": "hpnd",
     "gnu general public license": "gpl",
+    "released under the gpl": "gpl",
+    "licensed under the gpl": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
+    "released under the lgpl": "lgpl",
+    "licensed under the lgpl": "lgpl",
     "gnu affero general public license": "agpl",
+    "released under the agpl": "agpl",
+    "licensed under the agpl": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "common public license": "cpl",
+    "microsoft public license": "ms-pl",
+    "european union public licence": "eupl",
+    "server side public license": "sspl",
+    "common development and distribution license": "cddl",
+    "business source license": "busl",
+    "boost software license": "bsl",
+    "academic free license": "afl",
+    "licensed under the artistic license": "artistic",
+    "released under the artistic license": "artistic",
+    "altered source versions must be plainly marked as such": "zlib",
+    "python software foundation license": "psf",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "creative commons zero": "cc0",
+    "licensed under cc0": "cc0",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noderivs": "cc-by-nd",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons attribution noncommercial noderivs": "cc-by-nc-nd",
+    "licensed under cc by sa": "cc-by-sa",
+    "licensed under cc by nd": "cc-by-nd",
     "licensed under cc by nc": "cc-by-nc",
+    "licensed under cc by nc sa": "cc-by-nc-sa",
+    "licensed under cc by nc nd": "cc-by-nc-nd",
     "all rights reserved": "reserved",
+    "no part of this publication may be reproduced": "reserved",
     "released into the public domain": "public-domain",
-    "permission to use copy modify and distribute this software": "isc",
+    "dedicated to the public domain": "public-domain",
+    "placed in the public domain": "public-domain",
 }
 # Words that tell one license from another, and the edits each may have where it stands in a notice.
-KEY_WORDS = {"mit": 0, "nc": 0, "gnu": 1, "apache": 1, "lesser": 1, "affero": 1, "mozilla": 1, "public": 1, "domain": 1}
+KEY_WORDS = {
+    "mit": 0, "bsd": 0, "isc": 0, "gpl": 0, "lgpl": 0, "agpl": 0, "cc": 0, "cc0": 0, "nc": 0, "sa": 0, "nd": 0, "sil": 0,
+    "side": 0, "font": 0, "gnu": 1, "apache": 1, "lesser": 1, "library": 1, "affero": 1, "documentation": 1, "mozilla": 1,
+    "eclipse": 1, "common": 1, "microsoft": 1, "european": 1, "server": 1, "development": 1, "business": 1, "boost": 1,
+    "academic": 1, "artistic": 1, "python": 1, "database": 1, "zero": 1, "unencumbered": 1, "attribution": 1,
+    "sharealike": 1, "noderivatives": 1, "noderivs": 1, "noncommercial": 1, "public": 1, "domain": 1, "rights": 1,
+    "publication": 1,
+}
+# A notice is not meant where one of the first stands within two words before it, or one of the others inside it.
+NEGATIONS = {"not", "never", "nor", "neither", "cannot", "without", "no"}
+OTHER_WORDS = {"preserved", "deserved", "observed", "reversed"}
 #: One edit is allowed for this many characters of a notice.
 CHARS_PER_EDIT = 10
 
@@ -146,8 +207,33 @@ class Finder:
                 word += norm.count(" ", last, start)
                 last = start
                 inside = norm[start:end].rstrip(" ").count(" ")
-                found.append(Span(label, word - 1, word - 1 + inside, edits, len(notice)))
-        return found
+                if not _denied(norm, start, end):
+                    found.append(Span(label, word - 1, word - 1 + inside, edits, len(notice)))
+        return _outermost(found)
+
+
+def _denied(norm: str, start: int, end: int) -> bool:
+    """Whether the words at ``start`` to ``end`` are denied or hold a word of another meaning."""
+    first = norm.rfind(" ", 0, start)
+    before = norm.rfind(" ", 0, max(norm.rfind(" ", 0, max(first, 0)), 0))
+    close = norm.find(" ", end - 1)
+    inside = norm[first + 1 : len(norm) if close < 0 else close]
+    return not (NEGATIONS.isdisjoint(norm[before + 1 : first].split()) and OTHER_WORDS.isdisjoint(inside.split()))
+
+
+def _outermost(spans: list[Span]) -> list[Span]:
+    """Spans that lie in no span of a longer notice.
+
+    Spans of one notice do not overlap, so no more are open at a time than there are notices.
+    """
+    kept: list[Span] = []
+    reach: list[Span] = []
+    for span in sorted(spans, key=lambda s: (s.first_word, -s.last_word, -s.length, s.edits)):
+        reach = [s for s in reach if s.last_word >= span.first_word]
+        if not any(s.last_word >= span.last_word and s.length > span.length for s in reach):
+            kept.append(span)
+            reach.append(span)
+    return kept
 
 
 def _taken(

@@ -321,7 +321,9 @@ def test_licenses(odd, nothing):
     for notice, label in licenses.NOTICES.items():
         rng = random.Random(notice)
         damaged = list(notice)
-        for k in rng.sample(range(len(notice)), len(notice) // licenses.CHARS_PER_EDIT):
+        telling = {k for w in licenses.KEY_WORDS for m in re.finditer(rf" ?\b{w}\b ?", notice) for k in range(*m.span())}
+        free = [k for k in range(len(notice)) if k not in telling]
+        for k in rng.sample(free, min(len(free), len(notice) // licenses.CHARS_PER_EDIT)):
             damaged[k] = "q"
         spans = finder.spans(" some words " + "".join(damaged) + " and more ")
         assert label in {s.label for s in spans}
@@ -353,10 +355,15 @@ def test_the_telling_words_of_a_notice_are_not_edited_away():
     def labels(text):
         return {s.label for s in finder.spans(f" x {text} y ")}
 
-    for name in ("bsd", "gpl", "isc", "x11", "mpl"):
+    for name in ("bsd", "isc"):
+        assert labels(f"released under the {name} license") == labels(f"licensed under the {name} license") == {name}
+    for name in ("gpl", "lgpl", "agpl"):
+        assert labels(f"released under the {name} license") == labels(f"licensed under the {name}") == {name}
+    for name in ("x11", "mpl", "ofl", "bsl"):
         assert labels(f"released under the {name} license") == labels(f"licensed under the {name} license") == set()
-    for other in ("cc by sa", "cc by nd", "cc by", "cc 0"):
-        assert labels(f"licensed under {other}") == set()
+    for other in ("by sa", "by nd", "by nc", "by nc sa", "by nc nd"):
+        assert labels(f"licensed under cc {other}") == {"cc-" + other.replace(" ", "-")}
+    assert labels("licensed under cc by") == labels("licensed under cc 0") == set()
     assert labels("licensed under the eclipse license") == labels("released into the private domain") == set()
     assert labels("gnu lesser general public license") == {"lgpl"}
     assert labels("gnu affero general public license") == {"agpl"}
@@ -365,6 +372,58 @@ def test_the_telling_words_of_a_notice_are_not_edited_away():
         assert label in labels(notice)
 
 
+def test_longer_notices_win_and_denied_ones_do_not_count():
+    finder = licenses.Finder(licenses.NOTICES, licenses.CHARS_PER_EDIT)
+
+    def labels(text):
+        return {s.label for s in finder.spans(f" x {text} y ")}
+
+    commons = "creative commons attribution"
+    assert labels(f"{commons} noncommercial sharealike") == labels(f"{commons} non commercial share alike") == {"cc-by-nc-sa"}
+    assert labels(f"{commons} sharealike 4 0 international") == {"cc-by-sa"} and labels(f"{commons} 4 0") == {"cc-by"}
+    assert labels("licensed under cc by nc nd") == {"cc-by-nc-nd"}
+    assert labels("released into the public domain") == {"public-domain"}
+    assert labels("not released into the public domain") == labels("is not yet released into the public domain") == set()
+    assert labels("this is free and unencumbered software released into the public domain") == {"unlicense"}
+    assert labels("all rights preserved") == labels("all rights deserved") == set()
+    assert labels("all rights resarved") == {"reserved"}
+    for one, other in (("mozilla", "eclipse"), ("common", "microsoft"), ("boost software", "business source")):
+        assert labels(f"{one.split()[0]} public license").isdisjoint(labels(f"{other.split()[0]} public license"))
+    # A part of a longer notice that stands alone elsewhere counts there.
+    spans = finder.spans(f" {commons} sharealike or {commons} ")
+    assert [(s.label, s.first_word, s.last_word) for s in spans] == [("cc-by-sa", 0, 3), ("cc-by", 5, 7)]
+
+
+def test_licenses_against_a_search_of_whole_texts():
+    rng = random.Random(5)
+    found = 0
+    for _ in range(8):
+        notices = rng.sample(sorted(licenses.NOTICES), 8)
+        finder = licenses.Finder({n: licenses.NOTICES[n] for n in notices}, licenses.CHARS_PER_EDIT)
+        words = []
+        for _ in range(2):
+            words += rng.choices(["under", "the", "license", "public", "software", "of", "not", "x1"], k=rng.randint(2, 4))
+            damaged = list(rng.choice(notices))
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(damaged))
+                damaged[k : k + 1] = rng.choice([[], ["q"], [damaged[k], "e"]])
+            words += "".join(damaged).split()
+        norm = licenses.normalised(" ".join(words)).decode()
+        got = {(s.label, s.first_word, s.last_word) for s in finder.spans(norm)}
+        brute = []
+        for notice, label, most, pattern in finder.notices:
+            # Every place of the text, whatever seeds stand there.
+            everywhere = {(k, min(len(norm), k + len(notice) + 2 * most)) for k in range(len(norm))}
+            for at, end, edits in licenses._taken(pattern, norm, everywhere, most):
+                start = at + (norm[at] == " ")
+                if not licenses._denied(norm, start, end):
+                    first = norm.count(" ", 0, start) - 1
+                    brute.append(licenses.Span(label, first, first + norm[start:end].strip().count(" "), edits, len(notice)))
+        assert got == {(s.label, s.first_word, s.last_word) for s in licenses._outermost(brute)}
+        found += len(got)
+    assert found > 4
+
+
 # ---- 7 substrings
 
 
