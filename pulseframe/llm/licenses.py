@@ -53,7 +53,6 @@ NOTICES = {
     "permission to use copy modify and distribute this software": "isc",
     "released under the isc license": "isc",
     "licensed under the isc license": "isc",
-    "permission to use copy modify and distribute this software and its documentation for any purpose": "hpnd",
     "gnu general public license": "gpl",
     "released under the gpl": "gpl",
     "licensed under the gpl": "gpl",
@@ -174,7 +173,7 @@ class Finder:
     """The compiled notices: seeds of all of them in one automaton, and a pattern each."""
 
     def __init__(self, notices: dict[str, str], chars_per_edit: int):
-        self.notices, seeds = [], {}
+        self.notices, self.whole, seeds = [], [], {}
         for notice, label in notices.items():
             edits = len(notice) // chars_per_edit
             pattern = regex.compile(_pattern(notice, edits), regex.BESTMATCH)
@@ -182,6 +181,8 @@ class Finder:
             for start, end in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[start:end], []).append((len(self.notices), start))
             self.notices.append((notice, label, edits, pattern))
+            # Words that stand in every match as they are.
+            self.whole.append([f" {w} " for w in dict.fromkeys(notice.split()) if min(KEY_WORDS.get(w, 1), edits) == 0])
         self.automaton = ahocorasick.Automaton()
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
@@ -196,7 +197,9 @@ class Finder:
                 notice, _, edits, _ = self.notices[k]
                 low = max(0, start - offset - edits)
                 high = min(len(norm), start - offset + len(notice) + edits)
-                windows.setdefault(k, set()).add((low, high))
+                around = norm[max(0, low - 1) : high] + " "
+                if all(w in around for w in self.whole[k]):
+                    windows.setdefault(k, set()).add((low, high))
         found = []
         for k, own in windows.items():
             notice, label, most, pattern = self.notices[k]
