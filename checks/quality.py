@@ -20,9 +20,10 @@ ALL = TimeRange(0, 4102444800000)
 def _tree(spark, sf_dir):
     """Inventory and manifest lines of a faulty tree with one segment per hour directory."""
     known = catalog(spark, sf_dir).withColumn("directory", F.concat_ws("/", F.lit("root"), "device_id", "day", "hour"))
-    segment_files = known.where(F.col("hour") != "08").select("directory", F.col("segment_file").alias("file_name"))
-    manifests = known.where(F.col("hour") != "05").select("directory", F.lit(quality.MANIFEST_NAME).alias("file_name"))
-    inventory = segment_files.unionByName(manifests).withColumn("file_path", F.concat_ws("/", "directory", "file_name"))
+    segment = F.when(F.col("hour") != "08", F.col("segment_file"))
+    manifest = F.when(F.col("hour") != "05", F.lit(quality.MANIFEST_NAME))
+    files = known.select("directory", F.explode(F.array_compact(F.array(segment, manifest))).alias("file_name"))
+    inventory = files.withColumn("file_path", F.concat_ws("/", "directory", "file_name"))
     swapped = F.col("hour") == "07"
     entry = F.to_json(
         F.struct(

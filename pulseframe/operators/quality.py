@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulseframe import schema
 from pulseframe.functions import naming
+from pulseframe.functions.columns import evaluated_once
 from pulseframe.functions.timeparts import TimeRange
 from pulseframe.operators.filters import hour_overlaps
 from pulseframe.sources.catalogs import parse_manifest_lines
@@ -25,9 +26,17 @@ MANIFEST_NAME = "manifest.jsonl"
 
 
 def _in_span(directory: Column, span: TimeRange, tz: str) -> Column:
-    """True for a ``…/day/hour`` directory that shares time with the range."""
-    inside = F.concat(directory, F.lit("/-"))
-    return hour_overlaps(naming.path_day(inside), naming.path_hour(inside), span, tz)
+    """True for a ``…/day/hour`` directory that shares time with the range.
+
+    The condition is pushed below whatever the directory is made from, so directory,
+    day and hour are computed once each.
+    """
+
+    def shares_time(inside: Column) -> Column:
+        parts = F.struct(naming.path_day(inside).alias("day"), naming.path_hour(inside).alias("hour"))
+        return evaluated_once(parts, lambda p: hour_overlaps(p["day"], p["hour"], span, tz))
+
+    return evaluated_once(F.concat(directory, F.lit("/-")), shares_time)
 
 
 def _hours(inventory: DataFrame, span: TimeRange, tz: str) -> DataFrame:
@@ -45,7 +54,8 @@ def _entries(inventory: DataFrame, lines: DataFrame, span: TimeRange, tz: str) -
     parsed = parse_manifest_lines(placed.where(_in_span(F.col("directory"), span, tz)), strict=False)
     named = parsed.withColumn("file_path", F.concat(F.col("directory"), F.lit("/"), F.col("segment_file")))
     stored = inventory.select("file_path").distinct().withColumn("stored", F.lit(True))
-    return named.join(stored, "file_path", "left").withColumns(
+    # Estimates from the files below the tree may call its inventory small; it grows with the tree.
+    return named.join(stored.hint("merge"), "file_path", "left").withColumns(
         {
             "reversed": (~F.col("bad_line")) & (F.col("rows") > 0) & (F.col("min_ts") > F.col("max_ts")),
             "missing": (~F.col("bad_line")) & F.col("stored").isNull(),

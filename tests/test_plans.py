@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import __spark_entry__
 import pytest
+from pyspark.sql import functions as F
+
+from pulseframe.functions.timeparts import TimeRange
+from pulseframe.operators import quality
+from pulseframe.sources.catalogs import parse_manifest_lines
 
 QUERIES = __spark_entry__.queries()
 SF = "/root/testdata/sf0.001"
@@ -17,3 +22,21 @@ def executed(df) -> str:
 def test_overlap_join_does_not_broadcast_its_blocks(spark, name):
     plan = executed(QUERIES[name](spark, SF))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_manifest_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("{}", "root/a/2024-01-01/05/manifest.jsonl")], "value string, manifest_path string")
+    optimized = parse_manifest_lines(lines, strict=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json(") == 1
+
+
+def test_span_condition_mentions_its_directory_once(spark):
+    tree = spark.createDataFrame([("root/dev/2024-01-01/05",), ("root/dev/2024-01-01/24",), ("x",)], "directory string")
+    kept = tree.where(quality._in_span(F.col("directory"), TimeRange(0, 4102444800000), "UTC"))
+    assert [r.directory for r in kept.collect()] == ["root/dev/2024-01-01/05"]
+    condition = kept._jdf.queryExecution().analyzed().condition().toString()
+    assert condition.count("directory#") == 1
+
+
+def test_file_inventory_is_not_broadcast(spark):
+    assert "BroadcastHashJoin" not in executed(QUERIES["dq_01_issues"](spark, SF))
