@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.functions.timeparts import TimeRange
-from pulseframe.operators import quality
+from pulseframe.operators import ordering, quality
 from pulseframe.sources.catalogs import parse_manifest_lines
 
 QUERIES = __spark_entry__.queries()
@@ -40,3 +40,11 @@ def test_span_condition_mentions_its_directory_once(spark):
 
 def test_file_inventory_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in executed(QUERIES["dq_01_issues"](spark, SF))
+
+
+def test_one_task_sorts_a_few_megabytes_at_most(spark, tmp_path):
+    ids = spark.range(0, 1_500_000, 1, 4).select(F.xxhash64("id").alias("ts_ms"), F.lit("P00001").alias("param_id"))
+    ids.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    assert 4 << 20 < ordering.expected_bytes(stored) < 64 << 20
+    assert "SinglePartition" not in executed(ordering.by_time(stored))
