@@ -24,7 +24,9 @@ specs AS (
 
 def _specs(spark, sf_dir):
     lo = F.col("p_partkey") % 90000
-    return table(spark, sf_dir, "part").select("p_partkey", lo.alias("lo"), (lo + F.col("p_size")).alias("hi"))
+    # Listing the codes costs far more than reading the parts, whose file may be one or two tasks.
+    parts = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
+    return parts.select("p_partkey", lo.alias("lo"), (lo + F.col("p_size")).alias("hi"))
 
 
 def _code(prefix, number):

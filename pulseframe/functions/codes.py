@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulseframe.functions.columns import evaluated_once
+
 # Syntax of codes and specs.
 PARAM_CODE = r"^[AZP][0-9]{5}\z"
 ANY_LETTER_CODE = r"^[A-Z][0-9]{5}\z"
@@ -54,19 +56,23 @@ def expand_specs(specs: Column) -> Column:
 
     def expand(token: Column) -> Column:
         start, end = _range_ends(token)
+        ends = F.struct(start.alias("start"), end.alias("end"))
+        ranged = evaluated_once(ends, lambda e: in_range(token, e["start"], e["end"]))
+        single = F.when(is_param_code(token), F.array(token)).otherwise(_fail("invalid param_id: ", token))
+        return F.when(F.contains(token, F.lit(RANGE_MARK)), ranged).otherwise(single)
+
+    def in_range(token: Column, start: Column, end: Column) -> Column:
         first, last = _code_number(start), _code_number(end)
         codes = F.transform(
             F.sequence(first, F.greatest(first, last)),
             lambda n: F.concat(F.substring(start, 1, 1), F.lpad(n.cast("string"), 5, "0")),
         )
-        in_range = (
+        return (
             F.when(~(is_param_code(start) & is_param_code(end)), _fail("invalid range endpoint: ", token))
             .when(F.substring(start, 1, 1) != F.substring(end, 1, 1), _fail("range prefix mismatch: ", token))
             .when(first > last, _fail("range order invalid: ", token))
             .otherwise(codes)
         )
-        single = F.when(is_param_code(token), F.array(token)).otherwise(_fail("invalid param_id: ", token))
-        return F.when(F.contains(token, F.lit(RANGE_MARK)), in_range).otherwise(single)
 
     return F.flatten(F.transform(_tokens(specs), expand))
 
@@ -75,30 +81,41 @@ def expand_specs_lenient(text: Column) -> Column:
     """Comma-separated specs to a list of unique names; bad ranges vanish.
 
     Any prefix of capitals and underscores is accepted and the wider number of
-    a range sets the width of all its names.
+    a range sets the width of all its names.  What a range is made of is computed once
+    per range, not once per name.
     """
     nothing = F.array().cast("array<string>")
 
-    def expand(token: Column) -> Column:
-        parts = F.split(token, RANGE_MARK)
-        start, end = trimmed(F.get(parts, F.lit(0))), trimmed(F.get(parts, F.lit(1)))
-        prefix = F.regexp_extract(start, LENIENT_CODE, 1)
-        first_text, last_text = F.regexp_extract(start, LENIENT_CODE, 2), F.regexp_extract(end, LENIENT_CODE, 2)
-        first, last = first_text.try_cast("bigint"), last_text.try_cast("bigint")
-        width = F.greatest(F.length(first_text), F.length(last_text))
-        fits = (
-            start.rlike(LENIENT_CODE)
-            & end.rlike(LENIENT_CODE)
-            & (prefix == F.regexp_extract(end, LENIENT_CODE, 1))
-            & (first <= last)
+    def code(text: Column) -> Column:
+        """Prefix and digits of a name; both empty when it is none."""
+        whole = trimmed(text)
+        return F.struct(
+            F.regexp_extract(whole, LENIENT_CODE, 1).alias("prefix"), F.regexp_extract(whole, LENIENT_CODE, 2).alias("digits")
         )
-        names = F.transform(
-            F.sequence(first, F.greatest(first, last)),
-            lambda n: F.concat(prefix, F.lpad(n.cast("string"), width, F.lit("0"))),
+
+    def bounds(ends: Column) -> Column:
+        a, b = ends["a"], ends["b"]
+        first, last = a["digits"].try_cast("bigint"), b["digits"].try_cast("bigint")
+        width = F.greatest(F.length(a["digits"]), F.length(b["digits"]))
+        fits = (a["prefix"] != "") & (a["prefix"] == b["prefix"]) & (first <= last)
+        return F.struct(
+            a["prefix"].alias("prefix"), first.alias("first"), last.alias("last"), width.alias("width"), fits.alias("fits")
         )
-        return (
-            F.when(~F.contains(token, F.lit(RANGE_MARK)), F.array(token)).when(fits, names).otherwise(nothing)
+
+    def names(b: Column) -> Column:
+        listed = F.transform(
+            F.sequence(b["first"], F.greatest(b["first"], b["last"])),
+            lambda n: F.concat(b["prefix"], F.lpad(n.cast("string"), b["width"], F.lit("0"))),
         )
+        return F.when(b["fits"], listed).otherwise(nothing)
+
+    def in_range(parts: Column) -> Column:
+        ends = F.struct(code(F.get(parts, F.lit(0))).alias("a"), code(F.get(parts, F.lit(1))).alias("b"))
+        return evaluated_once(evaluated_once(ends, bounds), names)
+
+    def expand(token: Column) -> Column:
+        ranged = evaluated_once(F.split(token, RANGE_MARK), in_range)
+        return F.when(F.contains(token, F.lit(RANGE_MARK)), ranged).otherwise(F.array(token))
 
     return F.array_distinct(F.flatten(F.transform(_tokens(F.split(text, ",")), expand)))
 

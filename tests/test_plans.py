@@ -6,6 +6,7 @@ import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
 
+from pulseframe.functions import codes
 from pulseframe.functions.timeparts import TimeRange
 from pulseframe.operators import ordering, quality
 from pulseframe.sources.catalogs import parse_manifest_lines
@@ -48,3 +49,11 @@ def test_one_task_sorts_a_few_megabytes_at_most(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "rows"))
     assert 4 << 20 < ordering.expected_bytes(stored) < 64 << 20
     assert "SinglePartition" not in executed(ordering.by_time(stored))
+
+
+def test_range_ends_are_parsed_once_per_range(spark):
+    specs = spark.createDataFrame([("x_08~X_10, free ,P9~P1,~P1,A1~B2,Q9~Q99999999999999999999,FREE",)], "spec string")
+    lenient = specs.select(codes.expand_specs_lenient(F.col("spec")).alias("names"))
+    assert lenient.first().names == ["X_08", "X_09", "X_10", "FREE"]
+    plan = lenient._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") <= 4
