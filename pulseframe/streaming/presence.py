@@ -78,8 +78,23 @@ def lost_subscriptions(expired: DataFrame, held: DataFrame) -> DataFrame:
     )
 
 
+def silences(buckets: list[tuple], before: int | None, grace_ms: int) -> tuple[list[int], int | None]:
+    """Offline messages that the buckets ``first_ts, last_ts, offline`` leave unanswered for too long, and the one left open."""
+    found, open_ts = [], before
+    for first_ts, last_ts, offline in sorted(buckets):
+        # The offline message a bucket finds open is the one the bucket before left.
+        if open_ts is not None and first_ts > open_ts + grace_ms:
+            found.append(open_ts)
+        open_ts = last_ts if offline else None
+    return found, open_ts
+
+
 class _Presence(StatefulProcessor):
-    """Holds the time of the offline message a client has not answered yet."""
+    """Holds the time of the offline message a client has not answered yet.
+
+    A client has a timer just when it has such a message.  Each call on the handle is a
+    round trip to the JVM, so clients without one make none but the first.
+    """
 
     def __init__(self, grace_ms: int):
         self.grace_ms = grace_ms
@@ -93,32 +108,31 @@ class _Presence(StatefulProcessor):
         return pd.DataFrame({"client_id": key[0], "offline_ts": times, "expired_ts": times + self.grace_ms})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        buckets = pd.concat(list(rows)).sort_values("first_ts")
-        before = self.pending.get()[0] if self.pending.exists() else None
-        # The offline message each bucket finds open is the one the bucket before left.
-        open_ts = buckets["last_ts"].where(buckets["offline"]).astype("Int64")
-        found = open_ts.shift(1, fill_value=pd.NA)
-        found.iloc[0] = pd.NA if before is None else before
-        silent = found[(buckets["first_ts"] > found + self.grace_ms).fillna(False)]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        left_open = open_ts.iloc[-1]
-        if pd.isna(left_open):
-            self.pending.clear()
-        else:
-            self.pending.update((int(left_open),))
+        buckets = [
+            bucket for frame in rows for bucket in zip(frame["first_ts"].tolist(), frame["last_ts"].tolist(), frame["offline"].tolist())
+        ]
+        state = self.pending.get()
+        before = None if state is None else state[0]
+        silent, left_open = silences(buckets, before, self.grace_ms)
+        if before is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if left_open is not None:
+            self.pending.update((left_open,))
             # An answer may sit in the bucket that holds the expiry, and that bucket
             # arrives when it ends: only then is the silence certain.
-            expiry = int(left_open) + self.grace_ms
+            expiry = left_open + self.grace_ms
             self.handle.registerTimer(expiry - expiry % self.grace_ms + self.grace_ms)
-        if len(silent):
-            yield self._expired(key, silent.astype("int64").tolist())
+        elif before is not None:
+            self.pending.clear()
+        if silent:
+            yield self._expired(key, silent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            offline_ts = self.pending.get()[0]
+        state = self.pending.get()
+        if state is not None:
             self.pending.clear()
-            yield self._expired(key, [offline_ts])
+            yield self._expired(key, [state[0]])
 
     def close(self) -> None:
         pass
