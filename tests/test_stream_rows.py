@@ -64,3 +64,92 @@ def test_late_updates_are_counted(spark, tmp_path):
         ("b", T0 + 60_000, T0 + 60_100, (("P1", 3.0), ("P9", 4.0))),
     ]
     assert late == 1
+
+
+class Handle:
+    """State and timers of one device, counting calls."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return State(self, "value")
+
+    def getMapState(self, name, key, value):
+        return State(self, "map")
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(set(self.timers))
+
+    def deleteTimer(self, timer):
+        self.calls += 1
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):
+        self.calls += 1
+        self.timers.add(timer)
+
+
+class State:
+    def __init__(self, handle, kind):
+        self.handle, self.kind = handle, kind
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.value
+
+    def update(self, value):
+        self.handle.calls += 1
+        self.handle.value = value
+
+    def updateValue(self, key, value):
+        self.handle.calls += 1
+        self.handle.map[key] = value
+
+    def iterator(self):
+        self.handle.calls += 1
+        return iter(list(self.handle.map.items()))
+
+    def clear(self):
+        self.handle.calls += 1
+        setattr(self.handle, self.kind, None if self.kind == "value" else {})
+
+
+class At:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_calls_on_the_state():
+    handle, processor = Handle(), stream_rows._OpenRows(10)
+    processor.init(handle)
+
+    def take(watermark, *cells):
+        rows = [dict(zip(("first_ts", "last_ts", "param_id", "value"), c)) for c in cells]
+        found = processor.handleInputRows(("a",), iter(rows), At(watermark))
+        return [(r["label_ts"], r["ts_ms"], dict(zip(r["param_ids"], r["values"]))) for r in found]
+
+    # Rows that close at once: one call, whatever their number.
+    assert take(100, (31, 31, "P", 3.0), (1, 5, "P", 1.0), (12, 12, "Q", None)) == [(1, 12, {"P": 1.0, "Q": None}), (31, 31, {"P": 3.0})]
+    assert handle.calls == 1 and not handle.timers
+    # 119 + 10 may still be joined by what comes at 120, the first open bucket.
+    assert take(125, (111, 119, "P", 1.0)) == [] and handle.timers == {130}
+    assert take(138, (120, 128, "Q", 2.0)) == [] and handle.timers == {140} and handle.value == (111, 128)
+    assert take(160, (139, 139, "P", 4.0)) == [(111, 128, {"P": 1.0, "Q": 2.0}), (139, 139, {"P": 4.0})]
+    assert handle.value is None and not handle.map and not handle.timers
+
+
+def test_stretches():
+    assert stream_rows.stretches([(9, 9, "P", 1.0)], (1, 5), 4) == [(1, 9, {"P": 1.0})]
+    assert stream_rows.stretches([(10, 10, "P", 1.0)], (1, 5), 4) == [(1, 5, {}), (10, 10, {"P": 1.0})]
+
+
+def test_stream_without_a_gap(spark, tmp_path):
+    updates = [("a", T0, "P1", 1.0), ("a", T0, "P2", None), ("a", T0 + 1, "P1", 2.0)]
+    closing = [[("closing", T0 + 10_000_000 * k, "none", 0.0)] for k in (1, 2)]
+    got, late = run(spark, tmp_path, [updates, *closing], 0, "1 second")
+    assert got == batch(spark, updates, 0) and late == 0
