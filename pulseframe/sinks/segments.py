@@ -4,6 +4,9 @@ Rows are rebalanced by partition key before the write: adaptive execution splits
 a hot hour over several tasks (and files) and merges small ones, so neither a
 single task nor thousands of tiny files result.  Sorting inside each output
 partition gives row groups narrow parameter and time statistics.
+
+Where small files are asked for, time goes by files, and a partition far below the size
+at which it would be split may hold thousands.  Such rows are dealt in ranges of their order.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pulseframe.sources.segments import read_table
 # Default codec and rows per file.
 COMPRESSION = "zstd"
 ROWS_PER_FILE = 1_000_000
+# Below so many rows, opening and closing a file outweighs what is in it.
+SMALL_FILE_ROWS = 10_000
 CODECS = ("zstd", "snappy", "gzip", "none")
 
 DEVICE_HOUR = ("device_id", "day", "hour")
@@ -44,7 +49,9 @@ def _write(
     if compression not in CODECS:
         raise ValueError(f"unknown compression: {compression!r}")
     order = [*partition_by, *[c for c in sort_by if c not in partition_by]]
-    placed = df.hint("rebalance", *partition_by).sortWithinPartitions(*order)
+    # Equal ranges read the input twice; every writer leaves one short file a partition at either end of its range.
+    dealt = df.repartitionByRange(*order) if rows_per_file < SMALL_FILE_ROWS else df.hint("rebalance", *partition_by)
+    placed = dealt.sortWithinPartitions(*order)
     (
         placed.write.mode(mode)
         .partitionBy(*partition_by)

@@ -49,6 +49,26 @@ def test_rows_per_file_and_codecs(spark, tmp_path):
         segments.write_long_rows(many, str(tmp_path / "x"), compression="lzma")
 
 
+def test_small_files_of_one_day_have_several_writers(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    try:
+        many = spark.range(4000).select(F.lit("d").alias("device_id"), (F.col("id") + T0).alias("ts_ms"), F.lit("P00001").alias("param_id"), F.rand(1).alias("value"))
+        segments.write_long_rows(many, str(tmp_path / "t"), partition_by=("day",), rows_per_file=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    spans, writers = [], {}
+    for file in glob.glob(str(tmp_path / "t" / "*" / "*.parquet")):
+        times = pq.ParquetFile(file).read().column("ts_ms").to_pylist()
+        spans.append((times[0], times[-1], len(times)))
+        writer = file.split("part-")[1][:5]
+        writers[writer] = writers.get(writer, 0) + len(times)
+    spans.sort()
+    assert all(n <= 100 for *_, n in spans) and sum(n for *_, n in spans) == 4000
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    # All rows of a day were one task before.
+    assert len(writers) > 2 and max(writers.values()) < 2000
+
+
 def test_zone_of_partitions(spark, points, tmp_path, rows):
     segments.write_long_rows(points, str(tmp_path / "t"), tz="America/New_York")
     assert rows(read_table(spark, str(tmp_path / "t")), "day", "hour")[0] == ("2023-12-31", "19")
